@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import tokens
+from docweave.llm import canonical, tokens
 from docweave.llm.components import components, linking_edges
 from docweave.llm.sql import P2_FOUND, P2_SIZES
+from docweave.llm.mixture import mixture
 from docweave.llm.split import split_oversized
+from docweave.operators.wide import attribute_key, attribute_key_text
 from docweave.plans.registry import Registry
 from docweave.session import table
 
@@ -32,6 +34,67 @@ def _p2_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("records").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+# ---------------------------------------------------------------- p5
+
+
+def _reference_lists(spark: SparkSession, d: str) -> tuple[dict, dict, set]:
+    """Names and aliases by field, enum field by attribute key, exact values; from the two fixed lookup tables."""
+    attributes = table(spark, d, "attribute_lookup").orderBy("lookup_id").collect()
+    entries = table(spark, d, "enum_lookup").orderBy("enum_lookup_id").collect()
+    lists: dict[str, list[tuple[str, str]]] = {"attribute_name": []}
+    for a in attributes:
+        lists["attribute_name"] += [(n, a.lookup_id) for n in [a.attribute_name, *canonical.aliases(a.description)]]
+    for e in entries:
+        names = [e.allowed_value, *canonical.aliases(e.description)]
+        lists.setdefault(e.field_name, []).extend((n, e.enum_lookup_id) for n in names)
+    fields = {attribute_key_text(a.attribute_name): a.enum_field for a in attributes}
+    return lists, fields, {(e.field_name, e.allowed_value) for e in entries}
+
+
+def _free_values(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    """document_data_id, field_name, field (list to search), value of every entry that is no exact reference value."""
+    lists, fields, exact = _reference_lists(spark, d)
+    known = spark.createDataFrame(list(fields.items()), "name_key string, field string")
+    allowed = spark.createDataFrame(sorted(exact), "field string, value string")
+    rows = (
+        table(spark, d, "document_data")
+        .select("document_data_id", "attribute_name", "raw_value", attribute_key("attribute_name").alias("name_key"))
+        .join(F.broadcast(known.withColumn("named", F.lit(True))), "name_key", "left")
+    )
+    names = rows.where("trim(attribute_name) <> '' and named is null").select(
+        "document_data_id",
+        F.lit("attribute_name").alias("field_name"),
+        F.lit("attribute_name").alias("field"),
+        F.col("attribute_name").alias("value"),
+    )
+    values = (
+        rows.where("field is not null and trim(raw_value) <> ''")
+        .select("document_data_id", F.lit("raw_value").alias("field_name"), "field", F.col("raw_value").alias("value"))
+        .join(F.broadcast(allowed), ["field", "value"], "left_anti")
+    )
+    return names.unionByName(values), lists
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    free, lists = _free_values(spark, d)
+    found = canonical.map_values(free, lists)
+    return free.join(found, ["field", "value"]).withColumn("lookup_id", F.coalesce("entry_id", F.lit("unmatched")))
+
+
+@registry.add("p5_found")
+def _p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).select("document_data_id", "field_name", "lookup_id").distinct()
+
+
+@registry.add("p5_unmatched")
+def _p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that stand for no entry, with the rows that have them."""
+    free, lists = _free_values(spark, d)
+    counted = free.distinct().groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    missing = canonical.map_values(counted, lists).where("entry_id is null").select("field", "value")
+    return counted.join(missing, ["field", "value"])
+
+
 # ---------------------------------------------------------------- p8
 
 
@@ -46,6 +109,25 @@ def _p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, d, "documents")))
 
 
+# ---------------------------------------------------------------- p9
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, d, "documents")
+    sizes = tokens.count(documents, keep=["source"])
+    return mixture(sizes, table(spark, d, "mix_targets"))
+
+
+@registry.add("p9_mix")
+def _p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+@registry.add("p9_report")
+def _p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
 # ---------------------------------------------------------------- p10
 
 

@@ -83,27 +83,29 @@ def encode(
     name: str = "byte_bpe_50k",
     folder: str = TOKENIZERS,
     hot_words: int = HOT_WORDS,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """key, ids (array of int) of every row; the ids of a null or empty text are an empty array.
+    """key, ids (array of int) of every row, and the columns ``keep``; the ids of a null or empty text are an empty array.
 
     Special tokens are never produced: their strings are ordinary text.  ``key`` must be unique where words beyond
     ``hot_words`` occur.  Other columns are not read.
     """
     spark = texts.sparkSession
+    keep = [key, *(keep or [])]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    slim = texts.select(key, column)
+    slim = texts.select(*keep, column)
     scratch = Scratch(spark, "tokens")
     table = scratch.save(word_table(slim, column, name, folder))
     distinct = table.count()
     hot = table if distinct <= hot_words else table.orderBy(F.desc("n"), "word").limit(hot_words)
     bounded = hot.select("word", "ids").toArrow().combine_chunks()  # at most hot_words rows
     held = spark.sparkContext.broadcast(_ipc(bounded))
-    words = slim.select(key, split_words(column).alias("words"))
+    words = slim.select(*keep, split_words(column).alias("words"))
     if distinct <= hot_words:
-        return words.mapInArrow(_Lookup(key, held, False), words.select(key).schema.add("ids", INTS))
-    cold_schema = words.select(key).schema.add("ids", INTS).add("gaps", T.ArrayType(T.StringType()))
-    first = scratch.save(words.mapInArrow(_Lookup(key, held, True), cold_schema))
-    complete = first.where("size(gaps) = 0").select(key, "ids")
+        return words.mapInArrow(_Lookup(keep, held, False), words.select(*keep).schema.add("ids", INTS))
+    cold_schema = words.select(*keep).schema.add("ids", INTS).add("gaps", T.ArrayType(T.StringType()))
+    first = scratch.save(words.mapInArrow(_Lookup(keep, held, True), cold_schema))
+    complete = first.where("size(gaps) = 0").select(*keep, "ids")
     gaps = first.where("size(gaps) > 0")
     filled = (
         gaps.select(key, F.posexplode("gaps").alias("at", "word"))
@@ -111,8 +113,21 @@ def encode(
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("at", "piece_ids"))).alias("fill"))
     )
-    whole = gaps.select(key, "ids").join(filled.select(key, F.col("fill.piece_ids").alias("fill")), key)
-    return complete.unionByName(whole.mapInArrow(_Fill(key), complete.schema))
+    whole = gaps.select(*keep, "ids").join(filled.select(key, F.col("fill.piece_ids").alias("fill")), key)
+    return complete.unionByName(whole.mapInArrow(_Fill(keep), complete.schema))
+
+
+def count(
+    texts: DataFrame,
+    key: str = "doc_id",
+    column: str = "text",
+    name: str = "byte_bpe_50k",
+    folder: str = TOKENIZERS,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """key, the columns ``keep``, and n_tokens of every row; 0 for a null or empty text."""
+    encoded = encode(texts, key, column, name, folder, keep=keep)
+    return encoded.select(key, *(keep or []), F.size("ids").alias("n_tokens"))
 
 
 def _ipc(table: pa.Table) -> bytes:
@@ -136,8 +151,8 @@ _HELD: dict[int, tuple] = {}
 class _Lookup:
     """Joins the hot words by position; the k-th word that is not among them leaves the id -1 as a gap."""
 
-    def __init__(self, key: str, held, gaps: bool):
-        self.key, self.held, self.gaps = key, held, gaps
+    def __init__(self, keep: list[str], held, gaps: bool):
+        self.keep, self.held, self.gaps = keep, held, gaps
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
@@ -169,7 +184,7 @@ class _Lookup:
             word_offsets = word_offsets - word_offsets[0]
             ends = np.concatenate([[0], np.cumsum(lengths)])
             result = pa.ListArray.from_arrays(pa.array(ends[word_offsets].astype(np.int32)), pa.array(out, pa.int32()))
-            columns, names = [batch.column(self.key), result], [self.key, "ids"]
+            columns, names = [*(batch.column(k) for k in self.keep), result], [*self.keep, "ids"]
             if self.gaps:
                 cold = entry == len(hot)
                 before = np.concatenate([[0], np.cumsum(cold)])
@@ -182,8 +197,8 @@ class _Lookup:
 class _Fill:
     """Puts the ids of rare words into their gaps."""
 
-    def __init__(self, key: str):
-        self.key = key
+    def __init__(self, keep: list[str]):
+        self.keep = keep
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +214,7 @@ class _Fill:
             offsets = ids.offsets.to_numpy().astype(np.int64)
             offsets = offsets - offsets[0]
             result = pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(out, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(self.key), result], names=[self.key, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in self.keep), result], names=[*self.keep, "ids"])
 
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
