@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import canonical, tokens
 from docweave.llm.components import components, linking_edges
+from docweave.llm.devices import match_devices
 from docweave.llm.sql import P2_FOUND, P2_SIZES
 from docweave.llm.mixture import mixture
 from docweave.llm.split import split_oversized
@@ -16,6 +17,20 @@ from docweave.session import table
 
 registry = Registry()
 
+# ---------------------------------------------------------------- p1
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return match_devices(table(spark, d, "source_entity"), table(spark, d, "target_entity"))
+
+
+@registry.add("p1_found")
+def _p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("device_id", "record_key").distinct()
+
+
+registry.add("p1_confidence")(_matches)
+
 # ---------------------------------------------------------------- p2
 
 
