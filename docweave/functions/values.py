@@ -178,8 +178,8 @@ def terminal_designator(column: Column | str) -> Column:
     none = F.lit("")
     make = lambda n, a=none, v=none: F.struct(n.alias("name"), a.alias("attribute"), v.alias("value"))
     get = lambda p, i=1: F.regexp_extract(text, p, i)
-    phase, channel, letter = r"(?i)\A(\d+)\s*/\s*(L[123]|N|PE)\z", r"(?i)\A(?:kanal|ch\.?|channel)\s*(\d+)\z", r"\A([A-Z]\d{1,3})\z"
-    more = r"\A(\d+)\s*(?:ff\.?|\.{2,}|\+|\*)\z"
+    phase, channel, letter = r"\A(\d+)\s*/\s*([A-Z][A-Z0-9]*)\z", r"(?i)\AKanal\s+(\d+)\z", r"\A([A-Z]\d+[A-Za-z]?)\z"
+    more = r"\A:\s*(\d+)\z"
     return (
         F.when(text.rlike(r"\A\d+\z"), make(text))
         .when(text.rlike(more), make(get(more)))
