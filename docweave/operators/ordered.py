@@ -132,7 +132,7 @@ def page(df: DataFrame, order: list[Column | str], offset: int, limit: int) -> D
 def display_order(column: str) -> list[Column]:
     """Numbers by value, then texts without case, then empty ones."""
     text = F.trim(F.coalesce(F.col(column).cast("string"), F.lit("")))
-    number = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    number = F.when(text.rlike(r"\A[+-]?[0-9]+([.,][0-9]+)?\z"), F.replace(text, F.lit(","), F.lit(".")).cast("double"))
     rank = F.when(text == "", 2).when(number.isNotNull(), 0).otherwise(1)
     return [rank, F.when(rank == 0, number), F.lower(text), text]
 

@@ -37,7 +37,7 @@ def query_identifiers(text: Column | str) -> Column:
 
 def grams(text: Column | str) -> Column:
     """Lower-case words of at least two characters, and pairs of neighbouring ones."""
-    words = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, pairs)
 
