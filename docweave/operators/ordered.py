@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions.text import or_null
+from docweave.scratch import Scratch
 
 
 def ordered_values(value: Column, order: Column) -> Column:
@@ -70,15 +71,16 @@ def assign_ids(df: DataFrame, prefix: str, order: list[str], name: str = "id", w
     if within:
         number = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
         return df.withColumn(name, F.concat(F.lit(f"{prefix}."), number.cast("string")))
+    # the numbered rows are written, so both uses below see the same range partitions
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = placed.withColumn("_n", F.monotonically_increasing_id())
-    # the id holds the partition in its upper bits and the row within it below
-    parts = numbered.groupBy(F.shiftrightunsigned("_n", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = parts.select("_part", before.alias("_before"))  # one row per partition
-    joined = numbered.withColumn("_part", F.shiftrightunsigned("_n", 33)).join(F.broadcast(offsets), "_part")
-    number = F.col("_before") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return joined.withColumn(name, F.concat(F.lit(f"{prefix}."), number.cast("string"))).drop("_n", "_part", "_before")
+    numbered = Scratch(df.sparkSession, "ids").save(placed.withColumn("_row_no", F.monotonically_increasing_id()))
+    # the number holds the partition in its upper bits and the row within it below
+    parts = numbered.groupBy(F.shiftrightunsigned("_row_no", 33).alias("_row_part")).agg(F.count(F.lit(1)).alias("_part_size"))
+    before = F.coalesce(F.sum("_part_size").over(Window.orderBy("_row_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("_row_part", before.alias("_rows_before"))  # one row per partition
+    joined = numbered.withColumn("_row_part", F.shiftrightunsigned("_row_no", 33)).join(F.broadcast(offsets), "_row_part")
+    number = F.col("_rows_before") + F.col("_row_no").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return joined.withColumn(name, F.concat(F.lit(f"{prefix}."), number.cast("string"))).drop("_row_no", "_row_part", "_rows_before")
 
 
 def forward_fill(df: DataFrame, column: str, keep: Column, within: list[str], order: list[str]) -> DataFrame:

@@ -44,7 +44,7 @@ def _akz_exact_prefix(spark, d):
     row_number() OVER (PARTITION BY s.k ORDER BY levenshtein(s.k, d.k), d.k) AS rn FROM src s JOIN dev d ON levenshtein(s.k, d.k) <= 2) WHERE rn = 1""",
 )
 def _akz_levenshtein(spark, d):
-    return matching.nearest_within(_tags(spark, d, "source_entity"), _tags(spark, d, "target_entity"), "key", 2)
+    return matching.nearest_within(_tags(spark, d, "source_entity"), _tags(spark, d, "target_entity"), "key", 2).withColumn("distance", F.col("distance").cast("bigint"))
 
 
 @registry.add("akz_ratcliff")
