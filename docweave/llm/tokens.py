@@ -91,30 +91,38 @@ def encode(
     ``hot_words`` occur.  Other columns are not read.
     """
     spark = texts.sparkSession
-    keep = [key, *(keep or [])]
+    names = [key, *(keep or [])]
+    if "ids" in names:
+        raise ValueError("a kept column has the name of the result")
+    kept = [f"_k{i}" for i in range(len(names))]  # own names, so kept columns clash with nothing
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    slim = texts.select(*keep, column)
+    slim = texts.select(*[F.col(n).alias(k) for n, k in zip(names, kept, strict=True)], F.col(column).alias("_text"))
     scratch = Scratch(spark, "tokens")
-    table = scratch.save(word_table(slim, column, name, folder))
+    table = scratch.save(word_table(slim, "_text", name, folder))
     distinct = table.count()
     hot = table if distinct <= hot_words else table.orderBy(F.desc("n"), "word").limit(hot_words)
     bounded = hot.select("word", "ids").toArrow().combine_chunks()  # at most hot_words rows
     held = spark.sparkContext.broadcast(_ipc(bounded))
-    words = slim.select(*keep, split_words(column).alias("words"))
+    words = slim.select(*kept, split_words("_text").alias("words"))
+    plain = words.select(*kept).schema.add("ids", INTS)
+
+    def named(result: DataFrame) -> DataFrame:
+        return result.select(*[F.col(k).alias(n) for n, k in zip(names, kept, strict=True)], "ids")
+
     if distinct <= hot_words:
-        return words.mapInArrow(_Lookup(keep, held, False), words.select(*keep).schema.add("ids", INTS))
-    cold_schema = words.select(*keep).schema.add("ids", INTS).add("gaps", T.ArrayType(T.StringType()))
-    first = scratch.save(words.mapInArrow(_Lookup(keep, held, True), cold_schema))
-    complete = first.where("size(gaps) = 0").select(*keep, "ids")
+        return named(words.mapInArrow(_Lookup(kept, held, False), plain))
+    cold_schema = words.select(*kept).schema.add("ids", INTS).add("gaps", T.ArrayType(T.StringType()))
+    first = scratch.save(words.mapInArrow(_Lookup(kept, held, True), cold_schema))
+    complete = first.where("size(gaps) = 0").select(*kept, "ids")
     gaps = first.where("size(gaps) > 0")
     filled = (
-        gaps.select(key, F.posexplode("gaps").alias("at", "word"))
+        gaps.select("_k0", F.posexplode("gaps").alias("at", "word"))
         .join(table.select("word", F.col("ids").alias("piece_ids")), "word")
-        .groupBy(key)
+        .groupBy("_k0")
         .agg(F.sort_array(F.collect_list(F.struct("at", "piece_ids"))).alias("fill"))
     )
-    whole = gaps.select(*keep, "ids").join(filled.select(key, F.col("fill.piece_ids").alias("fill")), key)
-    return complete.unionByName(whole.mapInArrow(_Fill(keep), complete.schema))
+    whole = gaps.select(*kept, "ids").join(filled.select("_k0", F.col("fill.piece_ids").alias("fill")), "_k0")
+    return named(complete.unionByName(whole.mapInArrow(_Fill(kept), complete.schema)))
 
 
 def count(
