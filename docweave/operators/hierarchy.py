@@ -2,11 +2,15 @@
 
 The frontier of each level is joined with the links not used so far.  A small frontier is broadcast, so the level is a
 map over the remaining links without a shuffle; a large one is joined by shuffle under adaptive skew handling, because
-one parent may hold a large share of all children.  Whatever no root reaches lies on a cycle or below one.
+one parent may hold a large share of all children.  Deep trees end in many levels of few nodes: once no more than a stated
+number of links is left, one task walks them level by level.  Whatever no root reaches lies on a cycle or below one.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +18,12 @@ from docweave.scratch import Scratch
 
 #: A frontier of at most this many rows is broadcast; labels and paths are bounded by depth, so this is a few MB.
 BROADCAST_ROWS = 50_000
-#: The unused links are rewritten once a level has used up this share of them.
+#: The unused links are rewritten once this share of them has been used.
 PRUNE_SHARE = 0.2
+#: With at most this many links and frontier nodes left, the remaining levels are walked by one task.
+LAST_ROWS = 20_000
+#: Levels written together after so many.
+MERGE_LEVELS = 24
 
 
 def clean_links(links: DataFrame, parent: str, child: str) -> DataFrame:
@@ -34,6 +42,7 @@ def hierarchy(
     child: str = "child_label",
     with_path: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
+    last_rows: int = LAST_ROWS,
 ) -> DataFrame:
     """One row per node: node_label, root_label, depth (bigint), in_cycle, and path (array from the root) if wanted.
 
@@ -59,11 +68,14 @@ def hierarchy(
             "node_label", F.col("node_label").alias("root_label"), F.lit(0).cast("bigint").alias("depth"), *path
         )
     )
-    levels, unused, left, seen = [frontier], edges, edges.count(), None
-    size = frontier.count()
+    levels, merged, unused, left = [frontier], [], edges, edges.count()
+    size, used, since = frontier.count(), 0, []
     tree = _is_tree(edges)
     seen = None if tree else scratch.save(nodes.where("is_child = 0").select("node_label"))
     while size and left:
+        if tree and left + size <= last_rows:
+            levels.append(scratch.save(_walk(frontier, unused)))
+            break
         small = size <= broadcast_rows
         step = unused.join(F.broadcast(frontier) if small else frontier, unused["parent"] == frontier["node_label"])
         longer = [F.concat("path", F.array("child")).alias("path")] if with_path else []
@@ -79,26 +91,24 @@ def hierarchy(
                 .join(seen, "node_label", "left_anti")
                 .select("node_label", "root_label", "depth", *(["path"] if with_path else []))
             )
-        previous, used = frontier, size
+        since.append(frontier.select("node_label"))
         frontier = scratch.save(found.drop("parent"))
         size = frontier.count()
+        used += size
         levels.append(frontier)
         if not tree:
             seen = seen.unionByName(frontier.select("node_label"))
-        if size and (small or not tree) and size >= PRUNE_SHARE * left or not small:
-            side = previous.select("node_label")
-            rest = scratch.save(
-                unused.join(F.broadcast(side) if used <= broadcast_rows else side, F.col("parent") == F.col("node_label"), "left_anti")
-            )
+        if size and used >= PRUNE_SHARE * left:
+            rest = scratch.save(unused.join(_union(since), F.col("parent") == F.col("node_label"), "left_anti"))
             if unused is not edges:
                 scratch.drop(unused)
-            unused, left = rest, rest.count()
-        if len(levels) >= 24:  # keeps the final plan short for deep trees
-            merged = scratch.save(_union(levels[:-1]))
-            scratch.drop(*levels[:-1])
-            levels = [merged, frontier]
+            unused, left, used, since = rest, rest.count(), 0, []
+        if len(levels) > MERGE_LEVELS:  # keeps the final plan short for deep trees; each level is rewritten once
+            old, levels, since = levels[:-1], levels[-1:], [_union(since)] if since else []
+            merged.append(scratch.save(_union(old)))
             if not tree:
-                seen = scratch.save(merged.unionByName(frontier).select("node_label"))
+                seen = scratch.save(_union([*merged, frontier]).select("node_label"))
+    levels = merged + levels
     reached = _union(levels)
     return nodes.select("node_label").join(reached, "node_label", "left").select(
         "node_label",
@@ -109,6 +119,28 @@ def hierarchy(
     )
 
 
+def _walk(frontier: DataFrame, unused: DataFrame) -> DataFrame:
+    """All nodes below the frontier, by one task that gets the bounded rest of the links."""
+    with_path = "path" in frontier.columns
+    columns = ["node_label", "root_label", "depth", *(["path"] if with_path else [])]
+
+    def walk(start: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        children: dict[str, list[str]] = defaultdict(list)
+        for p, c in zip(links["parent"], links["child"], strict=True):
+            children[p].append(c)
+        level, found = [tuple(r) for r in start[columns].itertuples(index=False)], []
+        while level:
+            level = [
+                (c, node[1], node[2] + 1, *([[*node[3], c]] if with_path else [])) for node in level for c in children.get(node[0], ())
+            ]
+            found += level
+        return pd.DataFrame(found, columns=columns)
+
+    one = [F.lit(0).alias("one")]
+    left = frontier.select(*columns, *one).groupBy("one")
+    return left.cogroup(unused.select("parent", "child", *one).groupBy("one")).applyInPandas(walk, frontier.select(*columns).schema)
+
+
 def _is_tree(edges: DataFrame) -> bool:
     """Whether no child has two parents, which spares the levels a duplicate check."""
     return edges.groupBy("child").count().where("count > 1").isEmpty()

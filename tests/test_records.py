@@ -111,10 +111,10 @@ def test_hierarchy_with_several_parents(spark):
     assert got == {"r": ("r", 0), "q": ("q", 0), "a": ("r", 1), "b": ("q", 1), "c": ("q", 2), "d": ("q", 3)}
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_deep_hierarchy_and_descendants(spark, limit):
+@pytest.mark.parametrize(("limit", "last"), [(1_000_000, 0), (0, 0), (1_000_000, 1_000_000)])
+def test_deep_hierarchy_and_descendants(spark, limit, last):
     pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(30)] + [("n000", f"leaf{i}") for i in range(30)]
-    tree = hierarchy(links(spark, pairs), broadcast_rows=limit)
+    tree = hierarchy(links(spark, pairs), broadcast_rows=limit, last_rows=last)
     got = {r.node_label: r.depth for r in tree.collect()}
     assert got["n030"] == 30 and got["leaf7"] == 1
     assert descendants(tree).count() == 30 * 31 // 2 + 30
