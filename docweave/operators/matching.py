@@ -170,9 +170,10 @@ LEAST_SCORE = 0.35
 def entity_pairs(sources: DataFrame, targets: DataFrame) -> DataFrame:
     """source_key, target_key, score of pairs that reach the least score.
 
-    Both sides: key, canonical_tag, tags, label_tokens, context_tokens (arrays), device.  Without a shared tag at most
-    0.45 can come from the rest, of which context and label must give 0.25, so pairs are blocked on a shared tag, or on
-    an equal device or a shared label token together with a shared context token.
+    Both sides: key, canonical_tag, tags, label_tokens, context_tokens (arrays), device.  Without a shared tag, labels and
+    contexts give 0.35 only if both are equal; with an equal device they must still give 0.25, for which half the context
+    must be shared.  So pairs are blocked on a shared tag, on equal labels and contexts, or on device and a shared context
+    token, which loses none.
     """
 
     def prepared(df: DataFrame, p: str) -> DataFrame:
@@ -189,15 +190,13 @@ def entity_pairs(sources: DataFrame, targets: DataFrame) -> DataFrame:
     s, t = prepared(sources, "s"), prepared(targets, "t")
 
     def blocks(df: DataFrame, p: str) -> DataFrame:
-        both = F.flatten(F.transform(f"{p}_label", lambda a: F.transform(f"{p}_context", lambda b: F.concat(F.lit("l|"), a, F.lit("|"), b))))
         device = F.transform(f"{p}_context", lambda b: F.concat(F.lit("d|"), F.col(f"{p}_device"), F.lit("|"), b))
-        alone = F.when(F.size(f"{p}_label") > 0, F.transform(f"{p}_label", lambda a: F.concat(F.lit("v|"), F.col(f"{p}_device"), F.lit("|"), a)))
+        same = F.md5(F.concat(F.to_json(F.sort_array(f"{p}_label")), F.to_json(F.sort_array(f"{p}_context"))))
         no = F.array().cast("array<string>")
         keys = F.concat(
             F.transform(f"{p}_tags", lambda x: F.concat(F.lit("t|"), x)),
-            both,
+            F.when((F.size(f"{p}_label") > 0) & (F.size(f"{p}_context") > 0), F.array(same)).otherwise(no),
             F.when(F.col(f"{p}_device") != "", device).otherwise(no),
-            F.when(F.col(f"{p}_device") != "", F.coalesce(alone, no)).otherwise(no),
         )
         return df.select(f"{p}_key", F.explode(F.array_distinct(keys)).alias("block"))
 

@@ -42,41 +42,43 @@ def grams(text: Column | str) -> Column:
     return F.concat(words, pairs)
 
 
-def tfidf(texts: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
-    """(key, term, weight) with unit length per key, and (term, idf).
+def term_counts(texts: DataFrame, key: str, terms: Column) -> DataFrame:
+    """key, term, w: how often each term occurs."""
+    return texts.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
-    idf is ln((1 + N) / (1 + df)) + 1; texts without terms have no rows.
-    """
-    counts = texts.select(key, F.explode(grams(column)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+def inverse_frequency(counts: DataFrame, texts: DataFrame) -> DataFrame:
+    """term, idf: ln((1 + N) / (1 + df)) + 1 over all texts."""
     total = texts.agg(F.count(F.lit(1))).scalar()
-    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    return unit_weights(counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w")), key), idf
 
 
-def unit_weights(weights: DataFrame, key: str) -> DataFrame:
-    """key, term, weight scaled to unit length per key."""
-    norm = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norm, key).where("norm > 0").select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+def cosine_scores(queries: DataFrame, chunks: DataFrame, name: str) -> DataFrame:
+    """q_id, c_id and the cosine of (id, term, w) tables, for every pair with a common term.
 
-
-def query_weights(queries: DataFrame, key: str, column: str, idf: DataFrame) -> DataFrame:
-    """Query terms weighted by the corpus; terms the corpus lacks drop out."""
-    counts = queries.select(key, F.explode(grams(column)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return unit_weights(counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w")), key)
+    Lengths are one aggregate per text and are divided out at the end, so the weights themselves are never shuffled for
+    them.
+    """
+    length = lambda df, key, to: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(to))
+    joined = queries.select("q_id", "term", F.col("w").alias("q_w")).join(chunks.select("c_id", "term", "w"), "term")
+    dots = joined.groupBy("q_id", "c_id").agg(F.sum(F.col("q_w") * F.col("w")).alias("dot"))
+    full = dots.join(length(queries, "q_id", "q_n"), "q_id").join(length(chunks, "c_id", "c_n"), "c_id")
+    return full.where("q_n > 0 and c_n > 0").select("q_id", "c_id", (F.col("dot") / (F.col("q_n") * F.col("c_n"))).alias(name))
 
 
-def term_weights(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """Plain term frequencies of the words of a label, unit length per key."""
-    counts = texts.select(key, F.explode(tokenize(column)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    return unit_weights(counts, key)
+def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """q_id, c_id, tfidf: cosine of words and word pairs weighted by the chunks; terms the chunks lack drop out."""
+    counts = term_counts(chunks, "c_id", grams("c_text"))
+    idf = inverse_frequency(counts, chunks)
+    weighted = lambda df, key: df.join(idf, "term").select(key, "term", (F.col("w") * F.col("idf")).alias("w"))
+    return cosine_scores(weighted(term_counts(queries, "q_id", grams("q_text")), "q_id"), weighted(counts, "c_id"), "tfidf")
 
 
-def dot(left: DataFrame, right: DataFrame, keys: tuple[str, str], name: str) -> DataFrame:
-    """Sum of products over common terms of (key, term, weight) tables."""
-    joined = left.select(keys[0], "term", F.col("weight").alias("l")).join(right.select(keys[1], "term", F.col("weight").alias("r")), "term")
-    return joined.groupBy(*keys).agg(F.sum(F.col("l") * F.col("r")).alias(name))
+def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """q_id, c_id, lexical: cosine of plain counts of label words."""
+    return cosine_scores(term_counts(queries, "q_id", tokenize("q_text")), term_counts(chunks, "c_id", tokenize("c_text")), "lexical")
 
 
 def hybrid_scores(queries: DataFrame, chunks: DataFrame, prior_kind: str | None = None) -> DataFrame:
@@ -94,9 +96,7 @@ def hybrid_scores(queries: DataFrame, chunks: DataFrame, prior_kind: str | None
         c_tags.select("c_id", F.size("c_tags").alias("n_c"), F.explode("c_tags").alias("tag")), "tag"
     ).groupBy("q_id", "c_id").agg(F.count(F.lit(1)).alias("both"), F.first("n_q").alias("n_q"), F.first("n_c").alias("n_c"))
     tags = common.select("q_id", "c_id", (F.col("both") / (F.col("n_q") + F.col("n_c") - F.col("both"))).alias("tags"))
-    weights, idf = tfidf(chunks.select("c_id", "c_text"), "c_id", "c_text")
-    by_term = dot(query_weights(queries, "q_id", "q_text", idf), weights, ("q_id", "c_id"), "tfidf")
-    lexical = dot(term_weights(queries, "q_id", "q_text"), term_weights(chunks, "c_id", "c_text"), ("q_id", "c_id"), "lexical")
+    by_term, lexical = tfidf_scores(queries, chunks), lexical_scores(queries, chunks)
     keys = ["q_id", "c_id"]
     parts = lexical.join(by_term, keys, "full_outer").join(tags, keys, "full_outer").join(exact, keys, "full_outer")
     if prior_kind is not None:

@@ -598,9 +598,8 @@ def _required_attributes(spark, d):
 def _tfidf_top(spark, d):
     """Every document whose id is divisible by 100 as a query, against all documents."""
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("c_id"), F.col("text").alias("c_text"))
-    weights, _ = retrieval.tfidf(corpus, "c_id", "c_text")
-    queries = weights.where("c_id % 100 = 0").withColumnRenamed("c_id", "q_id")
-    scored = retrieval.dot(queries, weights, ("q_id", "c_id"), "tfidf").withColumn("tfidf", F.round("tfidf", 6))
+    queries = corpus.where("c_id % 100 = 0").select(F.col("c_id").alias("q_id"), F.col("c_text").alias("q_text"))
+    scored = retrieval.tfidf_scores(queries, corpus).withColumn("tfidf", F.round("tfidf", 6))
     return ordered.top_k(scored, ["q_id"], [F.desc("tfidf"), "c_id"], 5)
 
 
