@@ -64,23 +64,34 @@ def richest_per_key(df: DataFrame, keys: list[str], size: Column, order: list[st
 
 
 def assign_ids(df: DataFrame, prefix: str, order: list[str], name: str = "id", within: list[str] | None = None) -> DataFrame:
-    """Running ids ``<prefix>.<n>`` in a total order, restarting in each group of ``within``.
+    """Running ids ``<prefix>.<n>`` in a total order, restarting in each group of ``within``."""
+    numbered = number_rows(df, order, "_row_rank", within)
+    return numbered.withColumn(name, F.concat(F.lit(f"{prefix}."), F.col("_row_rank").cast("string"))).drop("_row_rank")
 
-    Without groups, rows are numbered by range partitions: counts per partition are added up, and no task sees all rows.
+
+def number_rows(df: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
+    """Rows numbered from 1 in a total order, restarting in each group of ``within``.
+
+    Rows are range-partitioned and counted per partition, so no task sees all rows, nor all rows of a large group; the
+    first number of each group, one aggregate, is taken off afterwards.
     """
-    if within:
-        number = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
-        return df.withColumn(name, F.concat(F.lit(f"{prefix}."), number.cast("string")))
-    # the numbered rows are written, so both uses below see the same range partitions
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = Scratch(df.sparkSession, "ids").save(placed.withColumn("_row_no", F.monotonically_increasing_id()))
+    keys = [*(within or []), *order]
+    # the numbered rows are written, so all uses below see the same range partitions
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    written = Scratch(df.sparkSession, "ids").save(placed.withColumn("_row_no", F.monotonically_increasing_id()))
     # the number holds the partition in its upper bits and the row within it below
-    parts = numbered.groupBy(F.shiftrightunsigned("_row_no", 33).alias("_row_part")).agg(F.count(F.lit(1)).alias("_part_size"))
+    parts = written.groupBy(F.shiftrightunsigned("_row_no", 33).alias("_row_part")).agg(F.count(F.lit(1)).alias("_part_size"))
     before = F.coalesce(F.sum("_part_size").over(Window.orderBy("_row_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select("_row_part", before.alias("_rows_before"))  # one row per partition
-    joined = numbered.withColumn("_row_part", F.shiftrightunsigned("_row_no", 33)).join(F.broadcast(offsets), "_row_part")
-    number = F.col("_rows_before") + F.col("_row_no").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return joined.withColumn(name, F.concat(F.lit(f"{prefix}."), number.cast("string"))).drop("_row_no", "_row_part", "_rows_before")
+    joined = written.withColumn("_row_part", F.shiftrightunsigned("_row_no", 33)).join(F.broadcast(offsets), "_row_part")
+    place = F.col("_rows_before") + F.col("_row_no").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    numbered = joined.withColumn(name, place).drop("_row_no", "_row_part", "_rows_before")
+    if not within:
+        return numbered
+    firsts = numbered.groupBy(*within).agg(F.min(name).alias("_first_no"))
+    same = reduce(lambda a, b: a & b, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in within])
+    both = numbered.alias("_l").join(firsts.alias("_r"), same)
+    return both.select(*[F.col(f"_l.{c}") for c in df.columns], (F.col(name) - F.col("_first_no") + 1).alias(name))
 
 
 def forward_fill(df: DataFrame, column: str, keep: Column, within: list[str], order: list[str]) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docweave.functions.text import clean_cell, or_null, rounded, shared_key, text_or_empty
 from docweave.functions.values import parse_box, parse_quantity
 from docweave.operators.matching import resolve_designations
-from docweave.operators.ordered import assign_ids, distinct_undirected, first_per_key, ordered_values
+from docweave.operators.ordered import assign_ids, distinct_undirected, first_per_key, number_rows, ordered_values
 
 #: Kinds of evidence that are cells, and field names that hold derived values.
 CELL_KINDS = ("table_cell", "excel_cell", "cell", "vl_row")
@@ -48,6 +47,10 @@ def artifacts(records: DataFrame, evidence: DataFrame) -> DataFrame:
     locator, snippet, score, decision_confidence, confidence, kind, engine.  A tabular record is one artifact, its values
     joined; others have one per piece of evidence that is text; a record without any has a stub that asks for review.
     """
+    records = records.select("record", "document", "tabular", "display_name")
+    evidence = evidence.select(
+        "record", "ord", "field", "value", "source", "page", "snippet", "score", "decision_confidence", "confidence", "kind", "engine"
+    )
     joined = evidence.join(records, "record")
     real = ~is_derived("field", "value")
     rows = joined.where(F.col("tabular") & real).groupBy("record", "document").agg(
@@ -101,13 +104,15 @@ def top_down_elements(records: DataFrame, results: DataFrame, designations: list
         F.min(F.when(F.col("value").rlike(shape), F.struct("ord", "value"))).alias("shaped"),
         F.bool_and(F.lower("value") == F.lower(F.replace("field", F.lit("_"), F.lit(" "))) ).alias("echo"),
     )
+    records = records.select("document", "record", "ord", "display_name")
     joined = records.join(agg, "record", "left").withColumn("echo", F.coalesce("echo", F.lit(False)))
     only = joined.groupBy("document").agg(F.bool_and("echo").alias("only_echo"))
     kept = joined.join(only, "document").where(~F.col("echo") | F.col("only_echo"))
     named = kept.withColumn("base", F.coalesce("known.value", "shaped.value", or_null(clean_cell("display_name")), "record"))
-    again = F.row_number().over(Window.partitionBy("document", "base").orderBy("ord", "record"))
+    again = F.col("again")
     suffix = F.when(again == 1, "").otherwise(F.concat(F.when(F.contains("base", F.lit(":")), "-").otherwise(":"), again.cast("string")))
-    full = named.withColumn("designation", F.concat("base", suffix))
+    counted = number_rows(named.select("document", "record", "ord", "base"), ["ord", "record"], "again", ["document", "base"])
+    full = counted.withColumn("designation", F.concat("base", suffix))
     terminal = F.col("designation").rlike(r"[:/]\d+|[:/](L[123]|N|PE|U\d+|V\d+|W\d+|p\d+)")
     return full.select("document", "record", "ord", "designation", F.when(terminal, "Terminal").otherwise("Consumer").alias("element_type"))
 
@@ -132,7 +137,9 @@ def attribute_rows(results: DataFrame, names: DataFrame) -> DataFrame:
 
     ``names``: field, attribute; a field without one keeps its name.  The first value of an attribute counts.
     """
-    data = results.where(~is_derived("field", "value")).join(F.broadcast(names), "field", "left")
+    known = names.groupBy("field").agg(F.min("attribute").alias("attribute"))
+    own = results.select("record", "field", "value", "ord").where(~is_derived("field", "value"))
+    data = own.join(F.broadcast(known), "field", "left")
     named = data.select("record", F.coalesce("attribute", "field").alias("attribute"), clean_cell("value").alias("value"), "ord")
     once = first_per_key(named, ["record", "attribute"], ["ord"]).withColumn("q", parse_quantity("value"))
     return once.select(
