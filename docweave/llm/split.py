@@ -100,11 +100,12 @@ def split_oversized(
     Pieces cover the text in order.  Each has at most ``limit`` tokens of the text, the first ``overlap`` of them shared
     with the piece before (0 for the first, a token or so less where the overlap would begin inside a character).  Texts
     within the limit, empty and null ones have no pieces.  A text with fewer bytes than the limit cannot exceed it and is
-    not encoded.  A cut inside a word may let a piece encode to other tokens than it had within the text.
+    not encoded.  At a cut a word may encode to other tokens than within the text, so a piece by itself may have a few more
+    or fewer; up to eight tokens, a sixteenth of a small limit, are kept free for that.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
-    body = limit - overlap
+    body = limit - overlap - min(8, limit // 16)
     large = texts.select(key, column).where(F.octet_length(column) > limit)
     encoded = encode(large, key, column, name, folder).where(F.size("ids") > limit)
     pieces = texts.sparkSession.sparkContext.broadcast(_pieces(name, folder))
