@@ -148,3 +148,19 @@ def decision_status(decision: Column | str) -> Column:
     """The short state of a decision."""
     text = text_or_empty(decision)
     return F.when(text == "present", "present").when(text == "missing", "missing").otherwise("needs_review")
+
+
+def route(rows: DataFrame, routes: dict[str, Column], name: str = "source_type") -> DataFrame:
+    """Rows once for each route whose predicate they meet."""
+    marks = F.array_compact(F.array(*[F.when(test, F.lit(n)) for n, test in routes.items()]))
+    return rows.withColumn(name, F.explode(marks))
+
+
+def with_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the verdict of an outside judge (keys, verdict, confidence) where there is one, else ``unavailable``.
+
+    The surest verdict of a key counts.  Without any verdicts every row keeps its rule-based state.
+    """
+    best = verdicts.groupBy(*keys).agg(F.max(F.struct("confidence", "verdict")).alias("_v"))
+    joined = rows.join(best, keys, "left")
+    return joined.withColumns({"verdict": F.coalesce("_v.verdict", F.lit("unavailable")), "verdict_confidence": F.col("_v.confidence")}).drop("_v")

@@ -221,3 +221,39 @@ def rescale(boxes: DataFrame, column: str, sx: float, sy: float) -> DataFrame:
     """Boxes in another resolution."""
     b = F.col(column)
     return boxes.withColumn(column, F.array(b[0] * sx, b[1] * sy, b[2] * sx, b[3] * sy))
+
+
+#: Roles of parts by their label, the first that fits decides.
+ROLES = (
+    ("module", r"\A(PXC|IO|AI|AO|DI|DO)[A-Z0-9]*"), ("terminal", r"\A-?X\d+([:./]\w+)*\z"), ("device", r"\A-?[A-Z]{1,3}\d+[A-Z0-9.\-]*\z"), ("port", r"\A\d{1,3}\z"),
+)
+
+
+def detect_parts(blocks: DataFrame) -> DataFrame:
+    """Text blocks that label a part, with its role: ``blocks`` (document, page, idx, text, box) and role, label."""
+    text, role = F.upper(F.trim("text")), None
+    for name, pattern in ROLES:
+        role = F.when(text.rlike(pattern), name) if role is None else role.when(text.rlike(pattern), name)
+    return blocks.withColumns({"role": role, "label": text}).where("role is not null")
+
+
+def nearest_between(pairs: DataFrame, candidates: DataFrame, reach: float = 120.0) -> DataFrame:
+    """document, page, pair, part_id: the candidate nearest to the line between two parts, lying between them in height.
+
+    ``pairs``: document, page, pair, ax, ay, bx, by.  ``candidates``: document, page, part_id, x, y.  Ties go to the
+    smaller part; nothing farther than ``reach`` counts.
+    """
+    near = pairs.join(candidates, PAGE).where(F.col("y").between(F.least("ay", "by"), F.greatest("ay", "by")))
+    share = F.when(F.col("by") != F.col("ay"), (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay"))).otherwise(0.5)
+    off = F.abs(F.col("x") - (F.col("ax") + share * (F.col("bx") - F.col("ax"))))
+    scored = near.withColumn("off", off).where(F.col("off") <= reach)
+    return first_per_key(scored.select(*PAGE, "pair", "off", "part_id"), [*PAGE, "pair"], ["off", "part_id"]).select(*PAGE, "pair", "part_id")
+
+
+def part_graph(parts: DataFrame, traces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a structured page: parts as nodes, traces (from, via, to) as edges from part to part."""
+    nodes = parts.select(*PAGE, F.col("part_id").alias("node_id"), F.col("role").alias("node_type"), "label", "box")
+    hops = F.array_compact(F.array("from_part", "via_part", "to_part"))
+    steps = F.zip_with(F.slice(hops, 1, F.size(hops) - 1), F.slice(hops, 2, F.size(hops) - 1), lambda a, b: F.struct(a.alias("from_node"), b.alias("to_node")))
+    edges = traces.where("from_part is not null and to_part is not null").select(*PAGE, "trace", F.explode(steps).alias("e"))
+    return nodes, edges.select(*PAGE, "trace", "e.from_node", "e.to_node").distinct()

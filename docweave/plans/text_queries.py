@@ -112,14 +112,11 @@ def _identifier_like(spark, d):
 
 @registry.add(
     "coordinates",
-    """SELECT p_partkey, (CASE WHEN p > 702 THEN chr(CAST(65 + ((p - 703) // 676) AS INT)) ELSE '' END
-       || CASE WHEN p > 26 THEN chr(CAST(65 + (((p - 27) // 26) % 26) AS INT)) ELSE '' END || chr(CAST(65 + ((p - 1) % 26) AS INT)) || CAST(p_size AS VARCHAR)) AS coord
-       FROM (SELECT p_partkey, p_partkey AS p, p_size FROM part WHERE p_partkey <= 18278 AND p_partkey > 0)""",
+    """SELECT p_partkey, (CASE WHEN p_size > 26 THEN chr(CAST(65 + (((p_size - 27) // 26) % 26) AS INT)) ELSE '' END
+       || chr(CAST(65 + ((p_size - 1) % 26) AS INT)) || CAST(p_partkey AS VARCHAR)) AS coord FROM part""",
 )
 def _coordinates(spark, d):
-    """Three letters reach column 18,278, which bounds a sheet."""
-    rows = table(spark, d, "part").where("p_partkey <= 18278 and p_partkey > 0")
-    return rows.select("p_partkey", t.cell_coordinate("p_size", "p_partkey").alias("coord"))
+    return table(spark, d, "part").select("p_partkey", t.cell_coordinate("p_partkey", "p_size").alias("coord"))
 
 
 _PREFIX3 = "|".join(p for p in t.PREFIXES if len(p) == 3)

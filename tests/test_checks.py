@@ -141,3 +141,39 @@ def test_document_model(spark):
     assert {(r.designation, r.element_type) for r in made["Element_ID"].collect()} == {("K1", "Contactor"), ("K2:1", "Terminal"), ("r3", "Consumer")}
     assert {(r.attribute, r.normalized, r.unit) for r in made["Element_Data"].collect()} >= {("Power", "5", "kW")}
     assert made["Connection_ID"].count() == 1
+
+
+def test_field_values_and_named_sheets(spark):
+    from docweave.operators import extract
+
+    fields = spark.createDataFrame([("power", "Leistung", 1), ("power", "Power", 0), ("medium", "Stoff", 0)], "field string, alias string, ord int")
+    pairs = spark.createDataFrame([("r", "leistung", "5 kW", 0.6), ("s", "power", "7 kW", 0.9)], "record string, key string, value string, confidence double")
+    hits = spark.createDataFrame([("r", "power", 1, "Power", "6 kW", "", 0.8), ("r", "medium", 2, "", "", "x\nStoff : Öl\n", 0.5), ("r", "medium", 1, "anders", "z", None, 0.9)], "record string, field string, rank int, key string, value string, text string, score double")
+    got = {(r.record, r.field): (r.value, r.method) for r in extract.field_values(fields, pairs, hits).collect()}
+    assert got == {("r", "power"): ("6 kW", "structured_hit"), ("r", "medium"): ("Öl", "line_hit"), ("s", "power"): ("7 kW", "alias")}
+    cells = spark.createDataFrame([("d", "S", 2, 1, "a"), ("d", "S", 2, 2, "b"), ("d", "T", 2, 1, "z")], "document string, sheet string, row int, col int, value string")
+    heads = spark.createDataFrame([("d", "S", 1, "LABEL", 1), ("d", "S", 2, "label", 1), ("d", "T", 1, "label", 1)], "document string, sheet string, col int, header string, header_row int")
+    assert [(r.field, r.value) for r in extract.extract_named_sheet(cells, heads, spark.createDataFrame([("Label",)], "field string"), "S").collect()] == [("Label", "a")]
+
+
+def test_graph_connections_routes_and_verdicts(spark):
+    from docweave.operators import decide, extract, pages
+
+    nodes = spark.createDataFrame([("d", 1, "a", "X1"), ("d", 1, "b", "K1")], "document string, page int, node_id string, label string")
+    edges = spark.createDataFrame([("d", 1, 1, "a", "b", "w", 0.6), ("d", 1, 2, "a", "b", "v", 0.9), ("d", 1, 3, "a", "zz", "w", 0.9)], "document string, page int, ord int, from_node string, to_node string, wire string, confidence double")
+    got = extract.graph_connections(edges, nodes, spark.createDataFrame([("X1",), ("K1",), ("X1",)], "token string")).collect()
+    assert [(r.from_label, r.to_label, r.wire, r.confidence, r.status) for r in got] == [("X1", "K1", "w", 0.7, "filled")]
+    rows = spark.createDataFrame([("1", "pdf"), ("2", "xml"), ("3", None)], "k string, t string")
+    routed = decide.route(rows, {"a": F.col("t") == "pdf", "b": F.col("t").isNotNull()})
+    assert sorted((r.k, r.source_type) for r in routed.collect()) == [("1", "a"), ("1", "b"), ("2", "b")]
+    judged = decide.with_verdicts(rows, spark.createDataFrame([("1", "yes", 0.4), ("1", "no", 0.8)], "k string, verdict string, confidence double"), ["k"])
+    assert {r.k: r.verdict for r in judged.collect()} == {"1": "no", "2": "unavailable", "3": "unavailable"}
+    blocks = spark.createDataFrame([("d", 1, 1, " x1:2 "), ("d", 1, 2, "PXC4"), ("d", 1, 3, "-K1"), ("d", 1, 4, "7"), ("d", 1, 5, "freier Text"), ("d", 1, 6, None)], "document string, page int, idx int, text string")
+    assert {r.idx: r.role for r in pages.detect_parts(blocks).collect()} == {1: "terminal", 2: "module", 3: "device", 4: "port"}
+    pairs = spark.createDataFrame([("d", 1, "p", 0.0, 0.0, 0.0, 100.0)], "document string, page int, pair string, ax double, ay double, bx double, by double")
+    near = pages.nearest_between(pairs, spark.createDataFrame([("d", 1, "t1", 5.0, 50.0), ("d", 1, "t2", 1.0, 150.0), ("d", 1, "t3", 90.0, 50.0)], "document string, page int, part_id string, x double, y double"))
+    assert [r.part_id for r in near.collect()] == ["t1"]
+    parts = spark.createDataFrame([("d", 1, "a", "t", "A", [0.0]), ("d", 1, "b", "t", "B", [0.0])], "document string, page int, part_id string, role string, label string, box array<double>")
+    traces = spark.createDataFrame([("d", 1, "t1", "a", "v", "b"), ("d", 1, "t2", "a", None, "b"), ("d", 1, "t3", "a", None, None)], "document string, page int, trace string, from_part string, via_part string, to_part string")
+    _, links = pages.part_graph(parts, traces)
+    assert {(r.trace, r.from_node, r.to_node) for r in links.collect()} == {("t1", "a", "v"), ("t1", "v", "b"), ("t2", "a", "b")}
