@@ -20,17 +20,15 @@ def identity_keys(row_columns: list[str], candidates: list[str]) -> Column:
 
 
 def key_index(rows: DataFrame, scope: str, keys: Column, record: str) -> DataFrame:
-    """scope, key, records (sorted, distinct): which records carry a key."""
-    exploded = rows.select(F.col(scope).alias("scope"), F.explode(keys).alias("key"), F.col(record).cast("string").alias("record")).distinct()
-    return exploded.groupBy("scope", "key").agg(F.sort_array(F.collect_set("record")).alias("records"))
+    """scope, key, record: which records carry a key; one row each, however many share a key."""
+    return rows.select(F.col(scope).alias("scope"), F.explode(keys).alias("key"), F.col(record).cast("string").alias("record")).distinct()
 
 
 def evidence_index(rows: DataFrame, tag: str, record: str, kind: str, kinds: dict[str, list[str]]) -> DataFrame:
-    """key and, per group of evidence kinds, the sorted records that carry the tag with such evidence; ``all`` has every one."""
-    groups = {"all": None} | kinds
-    picked = {n: (F.lit(True) if k is None else F.col(kind).isin(*k)) for n, k in groups.items()}
+    """key, record and a flag per group of evidence kinds the record has for the tag."""
     keyed = rows.withColumn("key", normalize_identifier(tag)).where("key <> ''")
-    return keyed.groupBy("key").agg(*[F.sort_array(F.collect_set(F.when(p, F.col(record)))).alias(n) for n, p in picked.items()])
+    flags = [F.max(F.coalesce(F.col(kind).isin(*k), F.lit(False))).alias(n) for n, k in kinds.items()]
+    return keyed.groupBy("key", F.col(record).alias("record")).agg(*flags)
 
 
 def presence_by_source(entities: DataFrame, occurrences: DataFrame, sources: list[str]) -> DataFrame:

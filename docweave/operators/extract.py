@@ -250,9 +250,9 @@ def stronger_result(results: DataFrame) -> DataFrame:
 
 
 def value_index(results: DataFrame) -> DataFrame:
-    """root, key, records (sorted): which records hold a value, name or key, by folded text."""
+    """root, key, record: which records hold a value, name or key, by folded text; one row each, however many share a key."""
     parts = [results.select("root", normalize_identifier(c).alias("key"), "record") for c in ("value", "display_name", "record")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("key <> ''").groupBy("root", "key").agg(F.sort_array(F.collect_set("record")).alias("records"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("key <> ''").distinct()
 
 
 #: Patterns of title-block entries: field and expression.

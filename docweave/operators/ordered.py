@@ -89,33 +89,75 @@ def number_rows(df: DataFrame, order: list[str], name: str, within: list[str] |
     if not within:
         return numbered
     firsts = numbered.groupBy(*within).agg(F.min(name).alias("_first_no"))
-    same = reduce(lambda a, b: a & b, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in within])
-    both = numbered.alias("_l").join(firsts.alias("_r"), same)
+    both = numbered.alias("_l").join(firsts.alias("_r"), _same(within, "_l", "_r"))
     return both.select(*[F.col(f"_l.{c}") for c in df.columns], (F.col(name) - F.col("_first_no") + 1).alias(name))
 
 
-def forward_fill(df: DataFrame, column: str, keep: Column, within: list[str], order: list[str]) -> DataFrame:
-    """Values where ``keep`` holds, carried forward within each group."""
-    window = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(column, F.last(F.when(keep, F.col(column)), ignorenulls=True).over(window))
+#: Rows of a group that one task handles when a window slides over it.
+BLOCK_ROWS = 100_000
 
 
-def look_ahead(df: DataFrame, value: Column, ok: Column, reach: int, within: list[str], order: list[str], name: str) -> DataFrame:
-    """The first accepted value of the next ``reach`` rows."""
-    window = Window.partitionBy(*within).orderBy(*order).rowsBetween(1, reach)
-    return df.withColumn(name, F.first(F.when(ok, value), ignorenulls=True).over(window))
+def _same(keys: list[str], left: str, right: str) -> Column:
+    """Equality of keys in which nulls are equal."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def neighbours(df: DataFrame, column: str, reach: int, within: list[str], order: list[str], name: str) -> DataFrame:
-    """The values of up to ``reach`` rows before and after, the row itself included."""
-    window = Window.partitionBy(*within).orderBy(*order).rowsBetween(-reach, reach)
-    return df.withColumn(name, F.collect_list(column).over(window))
+def forward_fill(
+    df: DataFrame, column: str, keep: Column, within: list[str], order: list[str], block: int = BLOCK_ROWS
+) -> DataFrame:
+    """Values where ``keep`` holds, carried forward within each group; null before the first.
+
+    A group is filled in blocks of rows, and each block starts with the last value of the blocks before it, so a large
+    group is spread over tasks.
+    """
+    numbered = number_rows(df.withColumn("_kept", F.struct(F.coalesce(keep, F.lit(False)).alias("is"), F.col(column).alias("v"))), order, "_n", within)
+    placed = numbered.withColumn("_block", F.floor(F.col("_n") / block))
+    value = F.when(F.col("_kept.is"), F.struct(F.col("_kept.v").alias("v")))  # a struct, so a kept null is told from none
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy(*within, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
+    ends = placed.where("_kept.is").groupBy(*within, "_block").agg(F.max(F.struct("_n", "_kept.v")).alias("_end"))
+    blocks = placed.select(*within, "_block").distinct().alias("b").join(ends.alias("e"), _same([*within, "_block"], "b", "e"), "left")
+    before = Window.partitionBy(*[F.col(f"b.{w}") for w in within]).orderBy("b._block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*[F.col(f"b.{c}").alias(c) for c in [*within, "_block"]], F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    joined = placed.withColumn("_own", own).alias("l").join(carried.alias("r"), _same([*within, "_block"], "l", "r"))
+    filled = F.when(F.col("_own").isNotNull(), F.col("_own.v")).otherwise(F.col("_carry.v"))
+    return joined.select(*[filled.alias(c) if c == column else F.col(f"l.{c}").alias(c) for c in df.columns])
+
+
+def _with_halo(df: DataFrame, reach: int, within: list[str], order: list[str], block: int) -> DataFrame:
+    """Numbered rows in blocks (``_block``), rows near an edge also in the next block; ``_home`` tells their own block."""
+    numbered = number_rows(df, order, "_n", within)
+    home = F.floor(F.col("_n") / block)
+    near = F.array_distinct(F.array(home, F.floor((F.col("_n") - reach) / block), F.floor((F.col("_n") + reach) / block)))
+    return numbered.withColumns({"_home": home, "_block": F.explode(near)})
+
+
+def look_ahead(
+    df: DataFrame, value: Column, ok: Column, reach: int, within: list[str], order: list[str], name: str, block: int = BLOCK_ROWS
+) -> DataFrame:
+    """The first accepted value of the next ``reach`` rows of the group; large groups are handled in blocks."""
+    marked = df.withColumn("_seen", F.when(ok, value))
+    placed = _with_halo(marked, reach, within, order, block)
+    window = Window.partitionBy(*within, "_block").orderBy("_n").rowsBetween(1, reach)
+    found = placed.withColumn(name, F.first("_seen", ignorenulls=True).over(window))
+    return found.where("_block = _home").select(*df.columns, name)
+
+
+def neighbours(
+    df: DataFrame, column: str, reach: int, within: list[str], order: list[str], name: str, block: int = BLOCK_ROWS
+) -> DataFrame:
+    """The values of up to ``reach`` rows before and after, the row itself included; large groups are handled in blocks."""
+    window = Window.partitionBy(*within, "_block").orderBy("_n").rowsBetween(-reach, reach)
+    found = _with_halo(df, reach, within, order, block).withColumn(name, F.collect_list(column).over(window))
+    return found.where("_block = _home").select(*df.columns, name)
 
 
 def consecutive_pairs(df: DataFrame, key: str, within: list[str], order: list[str]) -> DataFrame:
-    """within, from_id, to_id of rows that follow each other."""
-    following = F.lead(key).over(Window.partitionBy(*within).orderBy(*order))
-    return df.select(*within, F.col(key).alias("from_id"), following.alias("to_id")).where("to_id is not null")
+    """within, from_id, to_id of rows that follow each other: a join of row numbers, so a large group is spread."""
+    rest = [o for o in order if o != key and o not in within]
+    numbered = number_rows(df.select(*within, key, *rest), order, "_n", within)
+    left = numbered.select(*within, F.col(key).alias("from_id"), "_n").alias("l")
+    right = numbered.select(*within, F.col(key).alias("to_id"), (F.col("_n") - 1).alias("_n")).alias("r")
+    return left.join(right, _same([*within, "_n"], "l", "r")).select(*[F.col(f"l.{w}").alias(w) for w in within], "from_id", "to_id")
 
 
 def duplicates(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -45,13 +45,12 @@ def _cross_check_summary(spark, d):
 
 @registry.add(
     "tag_index",
-    f"""SELECT scope, key, array_to_string(list_sort(list(DISTINCT record)), ',') AS records FROM (SELECT family AS scope, record_key AS record,
-    unnest(list_distinct(list_filter([{sql_identifier('canonical_tag')}, {sql_identifier('display_name')}], lambda x: x <> ''))) AS key FROM source_entity) GROUP BY ALL""",
+    f"""SELECT DISTINCT scope, key, record FROM (SELECT family AS scope, record_key AS record,
+    unnest(list_filter([{sql_identifier('canonical_tag')}, {sql_identifier('display_name')}], lambda x: x <> '')) AS key FROM source_entity)""",
 )
 def _tag_index(spark, d):
     rows = table(spark, d, "source_entity")
-    found = crosscheck.key_index(rows, "family", crosscheck.identity_keys(rows.columns, ["canonical_tag", "tag", "display_name"]), "record_key")
-    return found.withColumn("records", F.array_join("records", ","))
+    return crosscheck.key_index(rows, "family", crosscheck.identity_keys(rows.columns, ["canonical_tag", "tag", "display_name"]), "record_key")
 
 
 @registry.add(

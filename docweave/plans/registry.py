@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +23,13 @@ class Registry:
         def register(function: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is defined twice")
-            self.queries[name] = function
+
+            @wraps(function)
+            def query(spark: SparkSession, folder: str) -> DataFrame:
+                ship(spark)
+                return function(spark, folder)
+
+            self.queries[name] = query
             if sql:
                 self.oracle[name] = sql
             return function

@@ -675,12 +675,12 @@ def _text_connections(spark, d):
 
 @registry.add(
     "value_index",
-    f"""SELECT key, array_to_string(list_sort(list(DISTINCT r)), ',') AS records FROM (SELECT {sql_identifier('raw_value')} AS key, document_id AS r FROM document_data WHERE document_id IS NOT NULL
-    UNION ALL SELECT {sql_identifier('attribute_name')}, document_id FROM document_data WHERE document_id IS NOT NULL UNION ALL SELECT {sql_identifier('document_id')}, document_id FROM document_data WHERE document_id IS NOT NULL) WHERE key <> '' GROUP BY key""",
+    f"""SELECT DISTINCT key, record FROM (SELECT {sql_identifier('raw_value')} AS key, document_id AS record FROM document_data WHERE document_id IS NOT NULL
+    UNION ALL SELECT {sql_identifier('attribute_name')}, document_id FROM document_data WHERE document_id IS NOT NULL UNION ALL SELECT {sql_identifier('document_id')}, document_id FROM document_data WHERE document_id IS NOT NULL) WHERE key <> ''""",
 )
 def _value_index(spark, d):
     rows = table(spark, d, "document_data").where("document_id is not null").select(F.lit("").alias("root"), F.col("raw_value").alias("value"), F.col("attribute_name").alias("display_name"), F.col("document_id").alias("record"))
-    return extract.value_index(rows).select("key", F.array_join("records", ",").alias("records"))
+    return extract.value_index(rows).select("key", "record")
 
 
 # ---------------------------------------------------------------- graphs

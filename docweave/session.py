@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +30,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where it is installed, whatever their working folder.
+
+    On a cluster whose nodes do not share that place, pass the package with ``--py-files`` instead.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    parts = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *parts])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``folder``; columns are pruned by the plan that reads it."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -45,10 +45,10 @@ def test_cross_checks(spark):
     assert got == {"a": ("", 0, "No completion required"), "b": ("y", 1, "Add y"), "c": ("x | y", 2, "Add y")}
     assert tuple(crosscheck.summary(crosscheck.missing_targets(flags, ["x", "y"], {})).first()) == (3, 2, 3)
     rows = spark.createDataFrame([("r", "A-1", "n", "pdf"), ("s", "a1", None, "xml"), ("t", "", "", "pdf")], "record string, tag string, name string, kind string")
-    index = {(r.scope, r.key): r.records for r in crosscheck.key_index(rows.withColumn("s", F.lit("p")), "s", crosscheck.identity_keys(rows.columns, ["tag", "name", "none"]), "record").collect()}
-    assert index == {("p", "a1"): ["r", "s"], ("p", "n"): ["r"]}
-    evidence = crosscheck.evidence_index(rows, "tag", "record", "kind", {"pdf": ["pdf"], "xml": ["xml"]}).first()
-    assert (evidence["all"], evidence.pdf, evidence.xml) == (["r", "s"], ["r"], ["s"])
+    index = crosscheck.key_index(rows.withColumn("s", F.lit("p")), "s", crosscheck.identity_keys(rows.columns, ["tag", "name", "none"]), "record")
+    assert {tuple(r) for r in index.collect()} == {("p", "a1", "r"), ("p", "a1", "s"), ("p", "n", "r")}
+    evidence = crosscheck.evidence_index(rows, "tag", "record", "kind", {"pdf": ["pdf"], "xml": ["xml"]})
+    assert {tuple(r) for r in evidence.collect()} == {("a1", "r", True, False), ("a1", "s", False, True)}
     state = crosscheck.category_state(spark.createDataFrame([("a", "x", False), ("b", "x", True), ("c", None, None)], "k string, c string, b boolean"), "k", "c", ["x"], "b")
     assert {r.k: r.state for r in state.collect()} == {"a": "present", "b": "conflict", "c": "missing"}
 

@@ -235,3 +235,25 @@ def test_exports(spark, collect):
     nested = export.nested_documents(spark.createDataFrame([("i", "M", 0, "p", 0, "true"), ("i", "M", 0, "q", 1, "x"), ("i", "M", 0, "q", 2, "y")], "identity string, submodel string, submodel_ord int, name string, ord int, value string"), "t")
     got = {(r.predicate, r.object) for r in export.triples(nested, "identity", "payload").collect()}
     assert ("submodels.submodelElements.value", "x") in got and ("submodels.submodelElements.valueType", "xs:boolean") in got
+
+
+@pytest.mark.parametrize("block", [3, 100_000])
+def test_windows_over_large_groups(spark, block):
+    random.seed(block)
+    values = [("hot", i, random.choice(["a", "b", "", None])) for i in range(40)] + [(None, 2, "x"), (None, 1, ""), ("one", 1, None)]
+    frame = spark.createDataFrame(values, "g string, o int, v string").repartition(5)
+    groups = {g: sorted((o, v) for h, o, v in values if h == g) for g in {v[0] for v in values}}
+    keep = F.coalesce(F.col("v"), F.lit("")) != ""
+    filled = {(r.g, r.o): r.v for r in ordered.forward_fill(frame, "v", keep, ["g"], ["o"], block=block).collect()}
+    ahead = {(r.g, r.o): r.n for r in ordered.look_ahead(frame, F.col("v"), keep, 3, ["g"], ["o"], "n", block=block).collect()}
+    around = {(r.g, r.o): r.n for r in ordered.neighbours(frame.withColumn("s", F.col("o").cast("string")), "s", 2, ["g"], ["o"], "n", block=block).collect()}
+    pairs = {(r.g, r.from_id, r.to_id) for r in ordered.consecutive_pairs(frame, "o", ["g"], ["o"]).collect()}
+    for g, rows in groups.items():
+        last = None
+        for i, (o, v) in enumerate(rows):
+            last = v if v else last
+            assert filled[g, o] == last
+            assert ahead[g, o] == next((w for _, w in rows[i + 1 : i + 4] if w), None)
+            assert around[g, o] == [str(p) for p, _ in rows[max(0, i - 2) : i + 3]]
+            assert i == 0 or (g, rows[i - 1][0], o) in pairs
+    assert len(pairs) == sum(len(r) - 1 for r in groups.values()) and len(filled) == len(values)
