@@ -191,10 +191,20 @@ def test_estimation_separates_matches():
     level = np.where(rng.random((4000, 4)) < np.where(match, 0.9, 0.1)[:, None], 1, 0)
     level[rng.random((4000, 4)) < 0.1] = -1
     patterns, where, counts = np.unique(level, axis=0, return_inverse=True, return_counts=True)
-    model = linkage.estimate(patterns, counts.astype(float), [2] * 4)
+    model = linkage.estimate(patterns, counts.astype(float), [2] * 4, kinds=1)
     guess = model.posterior(patterns)[where.ravel()] > 0.5
     assert abs(model.share - 0.2) < 0.03 and (guess == match).mean() > 0.95
-    assert linkage.estimate(np.zeros((0, 4), int), np.zeros(0), [2] * 4).share == 0.3
+    assert linkage.estimate(np.zeros((0, 4), int), np.zeros(0), [2] * 4).share == pytest.approx(0.3)
+
+
+def test_neighbours_are_no_matches():
+    rng = np.random.default_rng(2)
+    kind = rng.choice(3, 6000, p=[0.3, 0.3, 0.4])  # matches, neighbours, chance
+    agree = np.array([[0.95] * 8, [0.95] * 4 + [0.05] * 4, [0.9] + [0.05] * 7])
+    level = (rng.random((6000, 8)) < agree[kind]).astype(int)
+    patterns, where, counts = np.unique(level, axis=0, return_inverse=True, return_counts=True)
+    guess = linkage.estimate(patterns, counts.astype(float), [2] * 8).posterior(patterns)[where.ravel()] > 0.5
+    assert (guess == (kind == 0)).mean() > 0.98
 
 
 def test_core_tags(spark):
@@ -226,7 +236,7 @@ def test_devices_and_records(spark):
     found = match_devices(entities(spark, "record_key", records), entities(spark, "device_id", devices)).collect()
     got = {(r.record_key, r.device_id) for r in found}
     assert len(got & truth) / len(got) > 0.97 and len(got & truth) / len(truth) > 0.93
-    assert all(0.5 <= r.confidence <= 1 for r in found) and len(got) == len(found)
+    assert all(0.2 <= r.confidence <= 1 for r in found) and len(got) == len(found)
 
 
 def test_large_blocks_are_refined_and_copies_cost_nothing(spark):
