@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,23 @@ def similarity_ratio(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
+def _may_reach(left: pd.Series, right: pd.Series, edits: int) -> np.ndarray:
+    """Pairs whose common characters, counted without order in 64 classes, allow so few edits: an upper bound of the ratio."""
+
+    def counts(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        upper = texts.str.upper()
+        sizes = upper.str.len().to_numpy()
+        points = np.frombuffer("".join(upper).encode("utf-32-le"), np.uint32) % 64
+        row = np.repeat(np.arange(len(texts)), sizes)
+        return np.bincount(row * 64 + points, minlength=len(texts) * 64).reshape(len(texts), 64), sizes
+
+    if not len(left):
+        return np.zeros(0, bool)
+    (a, n), (b, m) = counts(left), counts(right)
+    bound = 2 * np.minimum(a, b).sum(axis=1) / np.maximum(n + m, 1)
+    return (1 - bound) * np.maximum(n, m) <= edits + 0.5 + 1e-9
+
+
 def ratio_matches(pairs: DataFrame, edits: int = 2) -> DataFrame:
     """left_key, right_key, edits, ratio of candidate pairs by matching blocks, best per left key.
 
@@ -88,15 +106,29 @@ def ratio_matches(pairs: DataFrame, edits: int = 2) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ratio = [similarity_ratio(a.upper(), b.upper()) for a, b in zip(batch["left_key"], batch["right_key"], strict=True)]
-            longest = [max(len(a), len(b), 1) for a, b in zip(batch["left_key"], batch["right_key"], strict=True)]
-            yield batch.assign(ratio=ratio, edits=[round((1 - r) * n) for r, n in zip(ratio, longest, strict=True)])
+            near = batch[_may_reach(batch["left_key"], batch["right_key"], edits)]
+            ratio = [similarity_ratio(a.upper(), b.upper()) for a, b in zip(near["left_key"], near["right_key"], strict=True)]
+            longest = [max(len(a), len(b), 1) for a, b in zip(near["left_key"], near["right_key"], strict=True)]
+            yield near.assign(ratio=ratio, edits=[round((1 - r) * n) for r, n in zip(ratio, longest, strict=True)])
 
     scored = pairs.select("left_key", "right_key").mapInPandas(score, "left_key string, right_key string, ratio double, edits bigint")
     kept = scored.where(F.col("edits") <= edits).withColumn("order", -F.col("ratio"))
     return first_per_key(kept, ["left_key"], ["order", "right_key"]).select("left_key", "right_key", "edits", "ratio")
 
 
+def best_by_ratio(left: DataFrame, right: DataFrame, key: str, edits: int = 2) -> DataFrame:
+    """left_key, right_key, edits, ratio: the text itself where the right side has it, else the best partner by ratio.
+
+    Only texts without an equal partner are compared, since nothing can be nearer than an equal text.
+    """
+    l_side, r_side = (x.select(F.col(key)).where(F.col(key) != "").distinct() for x in (left, right))
+    exact = l_side.join(r_side, key, "left_semi").select(
+        F.col(key).alias("left_key"), F.col(key).alias("right_key"), F.lit(0).cast("bigint").alias("edits"), F.lit(1.0).alias("ratio")
+    )
+    rest = l_side.join(r_side, key, "left_anti")
+    return exact.unionByName(ratio_matches(ratio_candidates(rest, r_side, key, edits), edits))
+
+
 def ratio_candidates(left: DataFrame, right: DataFrame, key: str, edits: int = 2) -> DataFrame:
     """Pairs that can have at most ``edits`` by ratio, and whose lengths differ by no more.
 

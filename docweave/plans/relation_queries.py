@@ -51,7 +51,7 @@ def _akz_levenshtein(spark, d):
 def _akz_ratcliff(spark, d):
     """Best partner by matching blocks; tested against a plain comparison of all pairs."""
     left, right = _tags(spark, d, "source_entity"), _tags(spark, d, "target_entity")
-    return matching.ratio_matches(matching.ratio_candidates(left, right, "key"))
+    return matching.best_by_ratio(left, right, "key")
 
 
 @registry.add(

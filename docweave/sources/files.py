@@ -46,33 +46,41 @@ def discover(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 def classify(files: DataFrame) -> DataFrame:
     """``files`` (path) with kind and families, by an ordered cascade of folder, name and type; unknown types are dropped."""
-    relative = compact(fold_path("path"))
-    name = compact(fold_path(file_name(F.col("path"))))
-    suffix = extension(F.col("path"))
-    both = F.concat_ws(" ", name, relative)
-    data_sheet = both.rlike(_SHEET)
-    listed = F.contains(relative, F.lit("verschaltungslisten"))
+    # the folded texts are computed once, as the variable of a lambda, however many rules read them
+    folded = F.struct(
+        compact(fold_path("path")).alias("relative"), compact(fold_path(file_name(F.col("path")))).alias("name"), extension(F.col("path")).alias("suffix")
+    )
+    number = F.get(F.transform(F.array(folded), _rule), F.lit(0))
+    kinds = F.array(*[F.lit(k) for k, _ in KINDS])
+    families = F.array(*[F.array(*[F.lit(x) for x in f]).cast("array<string>") for _, f in KINDS])
+    ruled = files.withColumn("_rule", number).where("_rule is not null")
+    return ruled.withColumns({"kind": F.get(kinds, F.col("_rule")), "families": F.get(families, F.col("_rule"))}).drop("_rule")
+
+
+#: Kinds of sources and the record families they give, in the order of the rules below.
+KINDS = (
+    ("STELLEN_OVERVIEW", ("STELLEN_OVERVIEW_RECORD",)), ("DEVICE_DATASHEET", ("STELLEN_TU_DATASHEET",)), ("STELLEN_TU", ("STELLEN_TU_DATASHEET",)),
+    ("RI_FLOWSHEET", _FLOW_ROWS), ("RI_FLOWSHEET", ()), ("IFC_MODEL", ("IFC_PIPING_ITEM_ROW", "IFC_CONNECTION_ROW")), ("STROMLAUFPLAN", _CIRCUIT),
+    ("KLEMMENPLAN", ("KLEMMENPLAN_ROW",)), ("VERSCHALTUNGSLISTE", ("VERSCHALTUNGSLISTE_ROW",)), ("CABINET_REFERENCE", ("CABINET_REFERENCE_ROW",)),
+    ("DEVICE_DATASHEET", ("STELLEN_TU_DATASHEET",)), ("STROMLAUFPLAN", _CIRCUIT),
+    ("IFC_MODEL", ("IFC_3D_ASSEMBLY_STEP", "IFC_3D_ASSEMBLY_CONNECTION", "IFC_3D_POSITION", "IFC_3D_PART_LIBRARY")), ("IFC_MODEL", ()),
+    ("CABINET_REFERENCE", ("CABINET_REFERENCE_ROW",)),
+)
+
+
+def _rule(s: Column) -> Column:
+    """Number of the first rule that fits a folded path, null for unknown types."""
+    relative, name, suffix = s["relative"], s["name"], s["suffix"]
+    data_sheet = F.concat_ws(" ", name, relative).rlike(_SHEET)
+    places, listed = F.contains(relative, F.lit("stellenplaene")), F.contains(relative, F.lit("verschaltungslisten"))
     circuit = name.rlike("stromlauf|sromlauf|stromkreis|iobaugruppe") | F.contains(relative, F.lit("stromlaufplane"))
-    wide = suffix.isin(".xls", ".xlsx")
-    rules = [
-        (F.contains(relative, F.lit("stellenplaene")) & name.rlike("stellenubersicht|stellenuebersicht"), "STELLEN_OVERVIEW", ("STELLEN_OVERVIEW_RECORD",)),
-        (F.contains(relative, F.lit("stellenplaene")) & data_sheet, "DEVICE_DATASHEET", ("STELLEN_TU_DATASHEET",)),
-        (F.contains(relative, F.lit("stellenplaene")), "STELLEN_TU", ("STELLEN_TU_DATASHEET",)),
-        (relative.rlike(_FLOW) & (suffix == ".pdf"), "RI_FLOWSHEET", _FLOW_ROWS),
-        (relative.rlike(_FLOW), "RI_FLOWSHEET", ()),
-        (suffix == ".ifc", "IFC_MODEL", ("IFC_PIPING_ITEM_ROW", "IFC_CONNECTION_ROW")),
-        (listed & (suffix == ".pdf") & circuit, "STROMLAUFPLAN", _CIRCUIT),
-        (listed & name.rlike("klemmenplan|klemmplan"), "KLEMMENPLAN", ("KLEMMENPLAN_ROW",)),
-        (listed & F.contains(name, F.lit("verschaltungsliste")), "VERSCHALTUNGSLISTE", ("VERSCHALTUNGSLISTE_ROW",)),
-        (listed, "CABINET_REFERENCE", ("CABINET_REFERENCE_ROW",)),
-        (data_sheet, "DEVICE_DATASHEET", ("STELLEN_TU_DATASHEET",)),
-        (suffix == ".pdf", "STROMLAUFPLAN", _CIRCUIT),
-        (F.contains(name, F.lit("assembly3dtemplate")), "IFC_MODEL", ("IFC_3D_ASSEMBLY_STEP", "IFC_3D_ASSEMBLY_CONNECTION", "IFC_3D_POSITION", "IFC_3D_PART_LIBRARY")),
-        (wide & F.contains(relative, F.lit("piping")) & name.rlike("mapping|assembly|filled"), "IFC_MODEL", ()),
-        (wide, "CABINET_REFERENCE", ("CABINET_REFERENCE_ROW",)),
-    ]
-    kind, families = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-    for test, k, f in reversed(rules):
-        kind = F.when(test, k).otherwise(kind)
-        families = F.when(test, F.array(*[F.lit(x) for x in f]).cast("array<string>")).otherwise(families)
-    return files.withColumns({"kind": kind, "families": families}).where("kind is not null")
+    wide, flow = suffix.isin(".xls", ".xlsx"), relative.rlike(_FLOW)
+    tests = [
+        places & name.rlike("stellenubersicht|stellenuebersicht"), places & data_sheet, places, flow & (suffix == ".pdf"), flow, suffix == ".ifc",
+        listed & (suffix == ".pdf") & circuit, listed & name.rlike("klemmenplan|klemmplan"), listed & F.contains(name, F.lit("verschaltungsliste")), listed,
+        data_sheet, suffix == ".pdf", F.contains(name, F.lit("assembly3dtemplate")), wide & F.contains(relative, F.lit("piping")) & name.rlike("mapping|assembly|filled"), wide,
+    ]
+    chain = F.when(tests[0], 0)
+    for i, test in enumerate(tests[1:], 1):
+        chain = chain.when(test, i)
+    return chain

@@ -47,6 +47,8 @@ def test_ratio_matches_against_all_pairs(spark):
             if abs(len(a) - len(b)) <= 2 and round((1 - r) * max(len(a), len(b))) <= 2 and (a not in want or (-r, b) < (-want[a][1], want[a][0])):
                 want[a] = (b, r)
     assert got == {a: (b, round(r, 9)) for a, (b, r) in want.items()}
+    whole = matching.best_by_ratio(keys(spark, [*left, None, ""]), keys(spark, right), "key")
+    assert {r.left_key: (r.right_key, round(r.ratio, 9)) for r in whole.collect()} == got
 
 
 def test_exact_or_stripped(spark, collect):
