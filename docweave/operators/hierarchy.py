@@ -4,6 +4,9 @@ The frontier of each level is joined with the links not used so far.  A small fr
 map over the remaining links without a shuffle; a large one is joined by shuffle under adaptive skew handling, because
 one parent may hold a large share of all children.  Deep trees end in many levels of few nodes: once no more than a stated
 number of links is left, one task walks them level by level.  Whatever no root reaches lies on a cycle or below one.
+
+Where a node has several parents a root may also reach a cycle, so there a node counts as reached only once all its
+parents have been; what never is lies on a cycle or below one.
 """
 
 from __future__ import annotations
@@ -68,36 +71,36 @@ def hierarchy(
             "node_label", F.col("node_label").alias("root_label"), F.lit(0).cast("bigint").alias("depth"), *path
         )
     )
+    reached = (_reach if _is_tree(edges) else _peel)(frontier, edges, scratch, broadcast_rows, last_rows)
+    return nodes.select("node_label").join(reached, "node_label", "left").select(
+        "node_label",
+        F.coalesce("root_label", F.lit("")).alias("root_label"),
+        F.coalesce("depth", F.lit(-1).cast("bigint")).alias("depth"),
+        F.col("depth").isNull().alias("in_cycle"),
+        *([F.coalesce("path", F.array().cast("array<string>")).alias("path")] if with_path else []),
+    )
+
+
+def _reach(frontier: DataFrame, edges: DataFrame, scratch: Scratch, broadcast_rows: int, last_rows: int) -> DataFrame:
+    """All nodes the roots in ``frontier`` reach, if no node has two parents."""
+    with_path = "path" in frontier.columns
     levels, merged, unused, left = [frontier], [], edges, edges.count()
     size, used, since = frontier.count(), 0, []
-    tree = _is_tree(edges)
-    seen = None if tree else scratch.save(nodes.where("is_child = 0").select("node_label"))
     while size and left:
-        if tree and left + size <= last_rows:
+        if left + size <= last_rows:
             levels.append(scratch.save(_walk(frontier, unused)))
             break
         small = size <= broadcast_rows
         step = unused.join(F.broadcast(frontier) if small else frontier, unused["parent"] == frontier["node_label"])
         longer = [F.concat("path", F.array("child")).alias("path")] if with_path else []
         found = step.select(
-            F.col("child").alias("node_label"), "root_label", (F.col("depth") + 1).alias("depth"), "parent", *longer
+            F.col("child").alias("node_label"), "root_label", (F.col("depth") + 1).alias("depth"), *longer
         )
-        if not tree:  # several parents: keep the first way to reach a node, and no node twice
-            keep = F.struct("parent", "root_label", *(["path"] if with_path else []))
-            found = (
-                found.groupBy("node_label", "depth")
-                .agg(F.min(keep).alias("best"))
-                .select("node_label", "best.root_label", "depth", *(["best.path"] if with_path else []))
-                .join(seen, "node_label", "left_anti")
-                .select("node_label", "root_label", "depth", *(["path"] if with_path else []))
-            )
         since.append(frontier.select("node_label"))
-        frontier = scratch.save(found.drop("parent"))
+        frontier = scratch.save(found)
         size = frontier.count()
         used += size
         levels.append(frontier)
-        if not tree:
-            seen = seen.unionByName(frontier.select("node_label"))
         if size and used >= PRUNE_SHARE * left:
             rest = scratch.save(unused.join(_union(since), F.col("parent") == F.col("node_label"), "left_anti"))
             if unused is not edges:
@@ -106,17 +109,37 @@ def hierarchy(
         if len(levels) > MERGE_LEVELS:  # keeps the final plan short for deep trees; each level is rewritten once
             old, levels, since = levels[:-1], levels[-1:], [_union(since)] if since else []
             merged.append(scratch.save(_union(old)))
-            if not tree:
-                seen = scratch.save(_union([*merged, frontier]).select("node_label"))
-    levels = merged + levels
-    reached = _union(levels)
-    return nodes.select("node_label").join(reached, "node_label", "left").select(
-        "node_label",
-        F.coalesce("root_label", F.lit("")).alias("root_label"),
-        F.coalesce("depth", F.lit(-1).cast("bigint")).alias("depth"),
-        F.col("depth").isNull().alias("in_cycle"),
-        *([F.coalesce("path", F.array().cast("array<string>")).alias("path")] if with_path else []),
-    )
+    return _union(merged + levels)
+
+
+def _peel(frontier: DataFrame, edges: DataFrame, scratch: Scratch, broadcast_rows: int, last_rows: int) -> DataFrame:
+    """All nodes that lie neither on a cycle nor below one, if nodes may have several parents.
+
+    A node is settled once all its parents are, by the best of the ways they offer: the smallest depth, then the smallest
+    parent.  ``waiting`` holds the best offer so far of nodes with an unsettled parent.
+    """
+    state = [c for c in frontier.columns if c not in ("node_label", "depth")]
+    levels, merged, unused, waiting, size = [frontier], [], edges, None, frontier.count()
+    while size:
+        start = frontier.withColumnRenamed("node_label", "parent")
+        longer = [F.concat("path", F.array("child")).alias("path")] if "path" in state else []
+        offers = unused.join(F.broadcast(start) if size <= broadcast_rows else start, "parent").select(
+            F.col("child").alias("node_label"), (F.col("depth") + 1).alias("depth"), "parent", "root_label", *longer
+        )
+        best = F.min(F.struct("depth", "parent", *state)).alias("best")
+        both = offers if waiting is None else offers.unionByName(waiting)
+        kept = scratch.save(both.groupBy("node_label").agg(best).select("node_label", "best.*"))
+        rest = scratch.save(unused.join(frontier.select(F.col("node_label").alias("parent")), "parent", "left_anti"))
+        blocked = rest.select(F.col("child").alias("node_label")).distinct()
+        frontier = scratch.save(kept.join(blocked, "node_label", "left_anti").select(*frontier.columns))
+        old, waiting = waiting, scratch.save(kept.join(blocked, "node_label", "left_semi"))
+        scratch.drop(kept, old, unused if unused is not edges else None)
+        unused, size = rest, frontier.count()
+        levels.append(frontier)
+        if len(levels) > MERGE_LEVELS:
+            merged.append(scratch.save(_union(levels[:-1])))
+            levels = levels[-1:]
+    return _union(merged + levels)
 
 
 def _walk(frontier: DataFrame, unused: DataFrame) -> DataFrame:

@@ -111,6 +111,18 @@ def test_hierarchy_with_several_parents(spark):
     assert got == {"r": ("r", 0), "q": ("q", 0), "a": ("r", 1), "b": ("q", 1), "c": ("q", 2), "d": ("q", 3)}
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_circles_that_a_root_reaches(spark, limit):
+    pairs = [
+        ("r", "a"), ("a", "c"), ("c", "d"), ("d", "c"), ("d", "below"), ("a", "below"), ("r", "s"), ("s", "s"),
+        ("r", "far"), ("a", "mid"), ("mid", "far"), ("far", "end"), ("q", "mid"),
+    ]
+    got = {r.node_label: (r.root_label, r.depth, r.in_cycle, tuple(r.path)) for r in hierarchy(links(spark, pairs), broadcast_rows=limit).collect()}
+    assert all(got[x] == ("", -1, True, ()) for x in ("c", "d", "below", "s"))
+    assert got["a"] == ("r", 1, False, ("r", "a")) and got["mid"] == ("q", 1, False, ("q", "mid"))
+    assert got["far"] == ("r", 1, False, ("r", "far")) and got["end"] == ("r", 2, False, ("r", "far", "end")) and len(got) == 10
+
+
 @pytest.mark.parametrize(("limit", "last"), [(1_000_000, 0), (0, 0), (1_000_000, 1_000_000)])
 def test_deep_hierarchy_and_descendants(spark, limit, last):
     pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(30)] + [("n000", f"leaf{i}") for i in range(30)]
