@@ -16,6 +16,8 @@ from docweave.operators.ordered import consecutive_pairs
 #: Parts of the hybrid score, and thresholds of a bundle.
 SCORE = {"exact": 0.35, "tags": 0.15, "tfidf": 0.25, "lexical": 0.15, "embedding": 0.05, "prior": 0.05}
 SUPPORT, CONTRADICTION = 0.45, 0.2
+#: Chunks of one identifier that one task pairs with as many others.
+TILE_ROWS = 1_000
 
 
 def identifiers(text: Column | str, values: Column | None = None, short: int | None = 40) -> Column:
@@ -156,23 +158,30 @@ def same_document_edges(chunks: DataFrame) -> DataFrame:
     return _edge(pairs.withColumn("reason", F.col("document")), "same_document", 0.2)
 
 
-def shared_identifier_edges(chunks: DataFrame, hot: int = 64) -> DataFrame:
-    """Edges between chunks that share an identifier.
+def shared_identifier_edges(chunks: DataFrame, hot: int | None = None, tile: int = TILE_ROWS) -> DataFrame:
+    """Edges between chunks that share an identifier: every pair, however many chunks hold it.
 
-    An identifier of up to ``hot`` chunks links every pair.  One of more chunks links each chunk to the first of them
-    (a star), which keeps all connections and grows with the chunks rather than with their pairs.
+    The chunks of an identifier are spread over tiles of about ``tile`` chunks, and every two tiles meet under a key of
+    their own, so no task holds all pairs of one identifier.  Only if ``hot`` is given, an identifier of more chunks than
+    that links each chunk to the first of them instead (a star).
     """
     held = chunks.select("c_id", "ord", F.explode(identifiers("c_text", short=None)).alias("identifier")).distinct()
     sizes = held.groupBy("identifier").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "c_id")).alias("first")).where("n > 1")
     sized = held.join(sizes, "identifier")
-    small = sized.where(F.col("n") <= hot)
-    left, right = (small.select("identifier", F.struct("ord", "c_id").alias(x)) for x in "lr")
-    pairs = left.join(right, "identifier").where("l < r").select("identifier", F.col("l.c_id").alias("from_id"), F.col("r.c_id").alias("to_id"))
-    star = sized.where((F.col("n") > hot) & (F.col("c_id") != F.col("first.c_id"))).select(
-        "identifier", F.col("first.c_id").alias("from_id"), F.col("c_id").alias("to_id")
+    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("bigint")
+    paired = sized if hot is None else sized.where(F.col("n") <= hot)
+    spread = paired.select("identifier", F.struct("ord", "c_id").alias("x"), tiles.alias("tiles"), F.pmod(F.xxhash64("ord", "c_id"), tiles).alias("own"))
+    left = spread.select("identifier", F.col("x").alias("l"), F.col("own").alias("a"), F.explode(F.sequence("own", F.col("tiles") - 1)).alias("b"))
+    right = spread.select("identifier", F.col("x").alias("r"), F.explode(F.sequence(F.lit(0).cast("bigint"), "own")).alias("a"), F.col("own").alias("b"))
+    met = left.join(right, ["identifier", "a", "b"]).where("a < b or l < r")
+    pairs = met.select("identifier", F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).select(
+        "identifier", F.col("l.c_id").alias("from_id"), F.col("r.c_id").alias("to_id")
     )
-    edges = pairs.unionByName(star).withColumn("reason", F.col("identifier"))
-    named = _edge(edges, "shared_identifier", 1.0)
+    edges = pairs
+    if hot is not None:
+        star = sized.where((F.col("n") > hot) & (F.col("c_id") != F.col("first.c_id")))
+        edges = pairs.unionByName(star.select("identifier", F.col("first.c_id").alias("from_id"), F.col("c_id").alias("to_id")))
+    named = _edge(edges.withColumn("reason", F.col("identifier")), "shared_identifier", 1.0)
     return named.withColumn("edge_id", F.concat_ws("::", "edge_id", "reason"))
 
 

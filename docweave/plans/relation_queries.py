@@ -357,7 +357,7 @@ def _same_document_edges(spark, d):
 
 @registry.add("shared_identifier_edges")
 def _shared_identifier_edges(spark, d):
-    """Chunks that name the same designation; hot designations as stars."""
+    """Chunks that name the same designation, every pair."""
     rows = ch.latest_copies(table(spark, d, "chunks"), ["id"], ["text"]).select(F.col("id").alias("c_id"), F.col("id").alias("ord"), F.col("text").alias("c_text"))
     return retrieval.shared_identifier_edges(rows)
 

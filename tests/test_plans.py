@@ -77,6 +77,14 @@ def test_shared_identifiers_pairs_and_star(spark):
     assert retrieval.same_document_edges(rows).count() == 6
 
 
+def test_shared_identifiers_of_many_chunks(spark):
+    rows = spark.createDataFrame([(i, -i, "d", "Kabel X1:1") for i in range(150)], "c_id int, ord int, document string, c_text string")
+    every = {(i, j) for i in range(150) for j in range(i)}
+    for found in (retrieval.shared_identifier_edges(rows), retrieval.shared_identifier_edges(rows, tile=20)):
+        got = [(r.from_id, r.to_id) for r in found.collect()]
+        assert len(got) == len(every) and set(got) == every
+
+
 def test_cosine_search_in_blocks(spark):
     vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)] + [(99, [0.0, 0.0, 0.0])], "v_id int, vector array<double>")
     got = retrieval.cosine_search(vectors.where("v_id < 3").withColumnRenamed("v_id", "q_id"), vectors, 2).collect()
