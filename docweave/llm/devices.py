@@ -138,12 +138,6 @@ def passes() -> dict[str, Column]:
     }
 
 
-def refine() -> Column:
-    """Splits a block that is too large: the pair must share one of these as well."""
-    none = F.array().cast("array<string>")
-    return F.flatten(F.array(*[F.coalesce(F.col(c), none) for c in ("tags", "place", "rack", "position")]))
-
-
 def comparisons() -> list[Comparison]:
     """Agreement levels of the features, strongest last."""
     same = F.col("l_tag") == F.col("r_tag")
@@ -166,5 +160,5 @@ def match_devices(records: DataFrame, devices: DataFrame, threshold: float = 0.2
 
     A record goes to its likeliest device, so few others compete with a low confidence; the default asks for 0.2.
     """
-    found = link(features(records, "record_key"), features(devices, "device_id"), passes(), refine(), comparisons(), threshold)
+    found = link(features(records, "record_key"), features(devices, "device_id"), passes(), comparisons(), threshold)
     return found.select(F.col("l_key").alias("record_key"), F.col("r_key").alias("device_id"), "confidence")

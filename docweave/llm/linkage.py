@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from docweave.scratch import Scratch
 
-#: Blocks with more pairs than this are refined by a second attribute before they are joined.
-BLOCK_PAIRS = 20_000
+#: Signatures of one block that one join key pairs with as many of the other side.
+TILE_ROWS = 1_000
 #: Patterns the driver may hold: the product of the levels is far above what occurs, which this bounds.
 MAX_PATTERNS = 200_000
 
@@ -98,38 +98,43 @@ def _named(name: str, keys: Column) -> Column:
     return F.transform(keys, lambda k: F.concat(F.lit(f"{name}|"), k))
 
 
-def candidates(left: DataFrame, right: DataFrame, passes: dict[str, Column], refine: Column, scratch: Scratch) -> DataFrame:
-    """Distinct (l_sig, r_sig) that share a block.
+def candidates(left: DataFrame, right: DataFrame, passes: dict[str, Column], scratch: Scratch, tile: int = TILE_ROWS) -> DataFrame:
+    """Distinct (l_sig, r_sig) that share a block; every pair of a block, however large it is.
 
-    A block of more than ``BLOCK_PAIRS`` pairs is not joined as it is: its members are split by each further attribute in
-    ``refine`` (an array of keys), so a pair in it must share one of those too.  A pair that agrees on the one key of the
-    block and on nothing else is no match by any comparison.  Refined blocks are joined whole, however large.
+    A block of more than ``tile`` members on a side is cut into tiles of about that many, and every tile of one side meets
+    every tile of the other under a key of its own, so no task holds all pairs of a block.
     """
     l_blocks = scratch.save(_blocks(left, passes, "l_"))
     r_blocks = scratch.save(_blocks(right, passes, "r_"))
     l_sizes = l_blocks.groupBy("block").agg(F.count(F.lit(1)).alias("l_n"))
     r_sizes = r_blocks.groupBy("block").agg(F.count(F.lit(1)).alias("r_n"))
     large = scratch.save(
-        l_sizes.join(r_sizes, "block").where(F.col("l_n") * F.col("r_n") > BLOCK_PAIRS).select("block")
+        l_sizes.join(r_sizes, "block")
+        .where(F.greatest("l_n", "r_n") > tile)
+        .select("block", *[F.ceil(F.col(f"{x}_n") / F.lit(tile)).cast("bigint").alias(f"{x}_tiles") for x in "lr"])
     )
     small = l_blocks.join(large, "block", "left_anti").join(r_blocks.join(large, "block", "left_anti"), "block")
     pairs = small.select("l_sig", "r_sig")
     if not large.isEmpty():
-
-        def split(blocks: DataFrame, side: DataFrame, prefix: str) -> DataFrame:
-            more = side.select(F.col("sig").alias(f"{prefix}sig"), F.explode(F.array_distinct(F.array_compact(refine))).alias("further"))
-            return blocks.join(large, "block", "left_semi").join(more, f"{prefix}sig")
-
-        fine = split(l_blocks, left, "l_").join(split(r_blocks, right, "r_"), ["block", "further"])
+        fine = _tiled(l_blocks, large, "l", "r").join(_tiled(r_blocks, large, "r", "l"), ["block", "l_tile", "r_tile"])
         pairs = pairs.unionByName(fine.select("l_sig", "r_sig"))
     return pairs.distinct()
 
 
+def _tiled(blocks: DataFrame, large: DataFrame, own: str, other: str) -> DataFrame:
+    """The members of large blocks, each in one tile of its side and once for every tile of the other side."""
+    return blocks.join(large, "block").select(
+        "block",
+        f"{own}_sig",
+        F.pmod(F.xxhash64(f"{own}_sig"), f"{own}_tiles").alias(f"{own}_tile"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_tiles") - 1)).alias(f"{other}_tile"),
+    )
+
+
 def link(
     left: DataFrame,
     right: DataFrame,
     passes: dict[str, Column],
-    refine: Column,
     comparisons: list[Comparison],
     threshold: float = 0.5,
 ) -> DataFrame:
@@ -148,7 +153,7 @@ def link(
 
     l_all, r_all = signed(left), signed(right)
     l_one, r_one = (scratch.save(x.drop("key").dropDuplicates(["sig"])) for x in (l_all, r_all))
-    pairs = candidates(l_one, r_one, passes, refine, scratch)
+    pairs = candidates(l_one, r_one, passes, scratch)
     l_side = l_one.select(*[F.col(c).alias(f"l_{c}") for c in ["sig", *features]])
     r_side = r_one.select(*[F.col(c).alias(f"r_{c}") for c in ["sig", *features]])
     level = [F.coalesce(c.level.cast("int"), F.lit(-1)).cast("string") for c in comparisons]

@@ -249,6 +249,14 @@ def test_large_blocks_are_refined_and_copies_cost_nothing(spark):
     assert {(f"REC-X{i:03}", f"DEV-X{i:03}") for i in range(200)} <= got
 
 
+def test_large_blocks_lose_no_pair(spark):
+    def side(prefix):
+        return [(f"{prefix}-{i:03}", None, f"Alpha{i} Beta{i} Gamma{i}", None, ["TX1000", "W1000", f"SK{100 + i}"], "2020") for i in range(160)]
+
+    found = match_devices(entities(spark, "record_key", side("REC")), entities(spark, "device_id", side("DEV"))).collect()
+    assert {(r.record_key, r.device_id) for r in found} == {(f"REC-{i:03}", f"DEV-{i:03}") for i in range(160)}
+
+
 def test_linking_nothing(spark):
     none = entities(spark, "record_key", []), entities(spark, "device_id", [])
     assert match_devices(*none).count() == 0
