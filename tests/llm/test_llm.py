@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docweave.llm import canonical, components, linkage, mixture, split, tokens
-from docweave.llm.devices import core_tag, features, match_devices
+from docweave.llm.devices import core_tag, features, match_devices, passes
+from docweave.scratch import Scratch
 
 NASTY = [
     "", None, " ", "\n\n", "Hello's WORLD don't 12345 !!!", "Größe: 12,5 mm² – ok ?", "日本語テキスト。次の文", "👩‍👩‍👧 emoji", "a" * 30_000, "<|endoftext|>", "x\x00y", "tab\t \t\tend  ",
@@ -257,6 +258,20 @@ def test_large_blocks_lose_no_pair(spark):
     assert {(r.record_key, r.device_id) for r in found} == {(f"REC-{i:03}", f"DEV-{i:03}") for i in range(160)}
 
 
+def test_tiles_of_a_large_block(spark):
+    def side(prefix, n):
+        lists = ", ".join(f"{c} array<string>" for c in ("tags", "loop", "place", "rack", "project", "plant", "position"))
+        return spark.createDataFrame([(f"{prefix}{i:03}", ["GR10T100"], *[None] * 6) for i in range(n)], f"sig string, {lists}")
+
+    left, right = side("l", 90), side("r", 40)
+    scratch = Scratch(spark, "blocks")
+    for tile in (1_000, 25, 60):
+        assert linkage.candidates(left, right, passes(), scratch, tile).count() == 90 * 40
+    large = spark.createDataFrame([("tag|GR10T100", 4, 2)], "block string, l_tiles long, r_tiles long")
+    spread = linkage._tiled(linkage._blocks(left, passes(), "l_"), large, "l", "r").groupBy("l_tile", "r_tile").count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 45 and sum(r["count"] for r in spread) == 180
+
+
 def test_linking_nothing(spark):
     none = entities(spark, "record_key", []), entities(spark, "device_id", [])
     assert match_devices(*none).count() == 0
