@@ -34,7 +34,7 @@ def _pattern(body: int, least: int) -> str:
 
 
 class _Shape:
-    """Per text: one class character per token, and the number of characters that end in each token."""
+    """Per text, which is passed on: one class character per token, and the number of characters that end in each token."""
 
     def __init__(self, key: str, pieces):
         self.key, self.pieces = key, pieces
@@ -83,7 +83,7 @@ class _Shape:
                 pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(code.tobytes())]
             ).cast(pa.large_string()).cast(pa.string())
             count = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(chars[ids], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(self.key), shape, count], names=[self.key, "shape", "chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(self.key), batch.column("_text"), shape, count], names=[self.key, "_text", "shape", "chars"])
 
 
 def split_oversized(
@@ -106,10 +106,10 @@ def split_oversized(
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
     body = limit - overlap - min(8, limit // 16)
-    large = texts.select(key, column).where(F.octet_length(column) > limit)
-    encoded = encode(large, key, column, name, folder).where(F.size("ids") > limit)
+    large = texts.select(key, F.col(column).alias("_text")).where(F.octet_length("_text") > limit)
+    encoded = encode(large, key, "_text", name, folder, keep=["_text"]).where(F.size("ids") > limit)
     pieces = texts.sparkSession.sparkContext.broadcast(_pieces(name, folder))
-    shaped = encoded.mapInArrow(_Shape(key, pieces), encoded.select(key).schema.add("shape", "string").add("chars", INTS))
+    shaped = encoded.mapInArrow(_Shape(key, pieces), encoded.select(key, "_text").schema.add("shape", "string").add("chars", INTS))
     taken = F.transform(F.regexp_extract_all("shape", F.lit(_pattern(body, max(1, body // 4))), F.lit(0)), F.length)
     # token offset at which each piece's own part begins, one more than there are pieces
     begins = F.aggregate(
@@ -117,7 +117,7 @@ def split_oversized(
     )
     spans = shaped.withColumn("taken", taken).withColumn("begins", begins)
     rows = spans.select(
-        key, "shape", "chars", F.posexplode("taken").alias("piece_no", "own"), "begins"
+        key, "_text", "shape", "chars", F.posexplode("taken").alias("piece_no", "own"), "begins"
     ).withColumn("begin", F.get("begins", F.col("piece_no")))
     # the overlap starts at the first token, from the wanted one on, that begins a character
     back = F.least(F.lit(overlap), "begin")
@@ -128,17 +128,15 @@ def split_oversized(
     look = F.when(back == F.col("begin"), back).otherwise(F.greatest(look, F.lit(0)))
     cut = rows.withColumn("overlap", look).select(
         key,
+        "_text",
         "piece_no",
         (F.col("own") + F.col("overlap")).alias("n_tokens"),
         F.col("overlap").cast("int").alias("overlap"),
         _total("chars", F.lit(0), F.col("begin") - F.col("overlap")).alias("start"),
         _total("chars", F.col("begin") - F.col("overlap"), F.col("own") + F.col("overlap")).alias("length"),
     )
-    return (
-        cut.join(large, key)
-        .withColumn("text", F.substring(F.col(column), F.col("start") + 1, F.col("length")))
-        .select(key, "piece_no", "start", "length", F.col("n_tokens").cast("int").alias("n_tokens"), "overlap", "text")
-    )
+    text = F.substring("_text", F.col("start") + 1, F.col("length")).alias("text")
+    return cut.select(key, "piece_no", "start", "length", F.col("n_tokens").cast("int").alias("n_tokens"), "overlap", text)
 
 
 def _total(column: str, start, count):

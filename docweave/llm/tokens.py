@@ -87,8 +87,8 @@ def encode(
 ) -> DataFrame:
     """key, ids (array of int) of every row, and the columns ``keep``; the ids of a null or empty text are an empty array.
 
-    Special tokens are never produced: their strings are ordinary text.  ``key`` must be unique where words beyond
-    ``hot_words`` occur.  Other columns are not read.
+    Special tokens are never produced: their strings are ordinary text.  Keys may be null or repeated.  Other columns are
+    not read.
     """
     spark = texts.sparkSession
     names = [key, *(keep or [])]
@@ -112,16 +112,17 @@ def encode(
     if distinct <= hot_words:
         return named(words.mapInArrow(_Lookup(kept, held, False), plain))
     cold_schema = words.select(*kept).schema.add("ids", INTS).add("gaps", T.ArrayType(T.StringType()))
-    first = scratch.save(words.mapInArrow(_Lookup(kept, held, True), cold_schema))
+    # the row number is written with the first pass, so it stays the same in both reads
+    first = scratch.save(words.mapInArrow(_Lookup(kept, held, True), cold_schema).withColumn("_row", F.monotonically_increasing_id()))
     complete = first.where("size(gaps) = 0").select(*kept, "ids")
     gaps = first.where("size(gaps) > 0")
     filled = (
-        gaps.select("_k0", F.posexplode("gaps").alias("at", "word"))
+        gaps.select("_row", F.posexplode("gaps").alias("at", "word"))
         .join(table.select("word", F.col("ids").alias("piece_ids")), "word")
-        .groupBy("_k0")
+        .groupBy("_row")
         .agg(F.sort_array(F.collect_list(F.struct("at", "piece_ids"))).alias("fill"))
     )
-    whole = gaps.select(*kept, "ids").join(filled.select("_k0", F.col("fill.piece_ids").alias("fill")), "_k0")
+    whole = gaps.select("_row", *kept, "ids").join(filled.select("_row", F.col("fill.piece_ids").alias("fill")), "_row").drop("_row")
     return named(complete.unionByName(whole.mapInArrow(_Fill(kept), complete.schema)))
 
 

@@ -214,6 +214,21 @@ def test_core_tags(spark):
     assert {r.x: r.y for r in frame.select("x", core_tag("x").alias("y")).collect()} == cases
 
 
+def test_null_and_repeated_keys(spark, library):
+    values = [(None, "alpha beta"), (None, "gamma delta alpha"), (1, "one two three"), (1, "four alpha"), (1, ""), (2, None), (3, "alpha")]
+    frame = spark.createDataFrame(values, "doc_id long, text string")
+    for hot in (0, 2):
+        got = sorted(((r.doc_id, list(r.ids)) for r in tokens.encode(frame, hot_words=hot).collect()), key=repr)
+        assert got == sorted(((k, library(t)) for k, t in values), key=repr)
+    long = [(None, "red green blue " * 60), (None, "one two three " * 70), (5, "north south " * 80), (5, "east west " * 90)]
+    pieces = split.split_oversized(spark.createDataFrame(long, "doc_id long, text string"), limit=64, overlap=0).collect()
+    for k in (None, 5):
+        own = [t for key, t in long if key == k]
+        got = [p for p in pieces if p.doc_id == k]
+        assert sum(p.piece_no == 0 for p in got) == 2 and sum(len(p.text) for p in got) == sum(map(len, own))
+        assert all(any(t[p.start : p.start + p.length] == p.text for t in own) for p in got)
+
+
 ENTITY = "canonical_tag string, display_name string, normalized_tags array<string>, context_tokens array<string>, updated_at string, words string"
 
 
