@@ -46,6 +46,7 @@ def artifacts(records: DataFrame, evidence: DataFrame) -> DataFrame:
     ``records``: record, document, tabular (boolean), display_name.  ``evidence``: record, ord, field, value, source, page,
     locator, snippet, score, decision_confidence, confidence, kind, engine.  A tabular record is one artifact, its values
     joined; others have one per piece of evidence that is text; a record without any has a stub that asks for review.
+    Texts are kept whole.
     """
     records = records.select("record", "document", "tabular", "display_name")
     evidence = evidence.select(
@@ -59,12 +60,12 @@ def artifacts(records: DataFrame, evidence: DataFrame) -> DataFrame:
     )
     tabular = rows.select(
         "record", "document", text_or_empty("first.source").alias("source"), text_or_empty("first.page").alias("page"),
-        F.substring(F.array_join("parts", " | "), 1, 500).alias("text"), F.lit("Cell").alias("operation"), F.lit("Native_Table_Row").alias("method"),
+        F.array_join("parts", " | ").alias("text"), F.lit("Cell").alias("operation"), F.lit("Native_Table_Row").alias("method"),
         F.coalesce("least", F.lit(1.0)).alias("confidence"), "ord",
     )
     snippet = clean_cell("snippet")
     single = joined.where(~F.col("tabular") & ~text_or_empty("field").rlike(DERIVED_FIELDS) & (snippet != "") & ~snippet.rlike(_BOX)).select(
-        "record", "document", text_or_empty("source").alias("source"), text_or_empty("page").alias("page"), F.substring(snippet, 1, 500).alias("text"),
+        "record", "document", text_or_empty("source").alias("source"), text_or_empty("page").alias("page"), snippet.alias("text"),
         evidence_operation("kind", "source").alias("operation"), evidence_method("kind", "engine").alias("method"),
         evidence_confidence(F.col("score"), F.col("decision_confidence"), F.col("confidence")).alias("confidence"), "ord",
     )

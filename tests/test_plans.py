@@ -130,6 +130,16 @@ def test_text_connections(spark):
     assert got["X1:1", "X2:2"] == (0.7, "filled") and all(c >= 0.45 for c, _ in got.values())
 
 
+def test_artifacts_keep_long_texts(spark):
+    records = spark.createDataFrame([("r", "d", False, "R"), ("s", "d", True, "S"), ("t", "d", True, "T")], "record string, document string, tabular boolean, display_name string")
+    fields = "record string, ord int, field string, value string, source string, page string, locator string, snippet string, score double, decision_confidence double, confidence double, kind string, engine string"
+    long = "x" * 600
+    texts = [("r", 1, "", f"{long}1"), ("r", 2, "", f"{long}2"), ("s", 1, f"{long}3", ""), ("t", 1, f"{long}4", "")]
+    evidence = spark.createDataFrame([(r, n, "tag", v, "a.pdf", "1", "", snippet, 0.0, 0.0, 0.8, "native_text", "") for r, n, v, snippet in texts], fields)
+    found, links = relational.objects(relational.artifacts(records, evidence))
+    assert {r.text for r in found.collect()} == {f"{long}{i}" for i in range(1, 5)} and links.count() == 4
+
+
 def test_artifacts_and_links(spark):
     records = spark.createDataFrame([("r", "d", False, "R"), ("s", "d", True, "S"), ("t", "d", False, "T")], "record string, document string, tabular boolean, display_name string")
     fields = "record string, ord int, field string, value string, source string, page string, locator string, snippet string, score double, decision_confidence double, confidence double, kind string, engine string"
