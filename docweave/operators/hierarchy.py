@@ -1,9 +1,10 @@
 """Parent-child links to full hierarchies: root, depth, path and descendants of every node, and cycle detection.
 
-The frontier of each level is joined with the links not used so far.  A small frontier is broadcast, so the level is a
-map over the remaining links without a shuffle; a large one is joined by shuffle under adaptive skew handling, because
-one parent may hold a large share of all children.  Deep trees end in many levels of few nodes: once no more than a stated
-number of links is left, one task walks them level by level.  Whatever no root reaches lies on a cycle or below one.
+The frontier of each round is joined with a table of hops, the chains of up to ``span`` links, so one round settles that
+many levels.  At first the hops are the links themselves; once the wide levels near the roots are settled, the hops left
+are joined with themselves, which doubles the span each round, so deep trees take a number of rounds that grows with the
+logarithm of their depth.  Joins run under adaptive skew handling, because one parent may hold a large share of all
+children.  Whatever no root reaches lies on a cycle or below one.
 
 Where a node has several parents a root may also reach a cycle, so there a node counts as reached only once all its
 parents have been; what never is lies on a cycle or below one.
@@ -11,20 +12,15 @@ parents have been; what never is lies on a cycle or below one.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.scratch import Scratch
 
-#: A frontier of at most this many rows is broadcast; labels and paths are bounded by depth, so this is a few MB.
-BROADCAST_ROWS = 50_000
-#: The unused links are rewritten once this share of them has been used.
-PRUNE_SHARE = 0.2
-#: With at most this many links and frontier nodes left, the remaining levels are walked by one task.
-LAST_ROWS = 20_000
+#: Levels settled link by link before hops are joined with themselves.
+PLAIN_LEVELS = 4
+#: Hops may grow to this many times the links; beyond it their span stays as it is.
+HOP_SHARE = 4
 #: Levels written together after so many.
 MERGE_LEVELS = 24
 
@@ -44,8 +40,6 @@ def hierarchy(
     parent: str = "parent_label",
     child: str = "child_label",
     with_path: bool = True,
-    broadcast_rows: int = BROADCAST_ROWS,
-    last_rows: int = LAST_ROWS,
 ) -> DataFrame:
     """One row per node: node_label, root_label, depth (bigint), in_cycle, and path (array from the root) if wanted.
 
@@ -71,7 +65,7 @@ def hierarchy(
             "node_label", F.col("node_label").alias("root_label"), F.lit(0).cast("bigint").alias("depth"), *path
         )
     )
-    reached = (_reach if _is_tree(edges) else _peel)(frontier, edges, scratch, broadcast_rows, last_rows)
+    reached = (_reach if _is_tree(edges) else _peel)(frontier, edges, scratch)
     return nodes.select("node_label").join(reached, "node_label", "left").select(
         "node_label",
         F.coalesce("root_label", F.lit("")).alias("root_label"),
@@ -81,38 +75,50 @@ def hierarchy(
     )
 
 
-def _reach(frontier: DataFrame, edges: DataFrame, scratch: Scratch, broadcast_rows: int, last_rows: int) -> DataFrame:
+def _reach(frontier: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """All nodes the roots in ``frontier`` reach, if no node has two parents."""
     with_path = "path" in frontier.columns
-    levels, merged, unused, left = [frontier], [], edges, edges.count()
-    size, used, since = frontier.count(), 0, []
-    while size and left:
-        if left + size <= last_rows:
-            levels.append(scratch.save(_walk(frontier, unused)))
+    via = [F.array("child").alias("via")] if with_path else []
+    hops = edges.select(F.col("parent").alias("above"), F.col("child").alias("below"), F.lit(1).alias("steps"), *via)
+    links = rows = edges.count()
+    span, saved, levels, merged, settled = 1, None, [frontier], [], []  # settled: nodes whose hops are used up
+    while rows:
+        longer = [F.concat("path", "via").alias("path")] if with_path else []
+        step = hops.join(frontier, hops["above"] == frontier["node_label"]).select(
+            F.col("below").alias("node_label"), "root_label", (F.col("depth") + F.col("steps")).alias("depth"), *longer,
+            (F.col("steps") == span).alias("last"),
+        )
+        found = scratch.save(step)
+        if found.where("last").isEmpty():
+            levels.append(found.drop("last"))
             break
-        small = size <= broadcast_rows
-        step = unused.join(F.broadcast(frontier) if small else frontier, unused["parent"] == frontier["node_label"])
-        longer = [F.concat("path", F.array("child")).alias("path")] if with_path else []
-        found = step.select(
-            F.col("child").alias("node_label"), "root_label", (F.col("depth") + 1).alias("depth"), *longer
-        )
-        since.append(frontier.select("node_label"))
-        frontier = scratch.save(found)
-        size = frontier.count()
-        used += size
-        levels.append(frontier)
-        if size and used >= PRUNE_SHARE * left:
-            rest = scratch.save(unused.join(_union(since), F.col("parent") == F.col("node_label"), "left_anti"))
-            if unused is not edges:
-                scratch.drop(unused)
-            unused, left, used, since = rest, rest.count(), 0, []
+        settled += [frontier.select("node_label"), found.where("not last").select("node_label")]
+        frontier = found.where("last").drop("last")
+        levels.append(found.drop("last"))
+        if len(levels) + len(merged) > PLAIN_LEVELS:
+            rest = scratch.save(hops.join(_union(settled), F.col("above") == F.col("node_label"), "left_anti"))
+            scratch.drop(saved)
+            hops = saved = rest
+            rows, settled = rest.count(), []
+            if 0 < rows <= HOP_SHARE * links:
+                hops = saved = scratch.save(rest.unionByName(_composed(rest, span)))
+                scratch.drop(rest)
+                span *= 2
         if len(levels) > MERGE_LEVELS:  # keeps the final plan short for deep trees; each level is rewritten once
-            old, levels, since = levels[:-1], levels[-1:], [_union(since)] if since else []
-            merged.append(scratch.save(_union(old)))
+            merged.append(scratch.save(_union(levels)))
+            settled, levels = [_union(settled)] if settled else [], []
     return _union(merged + levels)
 
 
-def _peel(frontier: DataFrame, edges: DataFrame, scratch: Scratch, broadcast_rows: int, last_rows: int) -> DataFrame:
+def _composed(hops: DataFrame, span: int) -> DataFrame:
+    """The hops of more than ``span`` and at most twice as many links: a longest one, then any from where it ends."""
+    first = hops.where(F.col("steps") == span).select("above", F.col("below").alias("mid"), *[F.col("via").alias("way") for c in hops.columns if c == "via"])
+    second = hops.select(F.col("above").alias("mid"), "below", "steps", *[c for c in hops.columns if c == "via"])
+    way = [F.concat("way", "via").alias("via")] if "via" in hops.columns else []
+    return first.join(second, "mid").select("above", "below", (F.col("steps") + F.lit(span)).alias("steps"), *way)
+
+
+def _peel(frontier: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """All nodes that lie neither on a cycle nor below one, if nodes may have several parents.
 
     A node is settled once all its parents are, by the best of the ways they offer: the smallest depth, then the smallest
@@ -123,7 +129,7 @@ def _peel(frontier: DataFrame, edges: DataFrame, scratch: Scratch, broadcast_row
     while size:
         start = frontier.withColumnRenamed("node_label", "parent")
         longer = [F.concat("path", F.array("child")).alias("path")] if "path" in state else []
-        offers = unused.join(F.broadcast(start) if size <= broadcast_rows else start, "parent").select(
+        offers = unused.join(start, "parent").select(
             F.col("child").alias("node_label"), (F.col("depth") + 1).alias("depth"), "parent", "root_label", *longer
         )
         best = F.min(F.struct("depth", "parent", *state)).alias("best")
@@ -142,28 +148,6 @@ def _peel(frontier: DataFrame, edges: DataFrame, scratch: Scratch, broadcast_row
     return _union(merged + levels)
 
 
-def _walk(frontier: DataFrame, unused: DataFrame) -> DataFrame:
-    """All nodes below the frontier, by one task that gets the bounded rest of the links."""
-    with_path = "path" in frontier.columns
-    columns = ["node_label", "root_label", "depth", *(["path"] if with_path else [])]
-
-    def walk(start: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        children: dict[str, list[str]] = defaultdict(list)
-        for p, c in zip(links["parent"], links["child"], strict=True):
-            children[p].append(c)
-        level, found = [tuple(r) for r in start[columns].itertuples(index=False)], []
-        while level:
-            level = [
-                (c, node[1], node[2] + 1, *([[*node[3], c]] if with_path else [])) for node in level for c in children.get(node[0], ())
-            ]
-            found += level
-        return pd.DataFrame(found, columns=columns)
-
-    one = [F.lit(0).alias("one")]
-    left = frontier.select(*columns, *one).groupBy("one")
-    return left.cogroup(unused.select("parent", "child", *one).groupBy("one")).applyInPandas(walk, frontier.select(*columns).schema)
-
-
 def _is_tree(edges: DataFrame) -> bool:
     """Whether no child has two parents, which spares the levels a duplicate check."""
     return edges.groupBy("child").count().where("count > 1").isEmpty()

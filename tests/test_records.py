@@ -7,6 +7,7 @@ from datetime import datetime
 import pyarrow as pa
 import pytest
 
+from docweave.operators import hierarchy as hierarchies
 from docweave.operators.hierarchy import descendants, hierarchy
 from docweave.operators.nested import Scan, nested_objects, nested_values
 from docweave.operators.orphans import orphan_references, orphan_report
@@ -108,28 +109,33 @@ def test_hierarchy_of_trees_and_circles(spark):
 def test_hierarchy_with_several_parents(spark):
     pairs = [("r", "a"), ("a", "b"), ("r", "b"), ("q", "b"), ("b", "c"), ("c", "d"), ("d", "c")]
     got = {r.node_label: (r.root_label, r.depth) for r in hierarchy(links(spark, pairs)).collect()}
-    assert got == {"r": ("r", 0), "q": ("q", 0), "a": ("r", 1), "b": ("q", 1), "c": ("q", 2), "d": ("q", 3)}
+    assert got == {"r": ("r", 0), "q": ("q", 0), "a": ("r", 1), "b": ("q", 1), "c": ("", -1), "d": ("", -1)}
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_circles_that_a_root_reaches(spark, limit):
+def test_circles_that_a_root_reaches(spark):
     pairs = [
         ("r", "a"), ("a", "c"), ("c", "d"), ("d", "c"), ("d", "below"), ("a", "below"), ("r", "s"), ("s", "s"),
         ("r", "far"), ("a", "mid"), ("mid", "far"), ("far", "end"), ("q", "mid"),
     ]
-    got = {r.node_label: (r.root_label, r.depth, r.in_cycle, tuple(r.path)) for r in hierarchy(links(spark, pairs), broadcast_rows=limit).collect()}
+    got = {r.node_label: (r.root_label, r.depth, r.in_cycle, tuple(r.path)) for r in hierarchy(links(spark, pairs)).collect()}
     assert all(got[x] == ("", -1, True, ()) for x in ("c", "d", "below", "s"))
     assert got["a"] == ("r", 1, False, ("r", "a")) and got["mid"] == ("q", 1, False, ("q", "mid"))
     assert got["far"] == ("r", 1, False, ("r", "far")) and got["end"] == ("r", 2, False, ("r", "far", "end")) and len(got) == 10
 
 
-@pytest.mark.parametrize(("limit", "last"), [(1_000_000, 0), (0, 0), (1_000_000, 1_000_000)])
-def test_deep_hierarchy_and_descendants(spark, limit, last):
+@pytest.mark.parametrize("share", [hierarchies.HOP_SHARE, 0, 1])
+def test_deep_hierarchy_and_descendants(spark, monkeypatch, share):
+    monkeypatch.setattr(hierarchies, "HOP_SHARE", share)  # with 0 hops never grow beyond single links
+    monkeypatch.setattr(hierarchies, "MERGE_LEVELS", 6)
     pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(30)] + [("n000", f"leaf{i}") for i in range(30)]
-    tree = hierarchy(links(spark, pairs), broadcast_rows=limit, last_rows=last)
-    got = {r.node_label: r.depth for r in tree.collect()}
-    assert got["n030"] == 30 and got["leaf7"] == 1
-    assert descendants(tree).count() == 30 * 31 // 2 + 30
+    pairs += [(f"n{i:03}", f"twig{i}") for i in range(0, 30, 7)] + [("z1", "z2"), ("z2", "z3"), ("z3", "z1"), ("z3", "z4")]
+    tree = hierarchy(links(spark, pairs))
+    got = {r.node_label: (r.root_label, r.depth, tuple(r.path)) for r in tree.collect()}
+    for i in range(31):
+        assert got[f"n{i:03}"] == ("n000", i, tuple(f"n{j:03}" for j in range(i + 1)))
+    assert got["leaf7"][1] == 1 and got["twig28"][1:] == (29, (*(f"n{j:03}" for j in range(29)), "twig28"))
+    assert all(got[f"z{i}"] == ("", -1, ()) for i in range(1, 5)) and len(got) == 31 + 30 + 5 + 4
+    assert descendants(tree).count() == sum(d for _, d, _ in got.values() if d > 0)
 
 
 def test_empty_hierarchy(spark):
