@@ -2,6 +2,10 @@
 
 A Bloom filter over all parent keys proves most orphans outright: a key the filter does not hold was never registered.
 Only references the filter lets through are joined exactly, against the parents' validity spans.
+
+The filter grows with the distinct parent keys.  It is made of parts, each for the keys of one hash class, which one
+aggregation builds together; a reference is tested against the part of its class.  Its size has an upper bound, so it may
+always be broadcast: with more keys than that bound serves well, more references pass it to the exact join.
 """
 
 from __future__ import annotations
@@ -10,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
-#: Largest filter that is built and sent to executors, in bits (8 MB); larger parent tables skip it.
-MAX_BLOOM_BITS = 1 << 26
+#: Bits of one part of the filter (8 MB), the most the engine's aggregate builds.
+PART_BITS = 1 << 26
+#: Parts of a filter at most, so 256 MB are broadcast at most; 215 million keys keep ``BITS_PER_KEY`` bits each.
+MAX_PARTS = 32
 #: Bits spent for each parent key; about 1 % false positives, which the exact join removes.
 BITS_PER_KEY = 10
 
@@ -27,27 +33,52 @@ def _catalyst(df: DataFrame):
     return jvm.org.apache.spark.sql.catalyst.expressions, jvm.org.apache.spark.sql.classic.ExpressionUtils
 
 
-def bloom_filter(df: DataFrame, key: str, keys: int, bits: int) -> Column:
-    """A scalar subquery whose value is a Bloom filter of ``key``; evaluated once, on the executors."""
+def _hash_class(key: str, parts: int) -> Column:
+    return F.pmod(F.hash(key), F.lit(parts))
+
+
+def bloom_filter(df: DataFrame, key: str, keys: int, part_bits: int = PART_BITS, max_parts: int = MAX_PARTS) -> tuple[Column, int]:
+    """A scalar subquery whose value is a struct of Bloom filters of ``key``, evaluated once on the executors; and their number.
+
+    ``keys`` is the (estimated) number of distinct keys, which sets the size.
+    """
     expressions, bridge = _catalyst(df)
-    aggregate = expressions.aggregate.BloomFilterAggregate(
-        bridge.expression(F.xxhash64(key)._jc),
-        bridge.expression(F.lit(keys).cast("long")._jc),
-        bridge.expression(F.lit(bits).cast("long")._jc),
-    )
+    parts = min(max_parts, max(1, -(-keys * BITS_PER_KEY // part_bits)))
+    each = -(-keys // parts)
+    bits = min(part_bits, 1 << max(13, (each * BITS_PER_KEY - 1).bit_length()))
     # one row per key first: far fewer partial filters reach the last merge than there are input splits
-    distinct = df.select(key).where(F.col(key).isNotNull()).distinct()
-    return distinct.agg(ClassicColumn(bridge.column(aggregate.toAggregateExpression())).alias("bloom")).scalar()
+    distinct = df.select(key, F.xxhash64(key).alias("h")).where(F.col(key).isNotNull()).distinct().withColumn("part", _hash_class(key, parts))
+
+    def part(i: int) -> Column:
+        aggregate = expressions.aggregate.BloomFilterAggregate(
+            bridge.expression(F.when(F.col("part") == i, F.col("h"))._jc),  # null hashes are skipped
+            bridge.expression(F.lit(each).cast("long")._jc),
+            bridge.expression(F.lit(bits).cast("long")._jc),
+        )
+        return ClassicColumn(bridge.column(aggregate.toAggregateExpression())).alias(f"p{i}")
+
+    built = distinct.agg(*[part(i) for i in range(parts)])
+    return built.select(F.struct(*[f"p{i}" for i in range(parts)]).alias("bloom")).scalar(), parts
 
 
-def might_contain(df: DataFrame, bloom: Column, key: str) -> Column:
+def might_contain(df: DataFrame, bloom: Column, parts: int, key: str) -> Column:
     """Whether the filter may hold ``key``: never false for a key that is in it."""
     expressions, bridge = _catalyst(df)
-    test = expressions.BloomFilterMightContain(bridge.expression(bloom._jc), bridge.expression(F.xxhash64(key)._jc))
-    return F.coalesce(ClassicColumn(bridge.column(test)), F.lit(False))  # an empty parent table has a null filter
+
+    def test(i: int) -> Column:
+        held = bridge.expression(bloom.getField(f"p{i}")._jc)
+        found = ClassicColumn(bridge.column(expressions.BloomFilterMightContain(held, bridge.expression(F.xxhash64(key)._jc))))
+        return F.coalesce(found, F.lit(False))  # a part without keys is null
+
+    if parts == 1:
+        return test(0)
+    chosen = F.when(F.lit(False), F.lit(False))
+    for i in range(parts):
+        chosen = chosen.when(_hash_class(key, parts) == i, test(i))
+    return F.coalesce(chosen, F.lit(False))
 
 
-def orphan_references(references: DataFrame, parents: DataFrame, max_bloom_bits: int = MAX_BLOOM_BITS) -> DataFrame:
+def orphan_references(references: DataFrame, parents: DataFrame, part_bits: int = PART_BITS, max_parts: int = MAX_PARTS) -> DataFrame:
     """References without a parent that is valid at their time.
 
     ``references``: ref_table, row_key, ref_value (raw), at (timestamp); further columns are ignored.
@@ -67,8 +98,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, max_bloom_bits:
     spans = parents.select(reference_key("key").alias("p_key"), "valid_from", "valid_until").where(
         F.col("p_key").isNotNull()
     )
-    keys = max(1, parents.count())
-    bits = 1 << max(13, (keys * BITS_PER_KEY - 1).bit_length())
+    keys = max(1, spans.agg(F.approx_count_distinct("p_key")).first()[0])
     kind = references.schema["at"].dataType
     open_end = F.lit("9999-12-31").cast(kind)
     valid = (
@@ -81,11 +111,8 @@ def orphan_references(references: DataFrame, parents: DataFrame, max_bloom_bits:
         & (F.col("at") >= F.col("valid_from"))
         & (F.col("at") < F.col("valid_until"))
     )
-    if bits > max_bloom_bits:  # too many parents for a filter of bounded size
-        missing = refs.join(valid, match, "left_anti")
-    else:
-        held = might_contain(refs, bloom_filter(spans, "p_key", keys, bits), "ref_value")
-        missing = refs.where(~held).unionByName(refs.where(held).join(valid, match, "left_anti"))
+    held = might_contain(refs, *bloom_filter(spans, "p_key", keys, part_bits, max_parts), "ref_value")
+    missing = refs.where(~held).unionByName(refs.where(held).join(valid, match, "left_anti"))
     return missing.select(
         "ref_table", F.date_format("at", "yyyy-MM").alias("period"), "row_key", "ref_value"
     ).distinct()

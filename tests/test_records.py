@@ -26,14 +26,14 @@ def orphans(spark, refs, parents, **options):
     return orphan_references(refs, spark.createDataFrame([(*p, "clash") for p in parents], PARENTS), **options)
 
 
-@pytest.mark.parametrize("bits", [1 << 26, 0])
-def test_orphans_by_time(spark, collect, bits):
+@pytest.mark.parametrize(("bits", "parts"), [(1 << 26, 32), (16, 32), (16, 2), (1, 1)])
+def test_orphans_by_time(spark, collect, bits, parts):
     refs = [
         ("t", "1", " a ", day(5)), ("t", "2", "A", day(1)), ("t", "3", "b", day(5)), ("t", "4", "", day(5)), ("t", "5", None, day(5)),
         ("t", "6", "a", day(10)), ("t", "7", "a", None), ("t", "1", "a", day(5)), (None, None, "zz", day(2, 3)), ("t", "8", "a", day(20)), ("t", "8", "a", day(20)),
     ]
     parents = [("A", day(3), day(10)), ("a ", day(15), None), ("A", day(3), day(4)), (None, day(1), None), ("B", None, None), ("", day(1), None)]
-    got = collect(orphans(spark, refs, parents, max_bloom_bits=bits))
+    got = collect(orphans(spark, refs, parents, part_bits=bits, max_parts=parts))
     assert got == sorted([("t", "2020-01", "2", "A"), ("t", "2020-01", "3", "B"), ("t", "2020-01", "6", "A"), ("t", None, "7", "A"), (None, "2020-03", None, "ZZ")], key=repr)
 
 
