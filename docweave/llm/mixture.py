@@ -1,12 +1,16 @@
 """Mixing sources to target weights, measured in tokens.
 
 Documents are counted by exact token length.  Each source gets whole passes over its documents and a rest, which is
-fitted as a subset sum: a share of every length, then larger lengths greedily, then a bounded-knapsack dynamic programme
-for what remains.  The documents of a length are taken in a seeded order.
+fitted as a subset sum by a bounded-knapsack dynamic programme.  A rest beyond the programme's window is first filled with
+a share of every length down to that window; the window widens until the sum is hit or the programme spans the whole rest,
+which proves the best sum.  The documents of a length are taken in a seeded order.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,52 +18,73 @@ from pyspark.sql.window import Window
 
 from docweave.scratch import Scratch
 
-#: Tokens left to the exact fit; bounds its memory, not its result, since lengths are exact.
+#: Tokens the dynamic programme spans at first; it grows eightfold while the sum is not hit.
 EXACT_BUDGET = 16_384
-#: Lengths with more documents than this are ranked in this many hash buckets, of which one is cut by rank.
+#: Tokens the programme may span (five bytes each); a rest beyond that is proven best only if it is hit.
+MAX_WINDOW = 1 << 26
+#: Documents of a length are ranked in this many hash buckets, of which one is cut by rank.
 RANK_BUCKETS = 4_096
 #: Sources the targets may have; they are read by the driver.
 MAX_SOURCES = 10_000
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, exact: int = EXACT_BUDGET) -> list[int]:
-    """How many of each length to take so that their sum is as near below ``budget`` as the search finds.
-
-    Exact where the remainder after the proportional and greedy part allows it; never above the budget.
-    """
+def fit(lengths: list[int], counts: list[int], budget: int, exact: int = EXACT_BUDGET, most: int = MAX_WINDOW) -> list[int]:
+    """How many of each length to take so that their sum is as near below ``budget`` as possible; never above it."""
     total = sum(x * c for x, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
-    rest = budget - sum(x * n for x, n in zip(lengths, take, strict=True))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:
-        more = min(counts[i] - take[i], max(0, (rest - exact // 2) // lengths[i]))
-        take[i] += more
-        rest -= more * lengths[i]
-    while rest > exact:  # few documents are short: fill up with whatever still fits
-        i = next((i for i in order if counts[i] > take[i] and lengths[i] <= rest), None)
-        if i is None:
+    budget -= budget % math.gcd(*lengths)  # no sum lies between
+    best, reached = [0] * len(lengths), 0
+    while reached < budget:
+        take, rest = _filled(lengths, counts, budget, exact) if budget > exact else ([0] * len(lengths), budget)
+        more, added = _knapsack(lengths, [c - t for c, t in zip(counts, take, strict=True)], min(rest, most))
+        if budget - rest + added > reached:
+            best, reached = [t + m for t, m in zip(take, more, strict=True)], budget - rest + added
+        if exact >= min(budget, most):
             break
-        more = min(counts[i] - take[i], rest // lengths[i])
+        exact *= 8
+    return best
+
+
+def _filled(lengths: list[int], counts: list[int], budget: int, window: int) -> tuple[list[int], int]:
+    """A share of every length, then larger lengths, so that about half to one ``window`` of the budget stays free."""
+    total = sum(x * c for x, c in zip(lengths, counts, strict=True))
+    take = [c * max(0, budget - window // 2) // total for c in counts]
+    rest = budget - sum(x * n for x, n in zip(lengths, take, strict=True))
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        more = min(counts[i] - take[i], max(0, (rest - window // 2) // lengths[i]))
         take[i] += more
         rest -= more * lengths[i]
-    # bounded knapsack: bit s of `reach` says that s tokens can be added; one state is kept per item
-    window, reach, states = (1 << rest + 1) - 1, 1, []
-    for i in sorted(order, key=lambda i: (-(counts[i] - take[i]), lengths[i])):
-        left, part = counts[i] - take[i], 1
-        while left > 0 and lengths[i] * part <= rest and not reach >> rest & 1:
+    return take, rest
+
+
+def _knapsack(lengths: list[int], counts: list[int], budget: int) -> tuple[list[int], int]:
+    """Bounded knapsack: the largest sum of at most ``counts`` of each length that is not above ``budget``.
+
+    ``via[s]`` is the item (a length, a number of it as a power of two) that first reached the sum s.
+    """
+    via = np.full(budget + 1, -1, np.int32)
+    reach = np.zeros(budget + 1, bool)
+    reach[0] = True
+    items: list[tuple[int, int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: (-counts[i], lengths[i])):
+        left, part = counts[i], 1
+        while left > 0 and lengths[i] * part <= budget and not reach[budget]:
             part = min(part, left)
-            states.append((reach, i, part))
-            reach |= (reach << lengths[i] * part) & window
+            step = lengths[i] * part
+            new = np.flatnonzero(reach[: budget + 1 - step] & ~reach[step:]) + step
+            via[new] = len(items)
+            reach[new] = True
+            items.append((i, part))
             left -= part
             part *= 2
-    goal = reach.bit_length() - 1
-    for before, i, part in reversed(states):
-        if not before >> goal & 1:
-            take[i] += part
-            goal -= lengths[i] * part
-    return take
+    goal = int(np.flatnonzero(reach)[-1])
+    take, at = [0] * len(lengths), goal
+    while at:
+        i, part = items[via[at]]
+        take[i] += part
+        at -= lengths[i] * part
+    return take, goal
 
 
 def budgets(tokens: dict[str, int], shares: dict[str, float], repeats: dict[str, int], total: int | None) -> dict[str, int]:
@@ -120,9 +145,7 @@ def mixture(
     sure = joined.where("take = 0 or take = documents").select(
         "doc_id", "source", "n_tokens", (F.col("passes") + (F.col("take") > 0).cast("bigint")).alias("repeats")
     )
-    ranked = joined.where("take > 0 and take < documents").withColumn(
-        "bucket", F.when(F.col("documents") > RANK_BUCKETS, F.pmod("h", F.lit(RANK_BUCKETS))).otherwise(F.lit(0).cast("bigint"))
-    )
+    ranked = joined.where("take > 0 and take < documents").withColumn("bucket", F.pmod("h", F.lit(RANK_BUCKETS)))
     group = ["source", "n_tokens", "bucket"]
     filled = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     filled = filled.withColumn(

@@ -144,20 +144,24 @@ def test_mapped_values(spark):
     assert canonical.aliases("auch: A b; C") == ["A b", "C"] and canonical.aliases(None) == []
 
 
-def test_fit_reaches_exact_sums():
+@pytest.mark.parametrize("window", [mixture.EXACT_BUDGET, 1, 16])
+def test_fit_reaches_the_best_sums(window):
     random.seed(1)
-    for _ in range(40):
+    for _ in range(60):
         lengths = random.sample(range(1, 60), random.randint(1, 6))
         counts = [random.randint(1, 5) for _ in lengths]
         budget = random.randint(0, sum(a * b for a, b in zip(lengths, counts, strict=True)))
         reachable = {0}
         for a, b in zip(lengths, counts, strict=True):
             reachable = {s + a * k for s in reachable for k in range(b + 1)}
-        take = mixture.fit(lengths, counts, budget)
+        take = mixture.fit(lengths, counts, budget, window)
         assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
-        total = sum(a * t for a, t in zip(lengths, take, strict=True))
-        assert total <= budget
-        assert total >= max(s for s in reachable if s <= budget) - max(lengths)
+        assert sum(a * t for a, t in zip(lengths, take, strict=True)) == max(s for s in reachable if s <= budget)
+    many = [random.randint(5, 4000) for _ in range(3000)]
+    counts = [random.randint(1, 300) for _ in many]
+    budget = sum(a * b for a, b in zip(many, counts, strict=True)) * 3 // 7
+    assert sum(a * t for a, t in zip(many, mixture.fit(many, counts, budget), strict=True)) == budget
+    assert mixture.fit([7_000, 9_000], [9, 9], 100_001) != [0, 0] and mixture.fit([4, 6], [3, 3], 9) == [2, 0]
 
 
 def sized(spark, values):
