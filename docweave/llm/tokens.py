@@ -1,9 +1,9 @@
 """Token ids of a whole corpus by a byte-level BPE vocabulary, through a table of distinct words.
 
 Texts are split into words by Spark; every distinct word is encoded once; ids are joined back by position.  The most
-frequent words (a documented number, so of bounded size) are joined inside the scan that splits the texts, as an Arrow
-lookup without a shuffle, which also takes the skew out of the rest: words beyond that number, if there are any, are
-joined by shuffle and put into the gaps left for them.
+frequent words (a documented number of bytes) are joined inside the scan that splits the texts, as an Arrow lookup without
+a shuffle, which also takes the skew out of the rest: words beyond that size, if there are any, are joined by shuffle and
+put into the gaps left for them.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from docweave.scratch import Scratch
 TOKENIZERS = "/opt/tokenizers"
 #: The split before the merges, with Unicode classes for white space; fixed by the vocabulary.
 SPLIT = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words looked up inside the scan; about 15 MB.  Rarer words go through a shuffle join.
-HOT_WORDS = 300_000
-#: Rows of texts handed to Python at once, so that a batch of long texts stays small.
-BATCH_ROWS = "1000"
+#: Bytes of the words and ids that are looked up inside the scan; rarer words go through a shuffle join.
+HOT_BYTES = 16 << 20
+#: Steps of the histogram of word frequencies for each doubling, which finds the frequency down to which words are hot.
+STEPS = 8
 INTS = T.ArrayType(T.IntegerType())
 
 
@@ -82,7 +82,7 @@ def encode(
     column: str = "text",
     name: str = "byte_bpe_50k",
     folder: str = TOKENIZERS,
-    hot_words: int = HOT_WORDS,
+    hot_bytes: int = HOT_BYTES,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """key, ids (array of int) of every row, and the columns ``keep``; the ids of a null or empty text are an empty array.
@@ -95,13 +95,12 @@ def encode(
     if "ids" in names:
         raise ValueError("a kept column has the name of the result")
     kept = [f"_k{i}" for i in range(len(names))]  # own names, so kept columns clash with nothing
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     slim = texts.select(*[F.col(n).alias(k) for n, k in zip(names, kept, strict=True)], F.col(column).alias("_text"))
     scratch = Scratch(spark, "tokens")
     table = scratch.save(word_table(slim, "_text", name, folder))
-    distinct = table.count()
-    hot = table if distinct <= hot_words else table.orderBy(F.desc("n"), "word").limit(hot_words)
-    bounded = hot.select("word", "ids").toArrow().combine_chunks()  # at most hot_words rows
+    least = _hot_from(table, hot_bytes)
+    hot = table.where(_step() >= least)
+    bounded = hot.select("word", "ids").toArrow().combine_chunks()  # at most hot_bytes
     held = spark.sparkContext.broadcast(_ipc(bounded))
     words = slim.select(*kept, split_words("_text").alias("words"))
     plain = words.select(*kept).schema.add("ids", INTS)
@@ -109,7 +108,7 @@ def encode(
     def named(result: DataFrame) -> DataFrame:
         return result.select(*[F.col(k).alias(n) for n, k in zip(names, kept, strict=True)], "ids")
 
-    if distinct <= hot_words:
+    if not least:  # every word is hot
         return named(words.mapInArrow(_Lookup(kept, held, False), plain))
     cold_schema = words.select(*kept).schema.add("ids", INTS).add("gaps", T.ArrayType(T.StringType()))
     # the row number is written with the first pass, so it stays the same in both reads
@@ -126,6 +125,24 @@ def encode(
     return named(complete.unionByName(whole.mapInArrow(_Fill(kept), complete.schema)))
 
 
+def _step() -> Column:
+    """Class of a word's frequency, 0 for a single occurrence."""
+    return F.floor(F.log2("n") * STEPS).cast("int")
+
+
+def _hot_from(table: DataFrame, hot_bytes: int) -> int:
+    """The least class whose words, with all more frequent ones, fit into ``hot_bytes``; 0 if all words do."""
+    size = F.octet_length("word") + F.size("ids") * 4 + 12
+    sizes = table.groupBy(_step().alias("step")).agg(F.sum(size).alias("bytes")).orderBy(F.desc("step")).collect()  # at most 64 * STEPS rows
+    least, total = 64 * STEPS, 0
+    for row in sizes:
+        total += row.bytes
+        if total > hot_bytes:
+            return least
+        least = row.step
+    return 0
+
+
 def count(
     texts: DataFrame,
     key: str = "doc_id",
