@@ -2,8 +2,9 @@
 
 A text is described by one character per token, which tells how good a cut after that token is.  A regular expression
 with bounded quantifiers, its alternatives ordered by boundary strength, consumes up to the limit from that string; the
-last alternative takes any cut between characters.  Array functions turn the matches into spans, and look back for the
-overlap.
+last alternative takes any cut between characters.  The lengths of the matches are an array; running sums over tokens,
+characters and bytes turn it into spans with their look-back for the overlap, and the pieces of text are put together from
+the bytes of their tokens, so the work grows in proportion to the text.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docweave.llm.tokens import INTS, TOKENIZERS, _pieces, encode
+from docweave.llm.tokens import TOKENIZERS, _pieces, _spans, encode
 
 #: A cut after a token, strongest first: paragraph, line, sentence, word, between characters; '-' is inside a character.
 CLASSES = "PLSWx-"
+#: Bytes of pieces that are put together at once.
+CUT_BYTES = 4 << 20
 
 
 def _pattern(body: int, least: int) -> str:
@@ -34,7 +38,7 @@ def _pattern(body: int, least: int) -> str:
 
 
 class _Shape:
-    """Per text, which is passed on: one class character per token, and the number of characters that end in each token."""
+    """Per text, given by its ids, which are passed on: one class character per token."""
 
     def __init__(self, key: str, pieces):
         self.key, self.pieces = key, pieces
@@ -42,7 +46,7 @@ class _Shape:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = self.pieces.value
         n = len(pieces)
-        lead, newline, breaks, stop, space_end, space_start, chars = (np.zeros(n, np.int32) for _ in range(7))
+        lead, newline, breaks, stop, space_end, space_start = (np.zeros(n, np.int32) for _ in range(6))
         space = b" \t\n\r\x0b\x0c"
         for i, p in enumerate(pieces):
             lead[i] = (p[0] & 0xC0) == 0x80
@@ -51,7 +55,6 @@ class _Shape:
             stop[i] = p.rstrip(b"\"')]").endswith((b".", b"!", b"?", b";", "。".encode(), "！".encode(), "？".encode()))
             space_end[i] = p[-1] in space
             space_start[i] = p[0] in space
-            chars[i] = sum((b & 0xC0) != 0x80 for b in p)
         for batch in batches:
             lists = batch.column("ids")
             ids = lists.flatten().to_numpy(zero_copy_only=False)
@@ -82,8 +85,65 @@ class _Shape:
             shape = pa.Array.from_buffers(
                 pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(code.tobytes())]
             ).cast(pa.large_string()).cast(pa.string())
-            count = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(chars[ids], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(self.key), batch.column("_text"), shape, count], names=[self.key, "_text", "shape", "chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(self.key), lists, shape], names=[self.key, "ids", "shape"])
+
+
+class _Cut:
+    """Per text, given by its ids and the tokens each piece takes: its pieces with their overlap."""
+
+    def __init__(self, key: str, pieces, overlap: int):
+        self.key, self.pieces, self.overlap = key, pieces, overlap
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = self.pieces.value
+        size = np.array([len(p) for p in pieces], np.int64)
+        place = np.concatenate([[0], np.cumsum(size)])[:-1]
+        joined = np.frombuffer(b"".join(pieces), np.uint8)
+        chars = np.array([sum((b & 0xC0) != 0x80 for b in p) for p in pieces], np.int64)
+        inner = np.array([(p[0] & 0xC0) == 0x80 for p in pieces], bool)
+        for batch in batches:
+            lists, taken = batch.column("ids"), batch.column("taken")
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            own = taken.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(own):
+                continue
+            first_token = lists.offsets.to_numpy().astype(np.int64)
+            first_piece = taken.offsets.to_numpy().astype(np.int64)
+            first_token, first_piece = first_token - first_token[0], first_piece - first_piece[0]
+            row = np.repeat(np.arange(len(lists)), np.diff(first_piece))
+            end = np.cumsum(own)  # the pieces take every token, so this also counts the tokens before
+            begin = end - own
+            top = first_token[row]
+            # the overlap starts at the first token, from the wanted one on, that begins a character
+            begins = np.where(inner[ids], len(ids), np.arange(len(ids)))
+            begins = np.minimum.accumulate(begins[::-1])[::-1]
+            start = np.minimum(begins[np.maximum(begin - self.overlap, top)], begin)
+            until_char = np.concatenate([[0], np.cumsum(chars[ids])])
+            until_byte = np.concatenate([[0], np.cumsum(size[ids])])
+            length = until_byte[end] - until_byte[start]
+            number = np.arange(len(own)) - first_piece[row]
+            keys = batch.column(self.key)
+            cuts = np.searchsorted(np.cumsum(length), np.arange(CUT_BYTES, int(length.sum()), CUT_BYTES), "right")
+            for part in np.split(np.arange(len(own)), np.unique(cuts)):
+                if not len(part):
+                    continue
+                s, e = start[part], end[part]
+                held = ids[_spans(e - s, s)]
+                data = joined[_spans(size[held], place[held])]
+                offsets = np.concatenate([[0], np.cumsum(length[part])])
+                text = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.take(pa.array(row[part])),
+                        pa.array(number[part].astype(np.int32)),
+                        pa.array((until_char[s] - until_char[top[part]]).astype(np.int32)),
+                        pa.array((until_char[e] - until_char[s]).astype(np.int32)),
+                        pa.array((e - s).astype(np.int32)),
+                        pa.array((begin[part] - s).astype(np.int32)),
+                        text.cast(pa.binary()),
+                    ],
+                    names=[self.key, "piece_no", "start", "length", "n_tokens", "overlap", "bytes"],
+                )
 
 
 def split_oversized(
@@ -106,38 +166,14 @@ def split_oversized(
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
     body = limit - overlap - min(8, limit // 16)
-    large = texts.select(key, F.col(column).alias("_text")).where(F.octet_length("_text") > limit)
-    encoded = encode(large, key, "_text", name, folder, keep=["_text"]).where(F.size("ids") > limit)
+    large = texts.select(F.col(key).alias("_key"), F.col(column).alias("_text")).where(F.octet_length("_text") > limit)
+    encoded = encode(large, "_key", "_text", name, folder).where(F.size("ids") > limit)
     pieces = texts.sparkSession.sparkContext.broadcast(_pieces(name, folder))
-    shaped = encoded.mapInArrow(_Shape(key, pieces), encoded.select(key, "_text").schema.add("shape", "string").add("chars", INTS))
+    shaped = encoded.mapInArrow(_Shape("_key", pieces), encoded.select("_key", "ids").schema.add("shape", T.StringType()))
     taken = F.transform(F.regexp_extract_all("shape", F.lit(_pattern(body, max(1, body // 4))), F.lit(0)), F.length)
-    # token offset at which each piece's own part begins, one more than there are pieces
-    begins = F.aggregate(
-        "taken", F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n))
-    )
-    spans = shaped.withColumn("taken", taken).withColumn("begins", begins)
-    rows = spans.select(
-        key, "_text", "shape", "chars", F.posexplode("taken").alias("piece_no", "own"), "begins"
-    ).withColumn("begin", F.get("begins", F.col("piece_no")))
-    # the overlap starts at the first token, from the wanted one on, that begins a character
-    back = F.least(F.lit(overlap), "begin")
-    look = F.when(
-        back > 0,
-        back - F.length(F.regexp_extract(F.substring("shape", F.col("begin") - back, back + 1), "^[^-]?(-*)", 0)) + 1,
-    ).otherwise(0)
-    look = F.when(back == F.col("begin"), back).otherwise(F.greatest(look, F.lit(0)))
-    cut = rows.withColumn("overlap", look).select(
-        key,
-        "_text",
-        "piece_no",
-        (F.col("own") + F.col("overlap")).alias("n_tokens"),
-        F.col("overlap").cast("int").alias("overlap"),
-        _total("chars", F.lit(0), F.col("begin") - F.col("overlap")).alias("start"),
-        _total("chars", F.col("begin") - F.col("overlap"), F.col("own") + F.col("overlap")).alias("length"),
-    )
-    text = F.substring("_text", F.col("start") + 1, F.col("length")).alias("text")
-    return cut.select(key, "piece_no", "start", "length", F.col("n_tokens").cast("int").alias("n_tokens"), "overlap", text)
-
-
-def _total(column: str, start, count):
-    return F.aggregate(F.slice(column, start.cast("int") + 1, count.cast("int")), F.lit(0), lambda a, x: a + x)
+    schema = encoded.select("_key").schema
+    for field in ("piece_no", "start", "length", "n_tokens", "overlap"):
+        schema = schema.add(field, T.IntegerType())
+    cut = shaped.select("_key", "ids", taken.alias("taken")).mapInArrow(_Cut("_key", pieces, overlap), schema.add("bytes", T.BinaryType()))
+    text = F.make_valid_utf8(F.col("bytes").cast("string")).alias("text")
+    return cut.select(F.col("_key").alias(key), "piece_no", "start", "length", "n_tokens", "overlap", text)
