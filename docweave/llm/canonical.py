@@ -2,7 +2,9 @@
 
 The reference entries and their aliases form a trie, one for each field.  A value is searched in it with a Levenshtein
 automaton (bit-parallel states, adjacent transpositions included) that returns every entry within a distance that depends
-on the length.  Each distinct value is searched once, on the executors, and joined back to its rows.
+on the length.  Each distinct value is searched once, on the executors, and joined back to its rows.  Alias paths for
+other spellings (as a scanner reads them, without spaces, with the words in order, abbreviated) are tries of their own,
+searched to the same distance.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Spellings that stand for one another, and words around a value that do not change what it names.
+#: Spellings that stand for one another.
 UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}
+#: Default of shapes a scanner confuses.
 OCR = (("rn", "m"), ("ri", "n"), ("0", "o"), ("1", "i"), ("l", "i"), ("5", "s"), ("8", "b"), ("c", "e"), ("uu", "w"))
+#: Default of words around a value that do not change what it names.
 AFFIXES = r"^(?:neu|alt|fa|firma|ca|typ|siehe)\s*[:.]\s*|\s*\((?:alt|neu)\)$|\s+(?:gmbh|ag|kg|inc|ltd)\.?$|\s*,\s*(?:bestehend|neu|alt|vorhanden)$"
 
 
@@ -44,17 +48,17 @@ def fold(text: str) -> str:
     return text
 
 
-def bare(text: str) -> str:
+def bare(text: str, affixes: str = AFFIXES) -> str:
     """``fold`` without words that only accompany a value."""
     before, text = None, repair(text).strip().strip("»«\"'[]*? ").casefold()
     while before != text:
-        before, text = text, re.sub(AFFIXES, "", text).strip()
+        before, text = text, re.sub(affixes, "", text).strip()
     return fold(text)
 
 
-def ocr(text: str) -> str:
+def ocr(text: str, shapes: Iterable[tuple[str, str]] = OCR) -> str:
     """Shapes a scanner confuses become one; applied to values and entries alike."""
-    for a, b in OCR:
+    for a, b in shapes:
         text = text.replace(a, b)
     return text
 
@@ -113,6 +117,32 @@ class Trie:
                     stack.append((child, new, states, mask))
         return found
 
+    def abbreviated(self, words: list[str]) -> set[str]:
+        """Entries whose words begin with the given ones that end in a dot (two letters at least) and equal the others."""
+        level = [self.root]
+        for n, word in enumerate(words):
+            stem = word.removesuffix(".")
+            level = [x for node in level if (x := _down(node, (" " if n else "") + stem))]
+            if word != stem:  # the rest of the word, up to a space or the end
+                level = [y for node in level for y in _word_ends(node)] if len(stem) > 1 else []
+        return {e for node in level for e in node.entries}
+
+
+def _down(node: Node, text: str) -> Node | None:
+    for c in text:
+        if (node := node.children.get(c)) is None:  # type: ignore[assignment]
+            return None
+    return node
+
+
+def _word_ends(node: Node) -> Iterator[Node]:
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if node.entries or " " in node.children:
+            yield node
+        stack += [child for c, child in node.children.items() if c != " "]
+
 
 def reach(length: int) -> int:
     """Edits allowed for a name of this length."""
@@ -122,55 +152,50 @@ def reach(length: int) -> int:
 class Matcher:
     """Finds the entry of one field that a value stands for."""
 
-    def __init__(self, names: list[tuple[str, str]]):
+    def __init__(self, names: list[tuple[str, str]], affixes: str = AFFIXES, shapes: Iterable[tuple[str, str]] = OCR):
+        self.affixes, self.shapes = affixes, tuple(shapes)
         # an umlaut may have lost its dots, so both spellings are alias paths
         folded = {(fold(x), e) for n, e in names for x in (n, n.translate(str.maketrans("äöüÄÖÜ", "aouAOU"))) if fold(x)}
-        self.names = sorted(folded)
         self.plain = Trie(folded)
-        self.scanned = Trie({(ocr(n), e) for n, e in folded})
+        self.scanned = Trie({(ocr(n, self.shapes), e) for n, e in folded})
         self.swapped = Trie({(" ".join(sorted(n.split())), e) for n, e in folded if " " in n})
         self.joined = Trie({(n.replace(" ", ""), e) for n, e in folded})
 
-    def candidates(self, value: str) -> dict[str, float]:
-        """Every entry within reach, with its distance in edits."""
+    def _forms(self, value: str) -> Iterator[tuple[Trie, str, float]]:
+        """What is searched in which trie, and what that costs beside the edits."""
+        for text, extra in dict.fromkeys(((fold(value), 0.0), (bare(value, self.affixes), 0.25))):
+            if text:
+                yield self.plain, text, extra
+                yield self.scanned, ocr(text, self.shapes), extra + 0.5
+                yield self.joined, text.replace(" ", ""), extra + 0.25
+                if " " in text:
+                    yield self.swapped, " ".join(sorted(w.strip(",") for w in text.split())), extra + 0.5
+
+    def candidates(self, value: str, most: int | None = None) -> dict[str, float]:
+        """Every entry within reach (of at most ``most`` edits, if given), with its distance in edits."""
         best: dict[str, float] = {}
-
-        def add(found: dict[str, tuple[int, str]], text: str, extra: float) -> None:
-            for entry, (distance, word) in found.items():
+        for trie, text, extra in self._forms(value):
+            limit = reach(len(text) + 1)
+            for entry, (distance, word) in trie.search(text, limit if most is None else min(limit, most)).items():
                 if distance <= reach(len(word)):
                     best[entry] = min(best.get(entry, 99.0), distance + extra)
-
-        for text, extra in dict.fromkeys(((fold(value), 0.0), (bare(value), 0.25))):
-            if not text:
-                continue
-            most = reach(len(text) + 1)
-            add(self.plain.search(text, most), text, extra)
-            scanned = ocr(text)
-            add(self.scanned.search(scanned, min(most, 2)), scanned, extra + 0.5)
-            tight = text.replace(" ", "")
-            add(self.joined.search(tight, most), tight, extra + 0.25)
-            if " " in text:
-                turned = " ".join(sorted(w.strip(",") for w in text.split()))
-                add(self.swapped.search(turned, min(most, 2)), turned, extra + 0.5)
-            if "." in value:
-                for name, entry in self.names:
-                    if _abbreviates(text_words(value), name.split()):
-                        best[entry] = min(best.get(entry, 99.0), extra + 0.5)
+        words = text_words(value)
+        if any(w.endswith(".") for w in words):
+            for entry in self.plain.abbreviated(words):
+                best[entry] = min(best.get(entry, 99.0), 0.5)
         return best
 
     def match(self, value: str) -> str | None:
         """The one nearest entry; none if nothing is within reach or two are equally near.
 
-        A single entry within one edit, with no other within two, needs no search beyond that.
+        The search widens edit by edit and ends once nothing farther can be as near as what it has found, so the result
+        is that of a search over everything within reach.
         """
-        text = fold(value)
-        if len(text) >= 4:
-            near = self.plain.search(text, min(2, reach(len(text) + 1)))
-            if len(near) == 1:
-                ((entry, (distance, word)),) = near.items()
-                if distance <= min(1, reach(len(word))):
-                    return entry
-        best = sorted((d, e) for e, d in self.candidates(value).items())
+        longest = max((len(text) for _, text, _ in self._forms(value)), default=0)
+        for most in range(reach(longest + 1) + 1):
+            best = sorted((d, e) for e, d in self.candidates(value, most).items())
+            if best and best[0][0] + 0.5 <= most + 1:
+                break
         if not best or (len(best) > 1 and best[1][0] - best[0][0] < 0.5):
             return None
         return best[0][1]
@@ -181,15 +206,6 @@ def text_words(value: str) -> list[str]:
     return [fold(w) + ("." if w.endswith(".") else "") for w in value.split() if fold(w)]
 
 
-def _abbreviates(words: list[str], name: list[str]) -> bool:
-    """Whether words ending in a dot are beginnings of the name's words and the others equal them."""
-    if len(words) != len(name) or not any(w.endswith(".") for w in words):
-        return False
-    return all(
-        n.startswith(w[:-1]) and len(w) > 2 if w.endswith(".") else n == w for w, n in zip(words, name, strict=True)
-    )
-
-
 def aliases(description: str | None) -> list[str]:
     """The further names a description lists after ``auch:``."""
     if not description or "auch:" not in description:
@@ -202,23 +218,40 @@ def _matchers(lists: tuple) -> dict[str, Matcher]:
     return {name: Matcher(list(entries)) for name, entries in lists}
 
 
-def map_values(values: DataFrame, lists: dict[str, list[tuple[str, str]]]) -> DataFrame:
-    """field, value, entry_id for distinct (field, value) rows; entry_id is null where no entry is meant.
-
-    ``lists`` has (name or alias, entry id) of each field and must be small enough for every worker (reference lists).
-    Fields without a list and blank values match nothing.
-    """
+def _searched(values: DataFrame, lists: dict[str, list[tuple[str, str]]], find, schema: str) -> DataFrame:
+    """``find(matcher, value)`` rows of each distinct (field, value); a field without a list and a blank value find nothing."""
     held = tuple((k, tuple(sorted(v))) for k, v in sorted(lists.items()))
-    share = values.sparkSession.sparkContext.broadcast(held)
+    spark = values.sparkSession
+    share = spark.sparkContext.broadcast(held)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matchers = _matchers(share.value)
         for batch in batches:
-            ids = [
-                matchers[f].match(v) if f in matchers and v and v.strip() else None
+            rows = [
+                (f, v, *found)
                 for f, v in zip(batch["field"], batch["value"], strict=True)
+                for found in find(matchers[f] if f in matchers and v and v.strip() else None, v)
             ]
-            yield batch.assign(entry_id=pd.array(ids, dtype="object"))
+            yield pd.DataFrame(rows, columns=["field", "value", *names], dtype="object")
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    # the search costs far more than its bytes tell, so the distinct values are spread over all tasks
+    spread = values.select("field", "value").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spread.mapInPandas(search, f"field string, value string, {schema}")
+
+
+def map_values(values: DataFrame, lists: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """field, value, entry_id for distinct (field, value) rows; entry_id is null where no entry is meant.
 
-    distinct = values.select("field", "value").distinct()
-    return distinct.mapInPandas(search, "field string, value string, entry_id string")
+    ``lists`` has (name or alias, entry id) of each field and must be small enough for every worker (reference lists).
+    Fields without a list and blank values match nothing.
+    """
+    return _searched(values, lists, lambda m, v: [(m.match(v) if m else None,)], "entry_id string")
+
+
+def near_entries(values: DataFrame, lists: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """field, value, entry_id, distance: every entry within the length-dependent distance of each distinct value.
+
+    Values without any have no rows.  Distances are in edits; alias paths other than the plain name add a part of one.
+    """
+    return _searched(values, lists, lambda m, v: sorted(m.candidates(v).items()) if m else [], "entry_id string, distance double")

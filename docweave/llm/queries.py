@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweave.llm import canonical, tokens
 from docweave.llm.components import components, linking_edges
 from docweave.llm.devices import match_devices
-from docweave.llm.sql import P2_FOUND, P2_SIZES
+from docweave.llm.sql import P2_FOUND, P2_SIZES, P8_DECODED, P10_REBUILT
 from docweave.llm.mixture import mixture
 from docweave.llm.split import split_oversized
 from docweave.operators.wide import attribute_key, attribute_key_text
@@ -17,6 +18,9 @@ from docweave.session import table
 
 registry = Registry()
 
+#: Entries of a reference list, whose trie every worker holds.
+MAX_ENTRIES = 100_000
+
 # ---------------------------------------------------------------- p1
 
 
@@ -52,10 +56,18 @@ def _p2_sizes(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- p5
 
 
+def _bounded(lookup: DataFrame) -> list:
+    """The rows of a reference list, which the driver may hold; a larger one is refused."""
+    rows = lookup.take(MAX_ENTRIES + 1)
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"a reference list has more than {MAX_ENTRIES} entries")
+    return rows
+
+
 def _reference_lists(spark: SparkSession, d: str) -> tuple[dict, dict, set]:
     """Names and aliases by field, enum field by attribute key, exact values; from the two fixed lookup tables."""
-    attributes = table(spark, d, "attribute_lookup").orderBy("lookup_id").collect()
-    entries = table(spark, d, "enum_lookup").orderBy("enum_lookup_id").collect()
+    attributes = _bounded(table(spark, d, "attribute_lookup").orderBy("lookup_id"))
+    entries = _bounded(table(spark, d, "enum_lookup").orderBy("enum_lookup_id"))
     lists: dict[str, list[tuple[str, str]]] = {"attribute_name": []}
     for a in attributes:
         lists["attribute_name"] += [(n, a.lookup_id) for n in [a.attribute_name, *canonical.aliases(a.description)]]
@@ -110,6 +122,13 @@ def _p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return counted.join(missing, ["field", "value"])
 
 
+@registry.add("p5_entries")
+def _p5_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry within the distance of each distinct freely typed value."""
+    free, lists = _free_values(spark, d)
+    return canonical.near_entries(free, lists)
+
+
 # ---------------------------------------------------------------- p8
 
 
@@ -118,7 +137,13 @@ def _p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
-@registry.add("p8_decoded")
+@registry.add("p8_cold_ids")
+def _p8_cold_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p8_ids with only 64 KB of words looked up in the scan, so that the others take the shuffle join."""
+    return tokens.encode(table(spark, d, "documents"), hot_bytes=64 << 10)
+
+
+@registry.add("p8_decoded", P8_DECODED)
 def _p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     """Texts restored from their ids."""
     return tokens.decode(tokens.encode(table(spark, d, "documents")))
@@ -154,3 +179,22 @@ def _p10_found(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("p10_pieces")
 def _p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"))
+
+
+@registry.add("p10_rebuilt", P10_REBUILT)
+def _p10_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put together again from its pieces, or as it is if it has none, and whether the pieces keep the limit and the overlap."""
+    pieces = split_oversized(table(spark, d, "documents"))
+    order = Window.partitionBy("doc_id").orderBy("piece_no")
+    before = F.coalesce(F.lag(F.col("start") + F.col("length")).over(order), F.lit(0))
+    seamless = (F.col("start") <= before) & (F.col("n_tokens") <= 1024) & (F.col("overlap") <= 64) & (F.length("text") == F.col("length"))
+    parts = pieces.select("doc_id", "piece_no", F.expr("text").alias("piece"), (before - F.col("start")).alias("shared"), seamless.alias("kept"))
+    own = F.expr("substring(piece, shared + 1)")
+    whole = parts.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("parts"), F.every("kept").alias("kept")
+    )
+    rebuilt = whole.select("doc_id", F.array_join("parts.own", "").alias("rebuilt"), "kept")
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    return texts.join(rebuilt, "doc_id", "left").select(
+        "doc_id", F.coalesce("rebuilt", "text").alias("text"), F.coalesce("kept", F.lit(True)).alias("kept")
+    )

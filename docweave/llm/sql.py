@@ -13,3 +13,5 @@ SELECT min(k) AS group_key, record_key FROM reach GROUP BY record_key
 P2_SIZES = f"""
 SELECT records, count(*) AS n_groups FROM (SELECT group_key, count(*) AS records FROM ({P2_FOUND}) GROUP BY 1) GROUP BY 1
 """
+P8_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+P10_REBUILT = "SELECT doc_id, text, true AS kept FROM documents"

@@ -28,9 +28,9 @@ def texts(spark, values):
     return spark.createDataFrame([(i, x, "clash", [1]) for i, x in enumerate(values)], "doc_id bigint, text string, words string, ids array<int>")
 
 
-@pytest.mark.parametrize("hot", [tokens.HOT_WORDS, 5, 0])
+@pytest.mark.parametrize("hot", [tokens.HOT_BYTES, 200, 0])
 def test_ids_equal_the_library(spark, library, hot):
-    got = {r.doc_id: list(r.ids) for r in tokens.encode(texts(spark, NASTY), hot_words=hot).collect()}
+    got = {r.doc_id: list(r.ids) for r in tokens.encode(texts(spark, NASTY), hot_bytes=hot).collect()}
     assert got == {i: library(x) for i, x in enumerate(NASTY)}
 
 
@@ -68,6 +68,24 @@ def test_pieces_cover_texts_within_the_limit(spark, library, limit, overlap):
     assert first.endswith(("\n", ".", "!", " ")) or long[0][len(first)] in " \n"
 
 
+def test_long_texts_are_cut_in_proportion_to_their_length(spark):
+    import time
+
+    def seconds(words):
+        text = "".join(f"wort{i % 977}ß " for i in range(words))
+        began = time.perf_counter()
+        got = split.split_oversized(texts(spark, [text]), 512, 32).select("piece_no", "start", "overlap", "text").collect()
+        took, at = time.perf_counter() - began, 0
+        for r in sorted(got, key=lambda r: r.piece_no):
+            assert text[r.start : r.start + len(r.text)] == r.text and r.start <= at
+            at = r.start + len(r.text)
+        assert at == len(text)
+        return took
+
+    seconds(50_000)
+    assert seconds(800_000) < 6 * seconds(200_000) + 2
+
+
 def test_no_oversized_texts(spark):
     assert split.split_oversized(texts(spark, ["kurz", None, ""])).count() == 0
     with pytest.raises(ValueError, match="overlap"):
@@ -136,6 +154,35 @@ def test_values_map_to_entries(value, entry):
     assert canonical.Matcher(LISTS["m"]).match(value) == entry
 
 
+def test_the_nearest_of_all_alias_paths_wins():
+    lists = [("Pumpe 18A", "A"), ("Pumpe IBA", "B"), ("Kreiselpumpe einstufig horizontal", "C"), ("Ventil", "D"), ("Ventile", "E")]
+    matcher = canonical.Matcher(lists)
+    assert matcher.match("Pumpe I8A") is None  # by one edit to both, by the scanner's path to both
+    assert matcher.match("horizontal einstufgi Kreislpumpe") == "C"  # swapped words, three edits
+    assert matcher.match("Kr. einstufig hor.") == "C" and matcher.match("K. einstufig hor.") is None
+    assert matcher.match("Ventil") == "D" and matcher.match("Ventlie") in ("D", "E", None)
+    random.seed(8)
+    letters = "abcdei "
+    names = [("".join(random.choice(letters) for _ in range(random.randint(3, 14))), f"e{i % 25}") for i in range(40)]
+    matcher = canonical.Matcher(names)
+    for _ in range(300):
+        name = list(random.choice(names)[0])
+        for _ in range(random.randint(0, 4)):
+            name[random.randrange(len(name))] = random.choice(letters + ".")
+        value = "".join(name)
+        full = sorted((d, e) for e, d in matcher.candidates(value).items())
+        nearest = full[0][1] if full and (len(full) == 1 or full[1][0] - full[0][0] >= 0.5) else None
+        assert matcher.match(value) == nearest
+
+
+def test_entries_within_the_distance(spark):
+    rows = spark.createDataFrame([("m", "Sattdampf 6 bar", 1), ("m", "Sattdampf 1 bar", 1), ("m", "qqqq", 1), (None, None, 1)], "field string, value string, distance int")
+    got = {(r.value, r.entry_id): r.distance for r in canonical.near_entries(rows, LISTS).collect()}
+    assert got[("Sattdampf 6 bar", "3")] == 0 and got[("Sattdampf 6 bar", "4")] >= 1 and got[("Sattdampf 1 bar", "3")] >= 0.5
+    assert {v for v, _ in got} == {"Sattdampf 6 bar", "Sattdampf 1 bar"}
+    assert canonical.near_entries(rows.limit(0), LISTS).count() == 0
+
+
 def test_mapped_values(spark):
     rows = spark.createDataFrame([("m", "kwv"), ("m", "kwv"), ("m", None), ("n", "kwv"), (None, "x")], "field string, value string")
     got = {(r.field, r.value): r.entry_id for r in canonical.map_values(rows, LISTS).collect()}
@@ -221,8 +268,8 @@ def test_core_tags(spark):
 def test_null_and_repeated_keys(spark, library):
     values = [(None, "alpha beta"), (None, "gamma delta alpha"), (1, "one two three"), (1, "four alpha"), (1, ""), (2, None), (3, "alpha")]
     frame = spark.createDataFrame(values, "doc_id long, text string")
-    for hot in (0, 2):
-        got = sorted(((r.doc_id, list(r.ids)) for r in tokens.encode(frame, hot_words=hot).collect()), key=repr)
+    for hot in (0, 25):
+        got = sorted(((r.doc_id, list(r.ids)) for r in tokens.encode(frame, hot_bytes=hot).collect()), key=repr)
         assert got == sorted(((k, library(t)) for k, t in values), key=repr)
     long = [(None, "red green blue " * 60), (None, "one two three " * 70), (5, "north south " * 80), (5, "east west " * 90)]
     pieces = split.split_oversized(spark.createDataFrame(long, "doc_id long, text string"), limit=64, overlap=0).collect()
