@@ -56,6 +56,10 @@ class Scratch:
                 self._keep = [x for x in self._keep if x is not df]
                 self._remove(path)
 
+    def retain(self, *saved: DataFrame) -> None:
+        """Delete all tables but these, once no later plan reads the others."""
+        self.drop(*[df for df in getattr(self, "_keep", []) if all(df is not x for x in saved)])
+
     def _remove(self, path: str) -> None:
         try:
             jvm = self.spark._jvm
