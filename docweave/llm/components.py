@@ -8,6 +8,8 @@ least halves the components that still have edges.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
         hook = scratch.save(
             smallest.select("node", F.when(F.col("node") == F.col("edge.a"), F.col("edge.b")).otherwise(F.col("edge.a")).alias("parent"))
         )
-        pointer = scratch.save(_break_pairs(hook))
-        scratch.drop(hook)
-        pointer = _collapse(pointer, scratch)
+        tree = scratch.save(_break_pairs(hook))
+        pointer = _collapse(tree, scratch)
+        scratch.drop(hook, tree)
         rounds.append(pointer)
         to = pointer.select(F.col("node").alias("x"), F.col("parent").alias("y"))
         moved = alive.join(to, alive["a"] == to["x"]).select(F.col("y").alias("p"), "b")
@@ -61,6 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
     if not rounds:
         return label.select(F.col("node").alias("group_key"), F.col("node").alias("record_key"))
     label = scratch.save(label)
+    scratch.retain(label)
     lowest = label.groupBy("root").agg(F.min("node").alias("group_key"))
     return label.join(lowest, "root").select("group_key", F.col("node").alias("record_key"))
 
@@ -74,13 +77,22 @@ def _break_pairs(hook: DataFrame) -> DataFrame:
 
 
 def _collapse(pointer: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pointer doubling until every node points at a root."""
+    """Pointer doubling until every node points at a root.
+
+    A node whose pointer no longer moves has its root and takes no further part; the others follow two pointers at a time,
+    through the newest pointers of all nodes.
+    """
+    settled: list[DataFrame] = []
+    newest = moving = pointer
     while True:
-        up = pointer.select(F.col("node").alias("n"), F.col("parent").alias("grand"))
-        longer = scratch.save(
-            pointer.join(up, pointer["parent"] == up["n"]).select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved"))
+        one, two = (newest.select(F.col("node").alias(f"n{i}"), F.col("parent").alias(f"p{i}")) for i in (1, 2))
+        step = scratch.save(
+            moving.join(one, moving["parent"] == one["n1"])
+            .join(two, one["p1"] == two["n2"])
+            .select("node", F.col("p2").alias("parent"), (F.col("p2") != F.col("p1")).alias("moved"))
         )
-        scratch.drop(pointer)
-        if longer.where("moved").isEmpty():
-            return longer.select("node", "parent")
-        pointer = longer
+        settled.append(step.where("not moved").select("node", "parent"))
+        moving = step.where("moved").select("node", "parent")
+        if moving.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        newest = reduce(DataFrame.unionByName, settled, moving)

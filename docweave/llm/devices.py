@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.linkage import Comparison, link
 
-#: Kinds of context tokens by their format.
+#: Default kinds of context tokens by their format.
 CONTEXT = {
     "place": r"^E[0-9]+X[0-9]+$",
     "rack": r"^R[0-9]+F[0-9]+$",
@@ -16,19 +18,29 @@ CONTEXT = {
     "plant": r"^[A-Z][0-9]{4}$",
     "cabinet": r"^SK[0-9]+$",
 }
-#: Words of names in the language of the devices.
+#: Default words of names in the language of the devices.
 WORDS = {
     "inlet": "eintritt", "outlet": "austritt", "supply": "vorlauf", "return": "ruecklauf", "top": "kopf", "bottom": "sumpf",
     "jacket": "mantel", "sampling": "probenahme", "suction": "saugseite", "discharge": "druckseite", "analysis": "analysenmessung",
     "drive": "antrieb", "speed": "drehzahlmessung", "pressure": "druckmessung", "flow": "durchflussmessung",
     "level": "fuellstandsmessung", "valve": "regelventil", "temperature": "temperaturmessung",
 }
-#: Where a device sits.
+#: Default words for where a device sits.
 POSITIONS = "eintritt austritt vorlauf ruecklauf kopf sumpf mantel probenahme saugseite druckseite bypass".split()
 #: Letters a scanner confuses with digits.
 LIKE_DIGITS = ("OISBZ", "01582")
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """What names and context tokens of a plant look like: formats by kind, translated words, positions, words that tell nothing."""
+
+    context: dict[str, str] = field(default_factory=lambda: dict(CONTEXT))
+    words: dict[str, str] = field(default_factory=lambda: dict(WORDS))
+    positions: tuple[str, ...] = tuple(POSITIONS)
+    filler: tuple[str, ...] = ("measurement", "control", "side")
+
+
 def core_tag(column: Column | str) -> Column:
     """System, number, function letter and running number of a tag, without prefixes, padding and scanner confusions.
 
@@ -49,7 +61,7 @@ def folded(column: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
-def features(rows: DataFrame, key: str) -> DataFrame:
+def features(rows: DataFrame, key: str, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
     """One row per key (its latest version) with the features the comparisons use; blank keys drop out.
 
     Of versions with the same time the larger values win, so the choice does not depend on order.
@@ -68,19 +80,19 @@ def features(rows: DataFrame, key: str) -> DataFrame:
     )
     tokens = F.array_distinct(F.transform(F.array_compact(F.coalesce("context_tokens", none)), lambda x: F.upper(F.trim(x))))
     words = F.split(folded("display_name"), " ")
-    known = F.create_map(*[F.lit(x) for pair in WORDS.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in vocabulary.words.items() for x in pair])
     base = latest.select(
         "key",
         F.coalesce(core_tag("canonical_tag"), F.get(tags, F.lit(0))).alias("tag"),
         tags.alias("tags"),
         tokens.alias("tokens"),
         F.array_distinct(
-            F.filter(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)), lambda w: (w != "") & ~w.isin("measurement", "control", "side"))
+            F.filter(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)), lambda w: (w != "") & ~w.isin(*vocabulary.filler))
         ).alias("words"),
     )
-    kinds = [_or_null(_like("tokens", p)).alias(name) for name, p in CONTEXT.items() if name != "plant"]
-    named = F.transform(F.filter("words", lambda w: w.rlike("^[a-z][0-9]{4}$")), F.upper)
-    plant = F.array_distinct(F.concat(_like("tokens", CONTEXT["plant"]), named))
+    kinds = [_or_null(_like("tokens", p)).alias(name) for name, p in vocabulary.context.items() if name != "plant"]
+    named = F.transform(F.filter("words", lambda w: F.upper(w).rlike(vocabulary.context["plant"])), F.upper)
+    plant = F.array_distinct(F.concat(_like("tokens", vocabulary.context["plant"]), named))
     rest = F.filter("tokens", lambda x: ~x.rlike("[0-9]") & (F.length(x) > 5))
     return base.select(
         "key",
@@ -90,7 +102,7 @@ def features(rows: DataFrame, key: str) -> DataFrame:
         *kinds,
         _or_null(plant).alias("plant"),
         _or_null(rest).alias("medium"),
-        _or_null(F.filter("words", lambda w: w.isin(POSITIONS))).alias("position"),
+        _or_null(F.filter("words", lambda w: w.isin(*vocabulary.positions))).alias("position"),
         _or_null(F.col("words")).alias("words"),
     )
 
@@ -155,10 +167,12 @@ def comparisons() -> list[Comparison]:
     ]
 
 
-def match_devices(records: DataFrame, devices: DataFrame, threshold: float = 0.2) -> DataFrame:
+def match_devices(
+    records: DataFrame, devices: DataFrame, threshold: float = 0.2, vocabulary: Vocabulary = Vocabulary()  # noqa: B008
+) -> DataFrame:
     """record_key, device_id, confidence of records and devices that describe the same thing.
 
     A record goes to its likeliest device, so few others compete with a low confidence; the default asks for 0.2.
     """
-    found = link(features(records, "record_key"), features(devices, "device_id"), passes(), comparisons(), threshold)
+    found = link(features(records, "record_key", vocabulary), features(devices, "device_id", vocabulary), passes(), comparisons(), threshold)
     return found.select(F.col("l_key").alias("record_key"), F.col("r_key").alias("device_id"), "confidence")

@@ -8,6 +8,7 @@ non-matches, and the posterior is the confidence.  Rows with the same features a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,8 @@ from docweave.scratch import Scratch
 
 #: Signatures of one block that one join key pairs with as many of the other side.
 TILE_ROWS = 1_000
-#: Patterns the driver may hold: the product of the levels is far above what occurs, which this bounds.
-MAX_PATTERNS = 200_000
+#: Patterns that the levels of all comparisons may form; the driver holds a count for each that occurs.
+MAX_PATTERNS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -145,6 +146,9 @@ def link(
     pairs.  A left row goes to the right signature of highest confidence, if that reaches ``threshold``; ties go to the
     smaller signature.  Without candidates the result is empty.
     """
+    radix = np.cumprod([1, *[c.levels + 1 for c in comparisons]])  # one digit for each comparison, 0 for missing
+    if radix[-1] > MAX_PATTERNS:
+        raise ValueError("the comparisons form too many patterns; use fewer levels")
     scratch = Scratch(left.sparkSession, "linkage")
     features = [c for c in left.columns if c != "key"]
 
@@ -156,19 +160,17 @@ def link(
     pairs = candidates(l_one, r_one, passes, scratch)
     l_side = l_one.select(*[F.col(c).alias(f"l_{c}") for c in ["sig", *features]])
     r_side = r_one.select(*[F.col(c).alias(f"r_{c}") for c in ["sig", *features]])
-    level = [F.coalesce(c.level.cast("int"), F.lit(-1)).cast("string") for c in comparisons]
+    digits = [(F.coalesce(c.level.cast("int"), F.lit(-1)) + 1) * F.lit(int(r)) for c, r in zip(comparisons, radix[:-1], strict=True)]
     compared = scratch.save(
-        pairs.join(l_side, "l_sig").join(r_side, "r_sig").select("l_sig", "r_sig", F.concat_ws(",", *level).alias("pattern"))
+        pairs.join(l_side, "l_sig").join(r_side, "r_sig").select("l_sig", "r_sig", reduce(Column.__add__, digits).alias("pattern"))
     )
-    found = compared.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError("too many comparison patterns; use fewer levels")
-    patterns = np.array([[int(x) for x in r.pattern.split(",")] for r in found], int).reshape(len(found), len(comparisons))
-    model = estimate(patterns, np.array([r.n for r in found], float), [c.levels for c in comparisons])
-    scores = left.sparkSession.createDataFrame(
-        [(r.pattern, float(p)) for r, p in zip(found, model.posterior(patterns), strict=True)], "pattern string, confidence double"
-    )
-    scored = compared.join(F.broadcast(scores.where(F.col("confidence") >= threshold)), "pattern")
+    scratch.retain(compared, l_all, r_all)
+    found = compared.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most radix[-1] rows
+    patterns = found["pattern"].to_numpy(np.int64)[:, None] // radix[:-1] % (radix[1:] // radix[:-1]) - 1
+    model = estimate(patterns, found["n"].to_numpy(float), [c.levels for c in comparisons])
+    likely = found.assign(confidence=model.posterior(patterns))[["pattern", "confidence"]].query("confidence >= @threshold")
+    scores = left.sparkSession.createDataFrame(likely.astype({"pattern": "int32"}), "pattern int, confidence double")
+    scored = compared.join(F.broadcast(scores), "pattern")
     best = scored.groupBy("l_sig").agg(F.max(F.struct("confidence", "r_sig")).alias("best"))
     chosen = best.select("l_sig", F.col("best.r_sig").alias("r_sig"), F.col("best.confidence").alias("confidence"))
     return (
