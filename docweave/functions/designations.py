@@ -28,12 +28,13 @@ ELEMENT_TYPES = {
 }
 #: What the first and the further letters of a function code mean.
 CATEGORY = {
-    "F": "Durchfluss", "L": "Stand", "P": "Druck", "T": "Temperatur", "Q": "Menge/Anzahl", "S": "Drehzahl", "W": "Gewicht/Kraft", "A": "Analyse",
-    "Y": "Stellventil/Magnetventil", "N": "Benutzerdefiniert", "H": "Handbetrieb", "G": "Allgemein", "M": "Montage/Motor",
+    "F": "F (Durchfluss)", "L": "L (Stand)", "P": "P (Druck)", "T": "T (Temperatur)", "Q": "Q (Menge/Anzahl)", "S": "S (Drehzahl)",
+    "W": "W (Gewicht/Kraft)", "A": "A (Analyse)", "Y": "Y (Stellventil/Magnetventil)", "N": "N (Benutzerdefiniert)", "H": "H (Handbetrieb)",
+    "G": "G (Allgemein)", "M": "M (Montage/Motor)",
 }
 PROCESSING = {
-    "I": "Analoganzeige", "C": "Regelung", "R": "Registrierung", "S": "Schaltung", "Z": "Notschaltung", "A": "Alarm", "T": "Transmitter",
-    "O": "Optische Anzeige", "B": "Binaerverarbeitung", "Q": "Integrierend",
+    "I": "I (Analoganzeige)", "C": "C (Regelung)", "R": "R (Registrierung)", "S": "S (Schaltung)", "Z": "Z (Notschaltung)", "A": "A (Alarm)",
+    "T": "T (Transmitter)", "O": "O (Optische Anzeige)", "B": "B (Binaerverarbeitung)", "Q": "Q (Integrierend)",
 }
 #: Wire colours by their red, green and blue parts.
 WIRES = {
@@ -71,11 +72,10 @@ def element_type(column: Column | str) -> Column:
 def function_letters(column: Column | str) -> Column:
     """struct(category, processing) of a function code; digits are positions, unknown letters stand for themselves."""
     text = text_or_empty(column)
-    named = lambda m: {k: f"{k} ({v})" for k, v in m.items()}
     first = F.substring(text, 1, 1)
     rest = F.filter(F.split(F.substring(text, 2, 100), ""), lambda c: c.rlike(r"\p{L}"))
-    parts = F.transform(rest, lambda c: lookup(named(PROCESSING), c, c))
-    return F.struct(lookup(named(CATEGORY), first, first).alias("category"), F.array_join(parts, ", ").alias("processing"))
+    parts = F.transform(rest, lambda c: lookup(PROCESSING, c, c))
+    return F.struct(lookup(CATEGORY, first, first).alias("category"), F.array_join(parts, ", ").alias("processing"))
 
 
 def closest_wire(red: Column, green: Column, blue: Column, limit: float = 0.3) -> Column:

@@ -61,11 +61,14 @@ def parse_quantity(column: Column | str) -> Column:
 
 #: Units of data sheets.
 UNITS = (
-    "kg/m³ kg/m3 g/cm³ g/cm3 kg/cm² g/ml mg/l kVA MVA kVAR MVAR kPa MPa GPa hPa mbar μbar µbar m³/h m³/s l/min l/s ml/min "
-    "kg/h kg/s t/h g/min Nm kNm MNm rpm rps rad/s deg/s Hz kHz MHz GHz mA μA µA nA kA MV kV mV μV µV kW MW GW mW μW µW kΩ MΩ mΩ "
-    "μΩ µΩ kΩ MΩ mΩ km dm cm mm μm µm nm mil kg mg μg µg t g lb oz m³ cm³ mm³ l ml hl bar psi ksi Pa °C °F °R s ms μs µs "
-    "ns min h d V A W Ω Ω F H S T J N C K VA var Wh Ah dB dBm dBA ppm ppb % ‰ bps baud inch ft yd m USD EUR CHF GBP DC AC"
-).split()
+    "kg/m³", "kg/m3", "g/cm³", "g/cm3", "kg/cm²", "g/ml", "mg/l", "kVA", "MVA", "kVAR", "MVAR", "kPa", "MPa", "GPa", "hPa", "mbar", "μbar", "µbar",
+    "m³/h", "m³/s", "l/min", "l/s", "ml/min", "kg/h", "kg/s", "t/h", "g/min", "Nm", "kNm", "MNm", "rpm", "rps", "rad/s", "deg/s", "Hz", "kHz", "MHz",
+    "GHz", "mA", "μA", "µA", "nA", "kA", "MV", "kV", "mV", "μV", "µV", "kW", "MW", "GW", "mW", "μW", "µW", "kΩ", "MΩ", "mΩ", "μΩ", "µΩ", "kΩ", "MΩ",
+    "mΩ", "km", "dm", "cm", "mm", "μm", "µm", "nm", "mil", "kg", "mg", "μg", "µg", "t", "g", "lb", "oz", "m³", "cm³", "mm³", "l", "ml", "hl", "bar",
+    "psi", "ksi", "Pa", "°C", "°F", "°R", "s", "ms", "μs", "µs", "ns", "min", "h", "d", "V", "A", "W", "Ω", "Ω", "F", "H", "S", "T", "J", "N", "C",
+    "K", "VA", "var", "Wh", "Ah", "dB", "dBm", "dBA", "ppm", "ppb", "%", "‰", "bps", "baud", "inch", "ft", "yd", "m", "USD", "EUR", "CHF", "GBP",
+    "DC", "AC",
+)
 _UNIT = "(?:" + "|".join(re.escape(u) for u in sorted(UNITS, key=lambda u: (-len(u), u))) + ")"
 
 

@@ -119,8 +119,9 @@ def _coordinates(spark, d):
     return table(spark, d, "part").select("p_partkey", t.cell_coordinate("p_partkey", "p_size").alias("coord"))
 
 
-_PREFIX3 = "|".join(p for p in t.PREFIXES if len(p) == 3)
-_PREFIX2 = "|".join(p for p in t.PREFIXES if len(p) == 2)
+#: Three and two letters before a designation, written out apart from the engine's own list.
+_PREFIX3 = "[TPLAWDVQSJZ]I[CRAS]|FI[CQRA]"
+_PREFIX2 = "[TPFLAWDVQSJZ]I|[PFLTHZAS]V"
 
 
 def sql_akz(column: str) -> str:
@@ -134,9 +135,18 @@ def sql_stripped(column: str) -> str:
     )
 
 
-@registry.add("akz_forms", f"SELECT DISTINCT canonical_tag, {sql_akz('canonical_tag')} AS akz, {sql_stripped(sql_akz('canonical_tag'))} AS bare FROM source_entity")
+#: Tags that begin with a prefix, or with letters that look like one (FIS).
+_PLANTED = ("FISTU10", "FIQTU10.T4", "TISXP26", "PVTU20Y30", "FITU1", "TIC12", "HVAC 10", "FIS", "VISA1", "=ZV.AB1")
+
+
+@registry.add(
+    "akz_forms",
+    f"SELECT DISTINCT canonical_tag, {sql_akz('canonical_tag')} AS akz, {sql_stripped(sql_akz('canonical_tag'))} AS bare FROM "
+    f"(SELECT canonical_tag FROM source_entity UNION ALL SELECT unnest({list(_PLANTED)}))",
+)
 def _akz_forms(spark, d):
-    rows = table(spark, d, "source_entity").select("canonical_tag", t.normalize_akz("canonical_tag").alias("akz"))
+    planted = spark.createDataFrame([(x,) for x in _PLANTED], "canonical_tag string")
+    rows = table(spark, d, "source_entity").select("canonical_tag").unionByName(planted).select("canonical_tag", t.normalize_akz("canonical_tag").alias("akz"))
     return rows.withColumn("bare", t.strip_function_prefix("akz")).distinct()
 
 
