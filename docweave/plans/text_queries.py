@@ -82,22 +82,31 @@ def _value_types(spark, d):
     return table(spark, d, "document_data").select("attribute_name").distinct().withColumn("value_type", t.guess_value_type("attribute_name"))
 
 
-def _component_sql(column: str) -> str:
-    parts = [f"regexp_extract_all(coalesce({column}, ''), '{p.replace('(?iU)', '(?i)').replace('(?U)', '')}')" for p in t.COMPONENTS]
+#: DuckDB: word characters beyond ASCII, which its word boundary does not know.
+_WORD = "|".join(f"[^\\x00-\\x7F\\P{{{c}}}]" for c in ("L", "M", "Nd", "Nl", "Pc")) + "|[\\x{200C}\\x{200D}]"
+
+
+def component_sql(column: str) -> str:
+    """Designations of a text.  Where a pattern has only capitals, a small letter stands for word characters beyond ASCII."""
+    text = f"coalesce({column}, '')"
+    plain = f"regexp_replace({text}, '{_WORD}', 'q', 'g')"
+    parts = [
+        f"regexp_extract_all({text if p.startswith('(?iU)') else plain}, '{p.replace('(?iU)', '(?i)').replace('(?U)', '')}')" for p in t.COMPONENTS
+    ]
     return "list_distinct(list_filter(list_transform(flatten([" + ", ".join(parts) + "]), lambda x: trim(x, '.,;:()[]{}')), lambda x: x <> ''))"
 
 
 @registry.add(
     "component_tokens",
-    f"SELECT token, count(*) AS n FROM (SELECT unnest({_component_sql('canonical_akz')}) AS token FROM uc1_report) GROUP BY 1",
+    f"SELECT token, count(*) AS n FROM (SELECT unnest({component_sql('canonical_akz')}) AS token FROM uc1_report) GROUP BY 1",
 )
 def _component_tokens(spark, d):
     return table(spark, d, "uc1_report").select(F.explode(t.component_tokens("canonical_akz")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registry.add("document_tokens")
+@registry.add("document_tokens", f"SELECT token, count(*) AS n FROM (SELECT doc_id, unnest({component_sql('text')}) AS token FROM documents) GROUP BY 1")
 def _document_tokens(spark, d):
-    """Designations of whole texts; the SQL dialect has no Unicode word boundaries."""
+    """Designations of whole texts."""
     return table(spark, d, "documents").select(F.explode(t.component_tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
