@@ -1,7 +1,7 @@
 """Chunk identifiers, weighted terms, hybrid scores, evidence bundles and the evidence graph.
 
-Terms live in a long postings table, so scoring is an equality join of query terms with postings and a sum; no query
-meets a chunk it shares nothing with, except where a filter leaves fewer hits than asked for.
+Searches for the best chunks score blocks of queries in the scan of the chunks (see ``scoring``).  Where all scored pairs
+are wanted, terms live in long tables, and scoring is an equality join of query terms with chunk terms and a sum.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docweave.functions.text import component_tokens, jaccard, normalize_identifier, rounded, text_or_empty, tokenize
+from docweave.functions.text import component_tokens, jaccard, normalize_identifier, normalize_identifiers, normalize_label, rounded, text_or_empty, tokenize
 from docweave.operators.ordered import consecutive_pairs
+from docweave.operators.scoring import Part, best_chunks, nearest_vectors
+from docweave.scratch import Scratch
+from docweave.session import spread
 
 #: Parts of the hybrid score, and thresholds of a bundle.
 SCORE = {"exact": 0.35, "tags": 0.15, "tfidf": 0.25, "lexical": 0.15, "embedding": 0.05, "prior": 0.05}
@@ -24,7 +27,7 @@ def identifiers(text: Column | str, values: Column | None = None, short: int | N
     """Distinct identifiers of a chunk: of metadata values, of the designations in its text, of a short text itself."""
     none = F.array().cast("array<string>")
     parts = [F.coalesce(values, none) if values is not None else none, component_tokens(text)]
-    folded = F.transform(F.concat(*parts), normalize_identifier)
+    folded = normalize_identifiers(F.transform(F.concat(*parts), lambda x: F.regexp_replace(x, "\n", " ")) if values is not None else parts[1])
     whole = normalize_identifier(text)
     if short is not None:
         folded = F.concat(folded, F.when(F.length(whole) <= short, F.array(whole)).otherwise(none))
@@ -111,8 +114,68 @@ def hybrid_scores(queries: DataFrame, chunks: DataFrame, prior_kind: str | None
     return parts.select(*keys, *[rounded(F.col(c)).alias(c) for c in names], rounded(F.least(F.lit(1.0), total)).alias("score"))
 
 
+def _described(rows: DataFrame, key: str, text: str, more: list[str], short: int | None) -> DataFrame:
+    """key, more columns, and of each text its grams, label words, tags, and identifiers (of the whole text up to ``short``)."""
+    read = spread(rows).select(key, *more, grams(text).alias("grams"), normalize_label(text).alias("label"), component_tokens(text).alias("found"))
+    folded = read.withColumns({"whole": F.replace("label", F.lit(" "), F.lit("")), "tags": F.array_distinct(normalize_identifiers("found"))})
+    own = F.array("whole") if short is None else F.when(F.length("whole") <= short, F.array("whole")).otherwise(F.array().cast("array<string>"))
+    exact = F.array_distinct(F.filter(F.concat(own, "tags"), lambda x: x != ""))
+    return folded.select(key, *more, "grams", F.filter(F.split("label", " "), lambda t: t != "").alias("lexical"), "tags", exact.alias("exact"))
+
+
+def _tfidf_sides(queries: DataFrame, chunks: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Weighted query terms (q_id, part, term, w), and per chunk (c_id, tfidf array) the length of its weighted terms.
+
+    ``queries``: q_id, grams.  ``chunks``: c_id, grams.
+    """
+    counts = scratch.save(chunks.select("c_id", F.explode("grams").alias("term")).groupBy("c_id", "term").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    idf = scratch.save(inverse_frequency(counts, chunks))
+    lengths = counts.join(idf, "term").groupBy("c_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w") * F.col("idf") * F.col("idf"))).alias("tfidf_norm"))
+    asked = scratch.save(term_counts(queries, "q_id", F.col("grams")).join(idf, "term").select("q_id", "term", "idf", (F.col("w") * F.col("idf")).alias("w")))
+    own = asked.groupBy("q_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    postings = asked.join(own, "q_id").select("q_id", F.lit("tfidf").alias("part"), "term", (F.col("w") * F.col("idf") / F.col("n")).alias("w"))
+    return postings, lengths
+
+
+def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """q_id, c_id, tfidf (``digits`` places), rank: the ``k`` best chunks that share a term with the query.
+
+    ``queries``: q_id, q_text.  ``chunks``: c_id, c_text.  Ties go to the smaller chunk id.
+    """
+    scratch = Scratch(queries.sparkSession, "tfidf")
+    held = scratch.save(spread(chunks).select("c_id", grams("c_text").alias("grams")))
+    postings, lengths = _tfidf_sides(queries.select("q_id", grams("q_text").alias("grams")), held, scratch)
+    rows = held.join(lengths, "c_id", "left").select("c_id", F.col("grams").alias("tfidf"), "tfidf_norm")
+    found = best_chunks(queries.select("q_id"), postings, rows, [Part("tfidf", 1.0, "dot")], k, [], digits, False)
+    return found.select("q_id", "c_id", "tfidf", "rank")
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, filters: tuple[str, ...] = ()) -> DataFrame:
+    """q_id, c_id, the parts and total of the hybrid score (4 places), rank: the ``k`` best chunks of each query.
+
+    ``queries``: q_id, q_text.  ``chunks``: c_id, c_text.  ``filters`` names columns q_<name> and c_<name> of both sides
+    (such as document, family, kind): a query takes only chunks of its value, all if it is null; term weights count all
+    chunks.  A query that asks for a kind gives chunks of that kind the prior.  Chunks that share nothing fill up to
+    ``k`` hits, by id.  Blank queries have no hits.
+    """
+    scratch = Scratch(queries.sparkSession, "hybrid")
+    asked = queries.where(F.trim("q_text") != "")
+    q = scratch.save(_described(asked, "q_id", "q_text", [f"q_{f}" for f in filters], None))
+    c = scratch.save(_described(chunks, "c_id", "c_text", [f"c_{f}" for f in filters], 40))
+    postings, lengths = _tfidf_sides(q, c, scratch)
+    counts = scratch.save(term_counts(q, "q_id", F.col("lexical")))
+    own = counts.groupBy("q_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    postings = postings.unionByName(counts.join(own, "q_id").select("q_id", F.lit("lexical").alias("part"), "term", (F.col("w") / F.col("n")).alias("w")))
+    for part in ("tags", "exact"):
+        postings = postings.unionByName(q.select("q_id", F.lit(part).alias("part"), F.explode(part).alias("term"), F.lit(1.0).alias("w")))
+    rows = c.join(lengths, "c_id", "left").withColumnRenamed("grams", "tfidf")
+    parts = [Part("exact", SCORE["exact"], "any"), Part("tags", SCORE["tags"], "share"), Part("tfidf", SCORE["tfidf"], "dot"), Part("lexical", SCORE["lexical"], "dot")]
+    found = best_chunks(q.select("q_id", *[f"q_{f}" for f in filters]), postings, rows, parts, k, list(filters), 4, True, SCORE["prior"])
+    return found
+
+
 def search(scored: DataFrame, k: int) -> DataFrame:
-    """The k best chunks of each query, by score down and chunk id, with their rank."""
+    """The k best chunks of each query among scored pairs, by score down and chunk id, with their rank."""
     window = Window.partitionBy("q_id").orderBy(F.desc("score"), "c_id")
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
@@ -135,18 +198,7 @@ def bundle_id(query: Column | str, hit_ids: Column | str) -> Column:
     return F.concat(F.lit("bundle:"), F.substring(F.sha1(F.concat_ws("::", query, F.array_join(hit_ids, "|")).cast("binary")), 1, 16))
 
 
-def cosine_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """q_id, v_id, similarity, rank: exact cosine search of a bounded query set against all vectors.
-
-    Queries are cut into blocks of about a thousand, and every vector meets every block once; a query is not its own hit.
-    """
-    from docweave.functions.values import cosine
-
-    blocks = max(1, queries.count() // 1000)
-    q = queries.select("q_id", F.col("vector").alias("q_vector"), F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int").alias("block"))
-    v = vectors.select("v_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = v.join(q, "block").where("q_id <> v_id").select("q_id", "v_id", cosine("q_vector", "vector").alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("similarity"), "v_id"))).where(F.col("rank") <= k)
+cosine_search = nearest_vectors
 
 
 # ---------------------------------------------------------------- evidence graph

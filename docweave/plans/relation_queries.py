@@ -10,7 +10,7 @@ from docweave.operators import chunks as ch
 from docweave.operators import decide, export, extract, graph, matching, ordered, quality, relational, retrieval, store
 from docweave.plans import rules
 from docweave.plans.registry import Registry
-from docweave.plans.text_queries import sql_akz, sql_clean, sql_identifier, sql_label, sql_stripped
+from docweave.plans.text_queries import component_sql, sql_akz, sql_clean, sql_identifier, sql_label, sql_stripped
 from docweave.session import table
 from docweave.sources import files, plant_xml, step
 
@@ -355,7 +355,15 @@ def _same_document_edges(spark, d):
     return retrieval.same_document_edges(rows)
 
 
-@registry.add("shared_identifier_edges")
+#: Chunks with the designations in their latest text.
+_CHUNK_TAGS = f"""t AS (SELECT DISTINCT id, {sql_identifier('unnest(' + component_sql('text') + ')')} AS tag FROM (SELECT id, max(text) AS text FROM chunks GROUP BY id))"""
+
+
+@registry.add(
+    "shared_identifier_edges",
+    f"""WITH {_CHUNK_TAGS} SELECT CAST(a.id AS VARCHAR) || '::' || CAST(b.id AS VARCHAR) || '::shared_identifier::' || a.tag AS edge_id, a.id AS from_id, b.id AS to_id,
+    'shared_identifier' AS edge_type, 1.0::DOUBLE AS score, a.tag AS reason FROM t a JOIN t b ON a.tag = b.tag AND a.id < b.id AND a.tag <> ''""",
+)
 def _shared_identifier_edges(spark, d):
     """Chunks that name the same designation, every pair."""
     rows = ch.latest_copies(table(spark, d, "chunks"), ["id"], ["text"]).select(F.col("id").alias("c_id"), F.col("id").alias("ord"), F.col("text").alias("c_text"))
@@ -599,23 +607,55 @@ def _tfidf_top(spark, d):
     """Every document whose id is divisible by 100 as a query, against all documents."""
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("c_id"), F.col("text").alias("c_text"))
     queries = corpus.where("c_id % 100 = 0").select(F.col("c_id").alias("q_id"), F.col("c_text").alias("q_text"))
-    scored = retrieval.tfidf_scores(queries, corpus).withColumn("tfidf", F.round("tfidf", 6))
-    return ordered.top_k(scored, ["q_id"], [F.desc("tfidf"), "c_id"], 5)
+    return retrieval.tfidf_search(queries, corpus, 5)
 
 
 def _hybrid(spark, d):
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("c_id"), F.col("text").alias("c_text"))
     queries = corpus.where("c_id % 100 = 0").select(F.col("c_id").alias("q_id"), F.col("c_text").alias("q_text"))
-    return retrieval.search(retrieval.hybrid_scores(queries, corpus), 5)
+    return retrieval.hybrid_search(queries, corpus, 5)
+
+
+#: Parts of the hybrid score of every document whose id is divisible by 100 against all.
+_HYBRID_SQL = f"""WITH c AS (SELECT doc_id AS id, text FROM documents),
+words AS (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM c),
+terms AS (SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words),
+tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM c)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+u AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM (SELECT id, term, tf * idf AS x FROM tf JOIN idf USING (term))),
+tfidf AS (SELECT q.id AS q, u.id AS c, sum(q.x * u.x) AS tfidf FROM u q JOIN u USING (term) WHERE q.id % 100 = 0 GROUP BY ALL),
+plain AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(string_split({sql_label('text')}, ' ')) AS term FROM c) WHERE term <> '' GROUP BY ALL),
+v AS (SELECT id, term, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM plain),
+lexical AS (SELECT q.id AS q, v.id AS c, sum(q.x * v.x) AS lexical FROM v q JOIN v USING (term) WHERE q.id % 100 = 0 GROUP BY ALL),
+found AS (SELECT id, {component_sql('text')} AS t, {sql_identifier('text')} AS whole FROM c),
+tag AS (SELECT DISTINCT id, tag FROM (SELECT id, {sql_identifier('unnest(t)')} AS tag FROM found) WHERE tag <> ''),
+sized AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM tag),
+shared AS (SELECT q.id AS q, s.id AS c, count(*) / (any_value(q.n) + any_value(s.n) - count(*)) AS tags FROM sized q JOIN sized s USING (tag) WHERE q.id % 100 = 0 GROUP BY ALL),
+q_ids AS (SELECT id, tag FROM tag WHERE id % 100 = 0 UNION SELECT id, whole FROM found WHERE id % 100 = 0 AND whole <> ''),
+c_ids AS (SELECT id, tag FROM tag UNION SELECT id, whole FROM found WHERE whole <> '' AND length(whole) <= 40),
+same AS (SELECT DISTINCT q.id AS q, s.id AS c FROM q_ids q JOIN c_ids s USING (tag)),
+scored AS (SELECT a.id AS q_id, b.id AS c_id, CASE WHEN same.q IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS exact, coalesce(tags, 0)::DOUBLE AS tags, coalesce(tfidf, 0)::DOUBLE AS tfidf, coalesce(lexical, 0)::DOUBLE AS lexical
+  FROM (SELECT * FROM c WHERE id % 100 = 0 AND trim(text) <> '') a CROSS JOIN c b LEFT JOIN same ON same.q = a.id AND same.c = b.id LEFT JOIN shared ON shared.q = a.id AND shared.c = b.id
+  LEFT JOIN tfidf ON tfidf.q = a.id AND tfidf.c = b.id LEFT JOIN lexical ON lexical.q = a.id AND lexical.c = b.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, c_id) AS rank FROM (SELECT q_id, c_id, exact, round_even(tags, 4) AS tags, round_even(tfidf, 4) AS tfidf, round_even(lexical, 4) AS lexical, 0.0::DOUBLE AS prior,
+  round(least(1.0, 0.35 * exact + 0.15 * tags + 0.25 * tfidf + 0.15 * lexical), 4) AS score FROM scored)),
+hits AS (SELECT q_id, c_id, exact, tags, tfidf, lexical, prior, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5)
+"""
 
 
-@registry.add("hybrid_top")
+@registry.add("hybrid_top", _HYBRID_SQL + "SELECT * FROM hits")
 def _hybrid_top(spark, d):
-    """Hybrid scores of every document whose id is divisible by 100 against all; tested against a plain scorer."""
+    """Hybrid scores of every document whose id is divisible by 100 against all."""
     return _hybrid(spark, d)
 
 
-@registry.add("evidence_bundles")
+@registry.add(
+    "evidence_bundles",
+    _HYBRID_SQL + """, b AS (SELECT q_id, string_agg(CAST(c_id AS VARCHAR), ',' ORDER BY rank) AS hit_ids, coalesce(string_agg(CAST(c_id AS VARCHAR), ',' ORDER BY rank) FILTER (score >= 0.45), '') AS support,
+    coalesce(string_agg(CAST(c_id AS VARCHAR), ',' ORDER BY rank) FILTER (exact <= 0 AND score < 0.2), '') AS contradiction, max(score) AS top_score, count(*) FILTER (score >= 0.45) AS n FROM hits GROUP BY q_id)
+    SELECT q_id, hit_ids, support, contradiction, top_score, CASE WHEN top_score >= 0.7 OR (n >= 2 AND top_score >= 0.4) THEN 'present' WHEN top_score <= 0.2 AND n = 0 THEN 'missing' ELSE 'needs_review' END AS decision,
+    CASE WHEN top_score >= 0.7 OR (n >= 2 AND top_score >= 0.4) THEN top_score < 0.85 WHEN top_score <= 0.2 AND n = 0 THEN false ELSE true END AS needs_review FROM b""",
+)
 def _evidence_bundles(spark, d):
     """Bundles of the hybrid hits with the decision they lead to."""
     found = retrieval.bundles(_hybrid(spark, d))
@@ -665,7 +705,18 @@ def _text_pairs(spark, d):
     return extract.block_pairs(lines)
 
 
-@registry.add("text_connections")
+#: Lines of whole texts, cleaned and numbered.
+_LINES_SQL = f"""lines AS (SELECT * FROM (SELECT doc_id, i AS idx, {sql_clean('l[i]')} AS text FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM
+(SELECT doc_id, string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents))) WHERE text <> '')"""
+
+
+@registry.add(
+    "text_connections",
+    f"""WITH {_LINES_SQL}, k AS (SELECT DISTINCT unnest({component_sql('canonical_tag')}) AS token FROM target_entity),
+    r AS (SELECT doc_id, idx, {component_sql('text', False)} AS t FROM lines), t AS (SELECT doc_id, idx, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM r), p AS (SELECT DISTINCT doc_id, t[i] AS a, t[i + 1] AS b FROM (SELECT doc_id, t, unnest(generate_series(1, len(t) - 1)) AS i FROM t)),
+    s AS (SELECT *, round_even(0.45 + CASE WHEN a IN (SELECT token FROM k) THEN 0.15 ELSE 0 END + CASE WHEN b IN (SELECT token FROM k) THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(a || b, '[/:]') THEN 0.1 ELSE 0 END, 2)::DOUBLE AS confidence FROM p)
+    SELECT CAST(doc_id AS VARCHAR) AS document, 1 AS page, a AS from_token, b AS to_token, confidence, CASE WHEN confidence >= 0.6 THEN 'filled' ELSE 'needs_review' END AS status FROM s""",
+)
 def _text_connections(spark, d):
     """Neighbouring designations in lines of whole texts; tested against a plain version."""
     lines = ch.line_chunks(table(spark, d, "documents"), "doc_id", "text").select(F.col("doc_id").cast("string").alias("document"), F.lit(1).alias("page"), F.col("line_no").alias("idx"), "text")

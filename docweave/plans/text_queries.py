@@ -14,7 +14,9 @@ registry = Registry()
 #: DuckDB: white space as Python and Java (Unicode) know it.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 #: DuckDB: the compatibility forms that removing accents leaves alone, as far as the tables hold them.
-_LONGER = {"¼": "14", "½": "12", "¾": "34", "²": "2", "³": "3", "¹": "1", "ª": "a", "º": "o", "™": "TM", "…": "...", "№": "No", "ﬁ": "fi", "ﬂ": "fl", "´": " ", "¨": " ", "¸": " ", "¯": " ", "\xa0": " ", "℃": "C"}
+_LONGER = {"¼": "14", "½": "12", "¾": "34", "²": "2", "³": "3", "¹": "1", "ª": "a", "º": "o", "™": "TM", "…": "...", "№": "No", "ﬁ": "fi", "ﬂ": "fl", "´": " ", "¨": " ", "¸": " ", "¯": " ", "\xa0": " ", "℃": "C",
+    "\u2002": " ", "\u2003": " ", "\u2009": " ", "\u202f": " ", "\u3000": " ", "，": ",", "：": ":", "；": ";", "（": "(", "）": ")", "！": "!", "？": "?",
+}
 
 
 def sql_fold(column: str) -> str:
@@ -86,14 +88,15 @@ def _value_types(spark, d):
 _WORD = "|".join(f"[^\\x00-\\x7F\\P{{{c}}}]" for c in ("L", "M", "Nd", "Nl", "Pc")) + "|[\\x{200C}\\x{200D}]"
 
 
-def component_sql(column: str) -> str:
-    """Designations of a text.  Where a pattern has only capitals, a small letter stands for word characters beyond ASCII."""
+def component_sql(column: str, distinct: bool = True) -> str:
+    """Designations of a text, in any order if distinct.  Where a pattern has only capitals, a small letter stands for word characters beyond ASCII."""
     text = f"coalesce({column}, '')"
     plain = f"regexp_replace({text}, '{_WORD}', 'q', 'g')"
     parts = [
         f"regexp_extract_all({text if p.startswith('(?iU)') else plain}, '{p.replace('(?iU)', '(?i)').replace('(?U)', '')}')" for p in t.COMPONENTS
     ]
-    return "list_distinct(list_filter(list_transform(flatten([" + ", ".join(parts) + "]), lambda x: trim(x, '.,;:()[]{}')), lambda x: x <> ''))"
+    every = "list_filter(list_transform(flatten([" + ", ".join(parts) + "]), lambda x: trim(x, '.,;:()[]{}')), lambda x: x <> '')"
+    return f"list_distinct({every})" if distinct else every
 
 
 @registry.add(

@@ -49,3 +49,9 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``folder``; columns are pruned by the plan that reads it."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a scan of fewer splits than there are cores, spread over all of them, for work that is heavy per row."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

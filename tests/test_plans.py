@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import re
 import zipfile
 from collections import Counter
@@ -9,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import chunks, extract, pages, relational, retrieval
+from docweave.operators import chunks, extract, pages, relational, retrieval, scoring
 from docweave.plans import rules
 from docweave.plans.relation_queries import PROFILE, RULE_SET
 from docweave.sources import files, plant_xml, settings, step, terminals, workbook
@@ -63,6 +64,50 @@ def test_hybrid_scores_against_a_plain_scorer(spark):
                 assert (q, c) not in got
 
 
+def test_searches_find_the_best_of_all_scored_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    words = "pumpe ventil tank TU10F17-5 X1:12/L1 öl druck im am und HC12 leer".split()
+    texts = [None, "", "  ", *(" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(60))]
+    chunk_rows = spark.createDataFrame([(i, x, ["a", "b", None][i % 3], "clash") for i, x in enumerate(texts)], "c_id int, c_text string, c_kind string, q_id string")
+    query_rows = spark.createDataFrame([(100 + i, x, ["a", None][i % 2]) for i, x in enumerate(texts[:20])], "q_id bigint, q_text string, q_kind string")
+    every = {(r.q_id, r.c_id): r for r in retrieval.hybrid_scores(query_rows, chunk_rows).collect()}
+    for queries, terms, rows in ((1_000, 10**6, 1_000), (3, 10**6, 7), (1_000, 40, 1_000)):
+        monkeypatch.setattr(scoring, "BLOCK_QUERIES", queries)
+        monkeypatch.setattr(scoring, "BLOCK_TERMS", terms)
+        monkeypatch.setattr(scoring, "SLICE_ROWS", rows)
+        for filters in ((), ("kind",)):
+            got = {}
+            for r in retrieval.hybrid_search(query_rows, chunk_rows, 4, filters).collect():
+                got.setdefault(r.q_id, []).append((r["rank"], r.c_id, r.score))
+            asked = {r.q_id: r.q_kind for r in query_rows.where("trim(q_text) <> ''").collect()}
+            assert set(got) == set(asked)
+            for q, kind in asked.items():
+                free = [i for i in range(len(texts)) if not filters or kind is None or ["a", "b", None][i % 3] == kind]
+                prior = 0.05 if filters and kind else 0.0
+                full = sorted((-min(1.0, (every[q, c].score if (q, c) in every else 0.0) + prior), c) for c in free)[:4]
+                assert [c for _, c, _ in sorted(got[q])] == [c for _, c in full] or [s for *_, s in sorted(got[q])] == pytest.approx([-s for s, _ in full], abs=2e-4)
+        best = retrieval.tfidf_search(query_rows, chunk_rows, 3, 4).collect()
+        for r in best:
+            assert r.tfidf == pytest.approx(every[r.q_id, r.c_id].tfidf, abs=1e-4) and r.tfidf > 0
+    assert retrieval.hybrid_search(query_rows.limit(0), chunk_rows, 3).count() == 0
+    assert retrieval.hybrid_search(query_rows, chunk_rows.limit(0), 3).count() == 0
+    assert retrieval.tfidf_search(query_rows, chunk_rows.limit(0), 3).count() == 0
+
+
+def test_nearest_vectors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_QUERIES", 4)
+    rng = random.Random(6)
+    rows = [(f"v{i:03}", [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(60)] + [("n", None), ("short", [1.0]), ("zero", [0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "v_id string, vector array<float>")
+    found = retrieval.cosine_search(vectors.where("v_id < 'v010' and v_id >= 'v'").withColumnRenamed("v_id", "q_id"), vectors, 5).collect()
+    held = {k: v for k, v in rows if v and len(v) == 3}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b)) if any(a) and any(b) else 0.0
+    for q in [f"v{i:03}" for i in range(10)]:
+        want = sorted((-round(cosine(held[q], v), 6) + 0.0, k) for k, v in held.items() if k != q)[:5]
+        assert [(r.v_id, r.similarity) for r in sorted(found, key=lambda r: r["rank"]) if r.q_id == q] == [(k, pytest.approx(-s, abs=1e-6)) for s, k in want]
+    assert retrieval.cosine_search(vectors.limit(0).withColumnRenamed("v_id", "q_id"), vectors, 5).count() == 0
+
+
 def test_bundles(spark):
     hits = spark.createDataFrame([(1, "a", 0.9, 1.0, 1), (1, "b", 0.1, 0.0, 2), (1, "c", 0.5, 0.0, 3)], "q_id int, c_id string, score double, exact double, rank int")
     got = retrieval.bundles(hits).first()
