@@ -31,7 +31,7 @@ def grid_positions(spans: DataFrame, lines: DataFrame) -> DataFrame:
     found = c.select(*PAGE, "span_id")
     for axis, part in (("column", "x"), ("row", "y")):
         marks = lines.where(F.col("axis") == axis).select(*PAGE, "label", "at")
-        near = c.join(F.broadcast(marks), PAGE).withColumn("d", F.abs(F.col("at") - F.col(f"c.{part}")))
+        near = c.join(marks, PAGE).withColumn("d", F.abs(F.col("at") - F.col(f"c.{part}")))
         best = first_per_key(near.select(*PAGE, "span_id", "d", "label"), [*PAGE, "span_id"], ["d", "label"]).select(*PAGE, "span_id", F.col("label").alias(axis))
         found = found.join(best, [*PAGE, "span_id"], "left")
     return found.na.fill({"column": "", "row": ""})

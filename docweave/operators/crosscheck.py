@@ -133,12 +133,11 @@ def vector_names(names: DataFrame, corpus: DataFrame, known: DataFrame) -> DataF
     ``names``: name, vector.  ``corpus``: attribute, vector (a lookup table).  ``known``: name.  Known names stay as they
     are, and so do those nothing is near to: below 0.45, 0.55 up to six and 0.65 up to five characters.
     """
-    from docweave.functions.values import cosine
+    from docweave.operators.scoring import nearest_label
 
-    listed = corpus.agg(F.collect_list(F.struct("attribute", "vector"))).scalar()
-    asked = names.join(known.select("name").distinct(), "name", "left_anti").withColumn("c", F.explode(listed))
-    near = asked.select("name", F.struct(cosine("vector", F.col("c.vector")).alias("s"), F.col("c.attribute").alias("a")).alias("x"))
-    best = near.groupBy("name").agg(F.max("x").alias("x"))
+    asked = names.join(known.select("name").distinct(), "name", "left_anti")
+    near = nearest_label(asked, corpus.select(F.col("attribute").alias("label"), "vector"))
+    best = near.groupBy("name").agg(F.max(F.struct(F.col("similarity").alias("s"), F.col("label").alias("a"))).alias("x"))
     least = F.when(F.length("name") <= 5, 0.65).when(F.length("name") <= 6, 0.55).otherwise(0.45)
     kept = best.where(F.col("x.s") >= least).select("name", F.col("x.a").alias("attribute"))
     return names.select("name").distinct().join(kept, "name", "left").select("name", F.coalesce("attribute", "name").alias("attribute"))

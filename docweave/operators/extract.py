@@ -55,15 +55,15 @@ def extract_tabular(cells: DataFrame, headers: DataFrame, fields: DataFrame) ->
     """
     names = fields.select("field", F.col("alias").alias("name")).unionByName(fields.select("field", F.col("field").alias("name"))).distinct()
     hits = match_fields(names.select(F.col("name").alias("field")), headers.select("header")).withColumnRenamed("field", "name")
-    columns = headers.join(F.broadcast(hits), "header").join(F.broadcast(names), "name").select("document", "sheet", "col", "header_row", "field").distinct()
-    values = cells.join(F.broadcast(columns), ["document", "sheet", "col"]).where("row > header_row").withColumn("value", clean_cell("value")).where("value <> ''")
+    columns = headers.join(hits, "header").join(names, "name").select("document", "sheet", "col", "header_row", "field").distinct()
+    values = cells.join(columns, ["document", "sheet", "col"]).where("row > header_row").withColumn("value", clean_cell("value")).where("value <> ''")
     several = fields.groupBy("field").agg(F.max("repeatable").alias("repeatable"))
     grouped = values.groupBy("document", "sheet", "row", "field").agg(
         ordered_values(F.col("value"), F.col("col")).alias("all"), F.min(F.struct("col", "value")).alias("first")
     )
     value = F.when(F.col("repeatable"), F.array_join("all", " | ")).otherwise(F.col("first.value"))
     at = F.concat_ws(":", F.col("first.col").cast("string"), F.col("row").cast("string"))
-    return grouped.join(F.broadcast(several), "field").select("document", "sheet", "row", "field", value.alias("value"), at.alias("evidence"))
+    return grouped.join(several, "field").select("document", "sheet", "row", "field", value.alias("value"), at.alias("evidence"))
 
 
 def complete_fields(records: DataFrame, results: DataFrame, fields: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def extract_named_sheet(cells: DataFrame, headers: DataFrame, fields: DataFrame,
     named = headers.where(F.col("sheet") == sheet).select("document", "sheet", F.lower(clean_cell("header")).alias("k"), "col", "header_row")
     first = named.groupBy("document", "sheet", "k").agg(F.min("col").alias("col"), F.min("header_row").alias("header_row"))
     wanted = fields.select("field", F.lower(clean_cell("field")).alias("k")).distinct()
-    columns = first.join(F.broadcast(wanted), "k")
-    values = cells.join(F.broadcast(columns), ["document", "sheet", "col"]).where("row > header_row")
+    columns = first.join(wanted, "k")
+    values = cells.join(columns, ["document", "sheet", "col"]).where("row > header_row")
     return values.select("document", "row", "field", clean_cell("value").alias("value")).where("value <> ''")
 
 
@@ -102,7 +102,7 @@ def field_values(fields: DataFrame, pairs: DataFrame, hits: DataFrame, sure: flo
     """
     own = by_alias(fields, pairs)
     names = fields.select("field", normalize_label("alias").alias("k")).where("k <> ''").distinct()
-    ranked = hits.join(F.broadcast(names), "field")
+    ranked = hits.join(names, "field")
     label = normalize_label("key")
     structured = ranked.where((label == F.col("k")) & (clean_cell("value") != "")).select("record", "field", F.lit(0).alias("tier"), "rank", clean_cell("value").alias("v"), "score")
     line = r"(?m)^[ \t]*([^:\n]{2,80}?)[ \t]*:[ \t]*([^\n]+)$"
@@ -170,7 +170,7 @@ def by_alias(fields: DataFrame, values: DataFrame) -> DataFrame:
     ``fields``: field, alias, ord.  ``values``: record, key (label), value, confidence.
     """
     named = fields.select("field", normalize_label("alias").alias("key"), "ord").where("key <> ''")
-    hits = values.join(F.broadcast(named), "key")
+    hits = values.join(named, "key")
     return first_per_key(hits.select("record", "field", "ord", "key", "value", "confidence"), ["record", "field"], ["ord", "key"]).drop("ord", "key")
 
 

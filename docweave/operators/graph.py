@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docweave.functions.values import box_iou
-from docweave.operators.ordered import first_per_key
+from docweave.operators.ordered import first_per_key, forward_fill, number_rows
 from docweave.scratch import Scratch
 
 
@@ -69,21 +70,34 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         scratch.paths[id(label)] = scratch.paths.pop(id(after))
 
 
-def overlap_clusters(boxes: DataFrame, within: list[str], least: float = 0.45) -> DataFrame:
-    """within, box_id, cluster: boxes of a page chained by overlaps of at least ``least`` (intersection over union).
+def overlap_pairs(boxes: DataFrame, within: list[str], least: float = 0.45) -> DataFrame:
+    """within, a, b (a < b), iou of the boxes of a page that overlap by at least ``least`` (intersection over union).
 
-    Boxes are looked up by the grid cells they touch, at most the cells of one side of a page each, so only boxes near
-    each other meet.
+    Boxes that overlap so much have sides of similar length, so they are looked up in grids whose cells suit the longer
+    side of the two: a box touches at most two cells of a grid on each axis, in as few grids as ``least`` allows, however
+    large it is.  Boxes without area overlap nothing.
     """
-    grid = 64.0
-    cells = lambda lo, hi: F.sequence(F.floor(F.col("box")[lo] / grid), F.floor(F.col("box")[hi] / grid))
-    placed = boxes.select(*within, "box_id", "box", F.explode(cells(0, 2)).alias("cx"), F.col("box").alias("b"))
-    placed = placed.select(*within, "box_id", "box", "cx", F.explode(cells(1, 3)).alias("cy"))
+    steps = math.ceil(-math.log2(least))
+    wide = lambda lo, hi: F.floor(F.log2(F.col("box")[hi] - F.col("box")[lo])).cast("int")
+    sized = boxes.where((F.col("box")[2] > F.col("box")[0]) & (F.col("box")[3] > F.col("box")[1])).select(
+        *within, "box_id", "box", wide(0, 2).alias("w"), wide(1, 3).alias("h")
+    )
+    every = sized.select(*within, "box_id", "box", "w", "h", F.explode(F.sequence("w", F.col("w") + steps)).alias("gw")).select(
+        "*", F.explode(F.sequence("h", F.col("h") + steps)).alias("gh")
+    )
+    cells = lambda lo, hi, level: F.sequence(F.floor(F.col("box")[lo] / F.pow(2.0, F.col(level) + 1)), F.floor(F.col("box")[hi] / F.pow(2.0, F.col(level) + 1)))
+    placed = every.select("*", F.explode(cells(0, 2, "gw")).alias("cx")).select("*", F.explode(cells(1, 3, "gh")).alias("cy"))
     left, right = placed.alias("l"), placed.alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*within, "cx", "cy"]]
-    near = left.join(right, [*same, F.col("l.box_id") < F.col("r.box_id")]).where(box_iou(F.col("l.box"), F.col("r.box")) >= least)
-    pairs = near.select(F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b")).distinct()
-    every = pairs.unionByName(boxes.select(F.col("box_id").alias("a"), F.col("box_id").alias("b")))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in within] + [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("gw", "gh", "cx", "cy")]
+    own = (F.greatest("l.w", "r.w") == F.col("l.gw")) & (F.greatest("l.h", "r.h") == F.col("l.gh"))
+    met = left.join(right, [*same, own, F.col("l.box_id") < F.col("r.box_id")])
+    pairs = met.select(*[F.col(f"l.{c}").alias(c) for c in within], F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"), box_iou(F.col("l.box"), F.col("r.box")).alias("iou"))
+    return pairs.where(F.col("iou") >= least).distinct()
+
+
+def overlap_clusters(boxes: DataFrame, within: list[str], least: float = 0.45) -> DataFrame:
+    """within, box_id, cluster: boxes of a page chained by overlaps of at least ``least`` (see ``overlap_pairs``)."""
+    every = overlap_pairs(boxes, within, least).select("a", "b").unionByName(boxes.select(F.col("box_id").alias("a"), F.col("box_id").alias("b")))
     label = connected_components(every, "a", "b")
     return boxes.select(*within, "box_id").join(label, F.col("box_id") == F.col("node")).select(*within, "box_id", F.col("component").alias("cluster"))
 
@@ -103,23 +117,27 @@ def vote_clusters(clustered: DataFrame, keys: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- assemblies
 
 
+def _with_next(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """Rows of an assembly that another follows, with its ``columns`` as next_<column>; large assemblies are spread over tasks."""
+    numbered = number_rows(rows, order, "_n", ["assembly"])
+    after = numbered.select(F.col("assembly").alias("_a"), (F.col("_n") - 1).alias("_m"), *[F.col(c).alias(f"next_{c}") for c in columns])
+    return numbered.join(after, F.col("assembly").eqNullSafe(F.col("_a")) & (F.col("_n") == F.col("_m"))).drop("_a", "_m", "_n")
+
+
 def assembly_links(steps: DataFrame) -> DataFrame:
-    """from_id, to_id, distance of components that follow each other in an assembly: assembly, no, id, x, y, z."""
-    window = Window.partitionBy("assembly").orderBy("no", "id")
-    after = {c: F.lead(c).over(window) for c in ("id", "x", "y", "z")}
-    step = steps.select("assembly", "no", F.col("id").alias("from_id"), after["id"].alias("to_id"), *[(after[c] - F.col(c)).alias(f"d{c}") for c in "xyz"])
-    distance = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2)
-    return step.where("to_id is not null").withColumn("distance", distance)
+    """assembly, no, from_id, to_id, dx, dy, dz, distance of components that follow each other: assembly, no, id, x, y, z."""
+    step = _with_next(steps.select("assembly", "no", "id", "x", "y", "z"), ["no", "id"], ["id", "x", "y", "z"])
+    apart = step.select("assembly", "no", F.col("id").alias("from_id"), F.col("next_id").alias("to_id"), *[(F.col(f"next_{c}") - F.col(c)).alias(f"d{c}") for c in "xyz"])
+    return apart.withColumn("distance", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2))
 
 
 def bend_angles(links: DataFrame) -> DataFrame:
     """assembly, no, angle (degrees) between each link and the next; null where either has no length."""
-    window = Window.partitionBy("assembly").orderBy("no")
-    after = {c: F.lead(c).over(window) for c in ("dx", "dy", "dz", "distance")}
-    dot = sum((F.col(c) * after[c] for c in ("dx", "dy", "dz")), F.lit(0.0))
-    lengths = F.col("distance") * after["distance"]
+    both = _with_next(links.select("assembly", "no", "from_id", "dx", "dy", "dz", "distance"), ["no", "from_id"], ["dx", "dy", "dz", "distance"])
+    dot = sum((F.col(c) * F.col(f"next_{c}") for c in ("dx", "dy", "dz")), F.lit(0.0))
+    lengths = F.col("distance") * F.col("next_distance")
     angle = F.when(lengths > 0, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / lengths)))))
-    return links.select("assembly", "no", angle.alias("angle"), after["distance"].alias("_next")).where("_next is not null").drop("_next")
+    return both.select("assembly", "no", angle.alias("angle"))
 
 
 def part_library(steps: DataFrame, label: str, kind: str, order: str) -> DataFrame:
@@ -137,8 +155,11 @@ def part_library(steps: DataFrame, label: str, kind: str, order: str) -> DataFra
 
 def running_parent(steps: DataFrame, is_parent: Column) -> DataFrame:
     """assembly, no, id, parent_id: the last component before it that opens a group, by assembly order."""
-    window = Window.partitionBy("assembly").orderBy("no", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return steps.select("assembly", "no", "id", F.last(F.when(is_parent, F.col("id")), ignorenulls=True).over(window).alias("parent_id"))
+    filled = forward_fill(steps.select("assembly", "no", "id", F.col("id").alias("opener"), F.coalesce(is_parent, F.lit(False)).alias("opens")), "opener", F.col("opens"), ["assembly"], ["no", "id"])
+    numbered = number_rows(filled, ["no", "id"], "_n", ["assembly"])
+    before = numbered.select(F.col("assembly").alias("_a"), (F.col("_n") + 1).alias("_m"), F.col("opener").alias("parent_id"))
+    joined = numbered.join(before, F.col("assembly").eqNullSafe(F.col("_a")) & (F.col("_n") == F.col("_m")), "left")
+    return joined.select("assembly", "no", "id", "parent_id")
 
 
 def evidence_precedence(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

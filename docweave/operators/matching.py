@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -164,15 +165,35 @@ def canonical_map(occurrences: DataFrame) -> DataFrame:
 TIERS = (("exact", 0.98), ("synonym", 0.95), ("partial", 0.85))
 
 
+def _inside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """part, whole of distinct labels (column ``label`` of either side) of which ``left`` has the part and ``right`` the whole.
+
+    A part is looked up by its first three characters (or as many as it has) among all such pieces of the wholes.
+    """
+    size = F.least(F.lit(3), F.length("label"))
+    parts = left.select(F.col("label").alias("part"), F.substring("label", F.lit(1), size).alias("piece"))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("label") - n + 1, F.lit(1))), lambda i: F.substring("label", i, F.lit(n)))
+    pieces = right.select(F.col("label").alias("whole"), F.explode(F.array_distinct(F.concat(at(1), at(2), at(3)))).alias("piece"))
+    return parts.join(pieces, "piece").where(F.contains("whole", "part")).select("part", "whole")
+
+
+def _related(f: DataFrame, h: DataFrame) -> DataFrame:
+    """f_label, h_label of distinct labels that are equal or contain one another."""
+    fields, heads = f.select(F.col("f_label").alias("label")).distinct(), h.select(F.col("h_label").alias("label")).distinct()
+    one = _inside(fields, heads).select(F.col("part").alias("f_label"), F.col("whole").alias("h_label"))
+    other = _inside(heads, fields).select(F.col("whole").alias("f_label"), F.col("part").alias("h_label"))
+    return one.unionByName(other).distinct()
+
+
 def match_fields(fields: DataFrame, headers: DataFrame) -> DataFrame:
     """field, header of every pair whose labels are equal or contain one another.
 
-    Labels without letters or digits match nothing.  Headers are a schema, so they are compared with every field.
+    Labels without letters or digits match nothing.  Labels meet by short pieces they share, so a growing number of
+    freely typed headers is not compared with every field.
     """
     f = fields.select("field", normalize_label("field").alias("f_label")).where("f_label <> ''").distinct()
     h = headers.select("header", normalize_label("header").alias("h_label")).where("h_label <> ''").distinct()
-    hit = F.contains("f_label", "h_label") | F.contains("h_label", "f_label")
-    return f.join(h, hit).select("field", "header").distinct()
+    return _related(f, h).join(f, "f_label").join(h, "h_label").select("field", "header").distinct()
 
 
 def match_field_tiers(fields: DataFrame, headers: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -185,8 +206,7 @@ def match_field_tiers(fields: DataFrame, headers: DataFrame, synonyms: DataFrame
     exact = f.join(h, F.col("f_label") == F.col("h_label")).select("field", "header", "ord", F.lit(0).alias("t"))
     alike = synonyms.select("field", normalize_label("synonym").alias("s_label")).where("s_label <> ''").distinct()
     synonym = f.select("field").join(alike, "field").join(h, F.col("s_label") == F.col("h_label")).select("field", "header", "ord", F.lit(1).alias("t"))
-    inside = F.contains("f_label", "h_label") | F.contains("h_label", "f_label")
-    partial = f.join(h, inside).select("field", "header", "ord", F.lit(2).alias("t"))
+    partial = _related(f, h).join(f, "f_label").join(h, "h_label").select("field", "header", "ord", F.lit(2).alias("t"))
     best = first_per_key(exact.unionByName(synonym).unionByName(partial), ["field"], ["t", "ord", "header"])
     names, scores = F.array(*[F.lit(n) for n, _ in TIERS]), F.array(*[F.lit(s) for _, s in TIERS])
     return best.select("field", "header", F.get(scores, F.col("t")).alias("confidence"), F.get(names, F.col("t")).alias("tier"))
@@ -281,10 +301,9 @@ def greedy_pairs(pairs: DataFrame) -> DataFrame:
         after = scratch.save(rest.select("source_key", "target_key", "score"))
         scratch.drop(left)
         left = after
-    whole = left.select("source_key", "target_key", "score")
-    for part in taken:
-        whole = whole.unionByName(part)
-    return whole
+        if len(taken) > 24:  # keeps the plan short
+            taken = [scratch.save(reduce(DataFrame.unionByName, taken))]
+    return reduce(DataFrame.unionByName, taken, left.select("source_key", "target_key", "score"))
 
 
 def _solve(part: pd.DataFrame) -> pd.DataFrame:

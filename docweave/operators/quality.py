@@ -75,7 +75,7 @@ def enum_by_attribute(rows: DataFrame, sheet: str, attribute: str, value: str, a
     bound = attributes.where("enum_field is not null").select(F.col("attribute_name").alias("a"), F.col("enum_field").alias("f"))
     used = rows.select(F.col(attribute).alias("a"), F.trim(value).alias("v")).where("v <> '' and v <> 'Unspecifiable'").distinct()
     pairs = domain.select(F.col("field_name").alias("f"), F.col("allowed_value").alias("v"))
-    outside = used.join(F.broadcast(bound), "a").join(F.broadcast(pairs), ["f", "v"], "left_anti")
+    outside = used.join(bound, "a").join(pairs, ["f", "v"], "left_anti")
     return _violations(outside, "enumeration", sheet, F.concat_ws("=", "a", "v"), F.lit("value is outside its domain"), "warning")
 
 

@@ -140,7 +140,7 @@ def attribute_rows(results: DataFrame, names: DataFrame) -> DataFrame:
     """
     known = names.groupBy("field").agg(F.min("attribute").alias("attribute"))
     own = results.select("record", "field", "value", "ord").where(~is_derived("field", "value"))
-    data = own.join(F.broadcast(known), "field", "left")
+    data = own.join(known, "field", "left")
     named = data.select("record", F.coalesce("attribute", "field").alias("attribute"), clean_cell("value").alias("value"), "ord")
     once = first_per_key(named, ["record", "attribute"], ["ord"]).withColumn("q", parse_quantity("value"))
     return once.select(

@@ -284,3 +284,43 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, digits: int
     from docweave.operators.ordered import top_k
 
     return top_k(whole, ["q_id"], [F.desc("similarity"), "v_id"], k)
+
+
+class _Label:
+    """The nearest of a few labelled vectors for each row."""
+
+    def __init__(self, listed):
+        self.listed = listed
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, matrix = self.listed.value
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column("vector")), matrix.shape[1]))
+            cosine = _unit(batch.column("vector"), matrix.shape[1]) @ matrix.T
+            best = cosine.argmax(axis=1) if len(labels) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("name"), pa.array([labels[i] for i in best], pa.string()), pa.array(cosine[np.arange(len(best)), best], pa.float64())],
+                names=["name", "label", "similarity"],
+            )
+
+
+#: Labelled vectors that workers may hold.
+MAX_LABELS = 100_000
+
+
+def nearest_label(names: DataFrame, corpus: DataFrame) -> DataFrame:
+    """name, label, similarity: the label of the nearest vector of a lookup table, the first label among equals.
+
+    ``names``: name, vector.  ``corpus``: label, vector, at most ``MAX_LABELS`` rows, all of one width.  The table is held
+    by the workers, so names are scanned once.  Null vectors and those of another width have no row.
+    """
+    rows = corpus.where("vector is not null").orderBy("label").limit(MAX_LABELS + 1).toArrow().combine_chunks()
+    if rows.num_rows > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labelled vectors")
+    schema = "name string, label string, similarity double"
+    if not rows.num_rows:
+        return names.sparkSession.createDataFrame([], schema)
+    lists = rows["vector"].combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    share = names.sparkSession.sparkContext.broadcast((rows["label"].to_pylist(), _unit(lists, len(lists[0]))))
+    return names.where("vector is not null").select("name", "vector").mapInArrow(_Label(share), schema)

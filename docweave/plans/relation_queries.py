@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions.text import component_tokens, tokenize
-from docweave.functions.values import box_iou
 from docweave.operators import chunks as ch
 from docweave.operators import decide, export, extract, graph, matching, ordered, quality, relational, retrieval, store
 from docweave.plans import rules
@@ -1005,9 +1004,5 @@ def _artifacts(spark, d):
 
 @registry.add("box_pairs", f"WITH {_BOX_SQL} SELECT page, l, r, round(i / (sa + sc - i), 6) AS iou FROM pairs WHERE i / (sa + sc - i) >= 0.45")
 def _box_pairs(spark, d):
-    boxes = _boxes(spark, d)
-    left, right = boxes.select("page", F.col("box_id").alias("l"), F.col("box").alias("lb")), boxes.select("page", F.col("box_id").alias("r"), F.col("box").alias("rb"))
-    pairs = left.join(right, "page").where("l < r").withColumn("iou", box_iou(F.col("lb"), F.col("rb"))).where("iou >= 0.45")
-    return pairs.select("page", "l", "r", F.round("iou", 6).alias("iou"))
-
-
+    found = graph.overlap_pairs(_boxes(spark, d), ["page"])
+    return found.select("page", F.col("a").alias("l"), F.col("b").alias("r"), F.round("iou", 6).alias("iou"))

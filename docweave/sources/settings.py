@@ -23,7 +23,7 @@ def canonical_fields(fields: DataFrame, aliases: DataFrame) -> DataFrame:
     """field, canonical: the canonical name of each field, by label; null where none is known."""
     known = aliases.select(normalize_label("alias").alias("k"), "canonical").unionByName(aliases.select(normalize_label("canonical").alias("k"), "canonical"))
     one = known.where("k <> ''").groupBy("k").agg(F.min("canonical").alias("canonical"))
-    return fields.select("field", normalize_label("field").alias("k")).join(F.broadcast(one), "k", "left").select("field", "canonical")
+    return fields.select("field", normalize_label("field").alias("k")).join(one, "k", "left").select("field", "canonical")
 
 
 def component_order(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +53,7 @@ def catalog_support(entries: DataFrame, support: DataFrame) -> DataFrame:
     ``support``: key, status, field.
     """
     fold = lambda c: F.replace(normalize_label(c), F.lit(" "), F.lit(""))
-    by = lambda n: F.broadcast(support.select(F.col("key").alias(f"k{n}"), F.col("status").alias(f"s{n}"), F.col("field").alias(f"f{n}")))
+    by = lambda n: support.select(F.col("key").alias(f"k{n}"), F.col("status").alias(f"s{n}"), F.col("field").alias(f"f{n}"))
     joined = entries.join(by(1), fold("property") == F.col("k1"), "left").join(by(2), fold("class_name") == F.col("k2"), "left")
     otherwise = F.when(F.col("priority") == "best_effort", "partial").otherwise("missing")
     return joined.withColumns(

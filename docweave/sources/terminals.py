@@ -48,7 +48,7 @@ def terminal_rows(cells: DataFrame) -> DataFrame:
     filled = cells.select("document", "sheet", "row", "col", clean_cell("value").alias("value")).where("value <> ''")
     sheet = ["document", "sheet"]
     heads = filled.where((F.col("row") <= 10) & F.lower("value").rlike(HEADER_WORDS)).groupBy(*sheet).agg(F.min("row").alias("header_row"))
-    named = filled.join(F.broadcast(heads), sheet).where("row = header_row")
+    named = filled.join(heads, sheet).where("row = header_row")
     role = F.lit(None).cast("string")
     for name, pattern in reversed(ROLES):
         role = F.when(F.col("value").rlike(pattern), name).otherwise(role)
@@ -60,12 +60,12 @@ def terminal_rows(cells: DataFrame) -> DataFrame:
     ref = F.when(F.col("suffix") != "", F.concat(F.lit("-"), F.upper(F.substring("suffix", 1, 1)), F.substring("suffix", 2, 200))).otherwise("")
     strips = strip.select(*sheet, ref.alias("object_ref"))
     access = layout.where("role = 'access'").select(*sheet, F.col("header").alias("access_label"))
-    body = filled.join(F.broadcast(heads), sheet).where("row > header_row")
+    body = filled.join(heads, sheet).where("row > header_row")
     # rows that only hold a heading
     shape = body.groupBy(*sheet, "row").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("col", "value")).alias("c"))
     section = (F.col("n") == 1) & (F.col("c.col") == 1) & F.length("c.value").between(8, 120) & ~F.substring(F.col("c.value"), 1, 3).rlike(r"\d")
     lines = shape.select(*sheet, "row", F.when(section, F.col("c.value")).alias("heading"))
-    values = body.join(F.broadcast(layout.select(*sheet, "role", "col")), [*sheet, "col"]).groupBy(*sheet, "row").agg(
+    values = body.join(layout.select(*sheet, "role", "col"), [*sheet, "col"]).groupBy(*sheet, "row").agg(
         *[F.max(F.when(F.col("role") == name, F.col("value"))).alias(name) for name, _ in ROLES]
     )
     down = Window.partitionBy(*sheet).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
@@ -77,7 +77,7 @@ def terminal_rows(cells: DataFrame) -> DataFrame:
         if name != "terminal"
     }
     full = placed.withColumns(carried).withColumn("t", terminal_designator("terminal")).where("terminal is not null and t.name is not null")
-    joined = full.join(F.broadcast(strips), sheet).join(F.broadcast(access), sheet, "left")
+    joined = full.join(strips, sheet).join(access, sheet, "left")
     blank = {name: F.coalesce(F.col(name), F.lit("")) for name, _ in ROLES}
     return joined.withColumns(blank).select(
         *sheet, "row", layer_label("heading").alias("layer"), "object_ref", object_type("object_ref", "access_label").alias("object_type"),

@@ -132,7 +132,7 @@ def header_rows(cells: DataFrame, limit: int = 25) -> DataFrame:
 
 def header_map(cells: DataFrame, found: DataFrame) -> DataFrame:
     """document, sheet, col, header, header_row of every named column."""
-    named = cells.join(F.broadcast(found), ["document", "sheet"]).where("row = header_row")
+    named = cells.join(found, ["document", "sheet"]).where("row = header_row")
     return named.select("document", "sheet", "col", F.col("value").alias("header"), "header_row")
 
 
