@@ -311,6 +311,16 @@ def box_centre(box: Column) -> Column:
     return F.struct(((box[0] + box[2]) / 2).alias("x"), ((box[1] + box[3]) / 2).alias("y"))
 
 
+def box_union(left: Column, right: Column) -> Column:
+    """The smallest box around two."""
+    return F.array(F.least(left[0], right[0]), F.least(left[1], right[1]), F.greatest(left[2], right[2]), F.greatest(left[3], right[3]))
+
+
+def box_expand(box: Column, margin: float) -> Column:
+    """A box with a margin on every side."""
+    return F.array(box[0] - margin, box[1] - margin, box[2] + margin, box[3] + margin)
+
+
 def box_overlap(left: Column, right: Column) -> Column:
     """Common area of two boxes (x0, y0, x1, y1); 0 if they only touch."""
     w = F.least(left[2], right[2]) - F.greatest(left[0], right[0])

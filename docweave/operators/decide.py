@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import or_null, rounded, strip_function_prefix, text_or_empty
+from docweave.functions.text import clean_cell, normalize_identifier, or_null, rounded, strip_function_prefix, text_or_empty
 from docweave.operators.matching import nearest_within
 from docweave.operators.ordered import first_per_key
 
@@ -164,3 +164,40 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str]) -> Data
     best = verdicts.groupBy(*keys).agg(F.max(F.struct("confidence", "verdict")).alias("_v"))
     joined = rows.join(best, keys, "left")
     return joined.withColumns({"verdict": F.coalesce("_v.verdict", F.lit("unavailable")), "verdict_confidence": F.col("_v.confidence")}).drop("_v")
+
+
+def group_rows(rows: DataFrame, candidates: list[str]) -> DataFrame:
+    """Rows with ``identity``, the first candidate column that is filled after folding; rows without one are left out."""
+    first = F.coalesce(*[or_null(normalize_identifier(clean_cell(c))) for c in candidates if c in rows.columns])
+    return rows.withColumn("identity", first).where("identity is not null")
+
+
+def group_summary(rows: DataFrame, keys: list[str], confidence: str, needs_review: Column, text: str, order: str, first: int = 3) -> DataFrame:
+    """Per group: rows, least and mean confidence (3 places), whether any needs review, and the first texts by ``order``.
+
+    A text is reduced to its first place, and the first ones are found by rank, before the texts of a group meet.
+    """
+    from docweave.operators.ordered import top_k
+
+    figures = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(confidence).alias("least"), F.round(F.avg(confidence), 3).alias("mean"),
+        F.max(F.coalesce(needs_review, F.lit(False))).alias("needs_review"),
+    )
+    once = rows.where(F.col(text) != "").groupBy(*keys, text).agg(F.min(order).alias("_at"))
+    top = top_k(once, keys, ["_at", text], first).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", text))).alias("_t"))
+    named = top.select(*[F.col(k).alias(f"_{k}") for k in keys], F.array_join(F.transform("_t", lambda x: x[text]), " | ").alias("first_texts"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return figures.join(named, same, "left").select(*keys, "n", "least", "mean", "needs_review", F.coalesce("first_texts", F.lit("")).alias("first_texts"))
+
+
+def recommended_action(flags: dict[str, Column], none: str = "No completion required") -> Column:
+    """The actions whose condition holds, joined; a fixed text without any."""
+    return F.coalesce(or_null(tagged(flags, "; ")), F.lit(none))
+
+
+def dispatch(rows: DataFrame, family: str, extractors: dict) -> DataFrame:
+    """The united results of each family's extractor (a function of its rows); families without one give nothing."""
+    from functools import reduce
+
+    parts = [extract(rows.where(F.col(family) == name)).withColumn(family, F.lit(name)) for name, extract in sorted(extractors.items())]
+    return reduce(DataFrame.unionByName, parts)

@@ -249,6 +249,16 @@ def stronger_result(results: DataFrame) -> DataFrame:
     return first_per_key(stats.select("document", "page", (-F.col("c")).alias("c"), (-F.col("n")).alias("n"), "engine"), ["document", "page"], ["c", "n", "engine"]).select("document", "page", "engine")
 
 
+def merged_pairs(results: DataFrame) -> DataFrame:
+    """document, page, key, value of all engines' pairs, each once without case and outer space, the first by engine order.
+
+    ``results``: document, page, engine_ord, idx, key, value.
+    """
+    folded = results.withColumns({"_k": F.lower(clean_cell("key")), "_v": F.lower(clean_cell("value"))}).where("_k <> ''")
+    once = first_per_key(folded.select("document", "page", "_k", "_v", "engine_ord", "idx", "key", "value"), ["document", "page", "_k", "_v"], ["engine_ord", "idx"])
+    return once.select("document", "page", clean_cell("key").alias("key"), clean_cell("value").alias("value"))
+
+
 def value_index(results: DataFrame) -> DataFrame:
     """root, key, record: which records hold a value, name or key, by folded text; one row each, however many share a key."""
     parts = [results.select("root", normalize_identifier(c).alias("key"), "record") for c in ("value", "display_name", "record")]

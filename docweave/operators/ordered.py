@@ -151,6 +151,11 @@ def neighbours(
     return found.where("_block = _home").select(*df.columns, name)
 
 
+def ordinal_window(df: DataFrame, column: str, kind: str, radius: int, within: list[str], order: list[str], name: str) -> DataFrame:
+    """``neighbours`` among the rows of the same kind."""
+    return neighbours(df, column, radius, [*within, kind], order, name)
+
+
 def consecutive_pairs(df: DataFrame, key: str, within: list[str], order: list[str]) -> DataFrame:
     """within, from_id, to_id of rows that follow each other: a join of row numbers, so a large group is spread."""
     rest = [o for o in order if o != key and o not in within]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators.ordered import duplicates
@@ -132,6 +132,29 @@ def headers(df: DataFrame, expected: list[str]) -> list[tuple[str, str]]:
     return state + [(c, "moved") for c, w in zip(common, wanted, strict=True) if c != w]
 
 
+def sheet_presence(present: list[str], expected: list[str], spark: SparkSession) -> DataFrame:
+    """Violations of a list of sheets: missing, extra (a warning), and out of order."""
+    rows = [("sheet_missing", s, s, "sheet is missing", "error") for s in expected if s not in present]
+    rows += [("sheet_extra", s, s, "sheet is not expected", "warning") for s in present if s not in expected]
+    common, wanted = [s for s in present if s in expected], [s for s in expected if s in present]
+    rows += [("sheet_order", s, s, f"{w} is expected here", "warning") for s, w in zip(common, wanted, strict=True) if s != w]
+    return spark.createDataFrame(rows, "rule string, sheet string, key string, message string, severity string")
+
+
+def composite_key(df: DataFrame, sheet: str, keys: list[str]) -> DataFrame:
+    """A violation for each combination of key columns that occurs more than once."""
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    key = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return _violations(again, "composite_key", sheet, key, F.concat(F.col("n").cast("string"), F.lit(" rows")))
+
+
+def semantic_audit(df: DataFrame, sheet: str, key: str, rules: dict[str, Column], severity: str = "warning") -> DataFrame:
+    """A violation for each row and rule whose condition holds."""
+    marks = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
+    found = df.select(F.col(key).alias("_key"), F.explode(marks).alias("_rule"))
+    return found.select(F.col("_rule").alias("rule"), F.lit(sheet).alias("sheet"), F.col("_key").cast("string").alias("key"), F.lit("condition holds").alias("message"), F.lit(severity).alias("severity"))
+
+
 def compare_tables(current: DataFrame, golden: DataFrame) -> DataFrame:
     """column, current and golden fill, and their difference, over the columns of both."""
     a = fill_rates(current).select("column", F.col("filled").alias("current"), F.col("total").alias("current_rows"))

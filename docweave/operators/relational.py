@@ -23,6 +23,33 @@ def is_derived(field: Column | str, value: Column | str) -> Column:
     return text_or_empty(field).rlike(DERIVED_FIELDS) | (text == "") | text.rlike(_BOX) | ((F.length(text) > 400) & (commas > spaces))
 
 
+def requires_exact(field: Column | str, value: Column | str, names: list[str]) -> Column:
+    """Whether a value must be found as it is: short ones with a digit or one of ``:-/._``, and those of listed fields."""
+    text = clean_cell(value)
+    return ((F.length(text) <= 16) & text.rlike(r"[0-9:\-/._]") & (text != "")) | F.lower(text_or_empty(field)).isin(*[n.lower() for n in names])
+
+
+def holds_whole(text: Column | str, value: Column | str) -> Column:
+    """Whether a text holds a value without case and by whole words: no word character beside an end that is one itself.
+
+    Every place the value occurs at counts; a blank value is held by nothing.
+    """
+    fold = lambda c: F.lower(clean_cell(c))
+    # a space between any two characters of which not both are word characters turns whole words into whole runs
+    spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(fold(c), r"(?U)([^\w ])", " $1 "), " +", " "), F.lit(" "))
+    return (fold(value) != "") & F.contains(F.regexp_replace(spaced(text), " +", " "), F.regexp_replace(spaced(value), " +", " "))
+
+
+def scoped_texts(asked: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
+    """asked rows with the texts of their scope; those whose scope holds no text meet all texts of their document.
+
+    ``asked``: id, document and the scope columns.  ``texts``: text_id, document and the scope columns.
+    """
+    own = asked.join(texts, ["document", *scope])
+    rest = asked.join(own.select("id").distinct(), "id", "left_anti").join(texts.drop(*scope), "document")
+    return own.select("id", "document", *scope, "text_id").unionByName(rest.select("id", "document", *scope, "text_id"))
+
+
 def evidence_method(kind: Column | str, engine: Column | str) -> Column:
     """How a value was read: the engine, else by the kind of evidence."""
     k = F.lower(text_or_empty(kind))

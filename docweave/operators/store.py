@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators.ordered import last_per_key, page
@@ -86,3 +86,59 @@ def replace_run(spark_table: DataFrame, path: str) -> None:
 def append(rows: DataFrame, path: str) -> None:
     """Append rows to a store table."""
     rows.write.mode("append").parquet(path)
+
+
+#: Columns of the store's tables.
+SCHEMA = {
+    "documents": "id bigint, path string, kind string, families string, modified_at timestamp",
+    "chunks": "id string, run_id bigint, document string, family string, kind string, locator string, text string",
+    "schema_versions": "id bigint, family string, version bigint, payload string, created_at timestamp",
+    "runs": "id bigint, status string, summary string, created_at timestamp",
+    "records": "run_id bigint, record string, family string, document string, display_name string, status string",
+    "field_results": "run_id bigint, record string, field string, value string, confidence double, status string, evidence string",
+    "review_feedback": "id bigint, record string, field string, status string, value string, created_at timestamp",
+}
+
+
+def create(spark: SparkSession, path: str) -> None:
+    """Empty tables of the store below ``path``; those that exist stay as they are."""
+    for name, columns in SCHEMA.items():
+        spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{path}/{name}")
+
+
+def read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the store with its declared columns."""
+    return spark.read.schema(SCHEMA[name]).parquet(f"{path}/{name}")
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """All tables of the store emptied, but for the feedback, which outlives a reset."""
+    for name, columns in SCHEMA.items():
+        if name != "review_feedback":
+            spark.createDataFrame([], columns).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def review_rows(records: DataFrame, results: DataFrame, feedback: DataFrame, family: str = "", keyword: str = "") -> DataFrame:
+    """One row per field result with its record and latest feedback, by family and keyword.
+
+    ``records``: record, family, document, display_name.  ``results``: record, field, value, status, evidence.
+    ``feedback``: id, record, field, status.  The keyword is looked for in nine columns; a row without feedback counts as
+    not reviewed.
+    """
+    newest = feedback.groupBy("record", "field").agg(F.max(F.struct("id", "status")).alias("f")).select("record", "field", F.col("f.status").alias("feedback_status"))
+    rows = results.join(records, "record").join(newest, ["record", "field"], "left").na.fill({"feedback_status": "not_reviewed"})
+    if family:
+        rows = rows.where(F.col("family") == family)
+    columns = ["record", "family", "document", "display_name", "field", "value", "status", "evidence", "feedback_status"]
+    return rows.where(contains_keyword(columns, keyword)) if keyword else rows
+
+
+def page_payload(rows: DataFrame, order: list[Column | str], offset: int = 0, limit: int = 0) -> DataFrame:
+    """The rows of a page, each with ``total``, the number of all rows."""
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return page(rows, order, offset, limit).withColumn("total", total)
+
+
+def selections(records: DataFrame, results: DataFrame) -> DataFrame:
+    """family, document, field of every selection a review offers."""
+    return results.join(records.select("record", "family", "document"), "record").select("family", "document", "field").distinct()
