@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.tokens import TOKENIZERS, _pieces, _spans, encode
+from docweave.llm.tokens import TOKENIZERS, _pieces, _slices, _spans, encode
 
 #: A cut after a token, strongest first: paragraph, line, sentence, word, between characters; '-' is inside a character.
 CLASSES = "PLSWx-"
@@ -55,7 +55,7 @@ class _Shape:
             stop[i] = p.rstrip(b"\"')]").endswith((b".", b"!", b"?", b";", "。".encode(), "！".encode(), "？".encode()))
             space_end[i] = p[-1] in space
             space_start[i] = p[0] in space
-        for batch in batches:
+        for batch in _slices(batches):
             lists = batch.column("ids")
             ids = lists.flatten().to_numpy(zero_copy_only=False)
             offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -101,7 +101,7 @@ class _Cut:
         joined = np.frombuffer(b"".join(pieces), np.uint8)
         chars = np.array([sum((b & 0xC0) != 0x80 for b in p) for p in pieces], np.int64)
         inner = np.array([(p[0] & 0xC0) == 0x80 for p in pieces], bool)
-        for batch in batches:
+        for batch in _slices(batches):
             lists, taken = batch.column("ids"), batch.column("taken")
             ids = lists.flatten().to_numpy(zero_copy_only=False)
             own = taken.flatten().to_numpy(zero_copy_only=False).astype(np.int64)

@@ -174,6 +174,16 @@ def _spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
 _HELD: dict[int, tuple] = {}
 
 
+#: Rows of texts that a worker handles at once, so that a batch of long texts stays small.
+SLICE_ROWS = 1_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 class _Lookup:
     """Joins the hot words by position; the k-th word that is not among them leaves the id -1 as a gap."""
 
@@ -196,7 +206,7 @@ class _Lookup:
                 np.concatenate([ids.values.to_numpy(), np.array([-1], np.int32)]),
             )
         hot, offsets, ids = _HELD[token]
-        for batch in batches:
+        for batch in _slices(batches):
             words = batch.column("words")
             flat = words.flatten()
             coded = flat.dictionary_encode()
@@ -227,7 +237,7 @@ class _Fill:
         self.keep = keep
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, fill = batch.column("ids"), batch.column("fill")
             flat = ids.flatten().to_numpy(zero_copy_only=False)
             pieces = fill.flatten()
@@ -264,7 +274,7 @@ class _Join:
         lengths = np.array([len(p) for p in pieces] + [0], np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         joined = np.frombuffer(b"".join(pieces), np.uint8)
-        for batch in batches:
+        for batch in _slices(batches):
             lists = pc.fill_null(batch.column("ids"), [])
             ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
             ids = np.where((ids < 0) | (ids >= len(pieces)), len(pieces), ids)
