@@ -76,7 +76,7 @@ def value_of(text: Column | str, label: str) -> Column:
 def section_quality(parameters_: DataFrame, section: str) -> DataFrame:
     """section, quality: the mean score of its names and values, 4 places."""
     score = (name_quality("name") + value_quality("value")) / 2
-    return parameters_.groupBy(section).agg(F.bround(F.avg(score), 4).alias("quality"), F.count(F.lit(1)).alias("n"))
+    return parameters_.groupBy(section).agg(F.bround(F.round(F.avg(score), 9), 4).alias("quality"), F.count(F.lit(1)).alias("n"))
 
 
 def maker(text: Column | str, makers: list[str]) -> Column:

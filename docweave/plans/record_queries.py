@@ -109,7 +109,10 @@ def _p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("p4_wide")
 def _p4_wide(spark: SparkSession, d: str) -> DataFrame:
-    return _wide(spark, d)[0].drop("_sources")
+    """The wide table; numbers are shown as doubles, which SQL engines agree on."""
+    wide, attributes = _wide(spark, d)
+    numeric = {a.name for a in attributes if a.data_type in ("integer", "decimal")}
+    return wide.select("document_id", *[F.col(a.name).cast("double").alias(a.name) if a.name in numeric else F.col(a.name) for a in attributes])
 
 
 @registry.add(

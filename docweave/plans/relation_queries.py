@@ -991,7 +991,7 @@ def _plant_nodes(spark, d):
 
 @registry.add("artifacts")
 def _artifacts(spark, d):
-    """Source artifacts of the attribute rows of each document; tested case by case."""
+    """Source artifacts of the attribute rows of each document, each text once."""
     rows = table(spark, d, "document_data").where("document_id is not null")
     records = rows.select(F.col("document_id").alias("record"), F.col("document_id").alias("document")).distinct().withColumns({"tabular": F.lit(False), "display_name": F.col("record")})
     evidence = rows.select(
@@ -999,7 +999,7 @@ def _artifacts(spark, d):
         F.lit("").alias("locator"), F.col("raw_value").alias("snippet"), F.lit(0.0).alias("score"), F.lit(0.0).alias("decision_confidence"), F.lit(0.9).alias("confidence"), F.lit("native_text").alias("kind"), F.lit("").alias("engine"),
     )
     found, links = relational.objects(relational.artifacts(records, evidence))
-    return links.join(found, "object_id").select("record", "object_id", "text", "operation", "method", "confidence")
+    return links.join(found, "object_id").select("record", "text", "operation", "method", "confidence")
 
 
 @registry.add("box_pairs", f"WITH {_BOX_SQL} SELECT page, l, r, round(i / (sa + sc - i), 6) AS iou FROM pairs WHERE i / (sa + sc - i) >= 0.45")

@@ -85,13 +85,13 @@ def _value_types(spark, d):
 
 
 #: DuckDB: word characters beyond ASCII, which its word boundary does not know.
-_WORD = "|".join(f"[^\\x00-\\x7F\\P{{{c}}}]" for c in ("L", "M", "Nd", "Nl", "Pc")) + "|[\\x{200C}\\x{200D}]"
+WORD = "|".join(f"[^\\x00-\\x7F\\P{{{c}}}]" for c in ("L", "M", "Nd", "Nl", "Pc")) + "|[\\x{200C}\\x{200D}]"
 
 
 def component_sql(column: str, distinct: bool = True) -> str:
     """Designations of a text, in any order if distinct.  Where a pattern has only capitals, a small letter stands for word characters beyond ASCII."""
     text = f"coalesce({column}, '')"
-    plain = f"regexp_replace({text}, '{_WORD}', 'q', 'g')"
+    plain = f"regexp_replace({text}, '{WORD}', 'q', 'g')"
     parts = [
         f"regexp_extract_all({text if p.startswith('(?iU)') else plain}, '{p.replace('(?iU)', '(?i)').replace('(?U)', '')}')" for p in t.COMPONENTS
     ]
