@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.functions import designations as ds
 from docweave.functions.text import normalize_akz
 from docweave.operators import crosscheck, datasheet, extract
+from docweave.operators.ordered import first_per_key
 from docweave.plans import sheets
 from docweave.plans.registry import Registry
 from docweave.plans.text_queries import sql_akz, sql_identifier
@@ -123,7 +124,8 @@ def _cell_parts(spark, d):
 
 
 def _sheets(spark, d):
-    rows = table(spark, d, "document_data").where("document_id is not null and attribute_name is not null").dropDuplicates(["document_data_id"])
+    data = table(spark, d, "document_data").where("document_id is not null and attribute_name is not null")
+    rows = first_per_key(data.select("document_data_id", "row_index", "document_id", "attribute_name", "attribute_value"), ["document_data_id"], ["row_index", "document_id", "attribute_name", "attribute_value"])
     record = F.concat_ws("#", "document_id", "attribute_name")
     results = rows.select(record.alias("record"), F.col("attribute_name").alias("field"), F.col("attribute_value").alias("value"), F.col("row_index").alias("ord"), "document_id")
     records = results.groupBy("record", F.col("document_id").alias("document")).agg(F.min("ord").alias("ord")).withColumns({"display_name": F.col("record"), "tabular": F.lit(False)})
@@ -149,7 +151,55 @@ def _sheet_values(spark, d):
     return _sheets(spark, d)["Element_Data"]
 
 
-@registry.add("sheet_violations", "SELECT '' AS rule, '' AS sheet, '' AS key, '' AS message, '' AS severity WHERE false")
+def _broken(spark, d):
+    """A model whose sheets come straight from the tables, with the broken references and repeated ids those hold."""
+    data, master, lookup = (table(spark, d, n) for n in ("document_data", "document_master", "attribute_lookup"))
+    links = table(spark, d, "entity_resolution")
+    return {
+        "Document_ID": master.select("document_id"),
+        "Object": data.select(F.col("document_data_id").alias("object_id"), "document_id"),
+        "Object_Cluster": data.select(F.col("semanticid").alias("object_id"), F.col("attribute_name").alias("cluster_id")),
+        "Cluster": lookup.select(F.col("attribute_name").alias("cluster_id"), F.lit(None).cast("string").alias("document_id")),
+        "Match_Result": lookup.select(F.col("attribute_name").alias("cluster_id")),
+        "Element_ID": links.where("score >= 0.5").select(F.col("source_key").alias("element_id"), F.col("method_name").alias("cluster_id")),
+        "Element_Data": data.select(F.col("row_index").cast("string").alias("value_id"), F.lit("").alias("element_id")),
+        "Element_Data_Source": data.where("row_index < 100").select((F.col("row_index") * 1000).cast("string").alias("value_id"), F.col("document_data_id").alias("object_id")),
+        "Connection_ID": links.select(F.col("resolved_at").cast("string").alias("connection_id"), F.col("source_key").alias("from_element"), F.col("target_key").alias("to_element")),
+    }
+
+
+def _fk(sheet: str, column: str, child: str, parent: str) -> str:
+    return f"""SELECT 'foreign_key' AS rule, '{sheet}' AS sheet, v AS key, '{column} has no target' AS message, 'error' AS severity FROM (SELECT DISTINCT trim(v, ' ') AS v FROM ({child}) WHERE trim(v, ' ') <> '')
+    WHERE v NOT IN (SELECT trim(p, ' ') FROM ({parent}) WHERE p IS NOT NULL)"""
+
+
+def _repeated(sheet: str, child: str) -> str:
+    return f"SELECT 'primary_key' AS rule, '{sheet}' AS sheet, v AS key, 'repeated id' AS message, 'error' AS severity FROM ({child}) GROUP BY v HAVING count(*) > 1"
+
+
+_ROWS = "SELECT document_data_id AS v, document_data_id AS p FROM document_data"
+_ELEMENTS = "SELECT source_key AS v, source_key AS p FROM entity_resolution WHERE score >= 0.5"
+
+
+@registry.add(
+    "sheet_violations",
+    " UNION ALL ".join([
+        _fk("Object", "document_id", "SELECT document_id AS v FROM document_data", "SELECT document_id AS p FROM document_master"),
+        _fk("Object_Cluster", "object_id", "SELECT semanticid AS v FROM document_data", _ROWS),
+        _fk("Object_Cluster", "cluster_id", "SELECT attribute_name AS v FROM document_data", "SELECT attribute_name AS p FROM attribute_lookup"),
+        _fk("Element_ID", "cluster_id", "SELECT method_name AS v FROM entity_resolution WHERE score >= 0.5", "SELECT attribute_name AS p FROM attribute_lookup"),
+        _fk("Element_Data_Source", "value_id", "SELECT CAST(row_index * 1000 AS VARCHAR) AS v FROM document_data WHERE row_index < 100", "SELECT CAST(row_index AS VARCHAR) AS p FROM document_data"),
+        _fk("Connection_ID", "from_element", "SELECT source_key AS v FROM entity_resolution", _ELEMENTS), _fk("Connection_ID", "to_element", "SELECT target_key AS v FROM entity_resolution", _ELEMENTS),
+        _repeated("Object", _ROWS), _repeated("Element_ID", _ELEMENTS), _repeated("Element_Data", "SELECT CAST(row_index AS VARCHAR) AS v FROM document_data"),
+        _repeated("Connection_ID", "SELECT regexp_replace(regexp_replace(CAST(resolved_at AS VARCHAR), '([.][0-9]*?)0+$', '\\1'), '[.]$', '') AS v FROM entity_resolution"),
+    ]),
+)
 def _sheet_violations(spark, d):
-    """No reference between the sheets is broken and no id occurs twice."""
+    """Broken references and repeated ids of sheets taken from the tables."""
+    return sheets.violations(_broken(spark, d))
+
+
+@registry.add("model_violations")
+def _model_violations(spark, d):
+    """Those of the relational model that is built: there are none."""
     return sheets.violations(_sheets(spark, d))

@@ -6,7 +6,7 @@ from docweave.functions import values as v
 from docweave.plans.record_queries import _P4_BEST, NESTED, _json_tree
 from docweave.plans.registry import Registry
 from docweave.plans.relation_queries import _LINES_SQL
-from docweave.plans.text_queries import SPACE, WORD, sql_clean, sql_fold
+from docweave.plans.text_queries import WORD, _sql_quantity, sql_clean, sql_fold
 
 registry = Registry()
 
@@ -212,3 +212,42 @@ s AS (SELECT document_id AS record, {sql_clean('raw_value')} AS text FROM docume
 f AS (SELECT DISTINCT record, text FROM s WHERE text <> '' AND NOT regexp_full_match(text, '{_BOX}'))
 SELECT record, text, 'Tj' AS operation, 'Native_Text' AS method, 0.9::DOUBLE AS confidence FROM f UNION ALL
 SELECT record, 'No source text for ' || record || '; requires review.', 'Manual_Entry', 'Manual_Review_Required', 0.0 FROM r WHERE record NOT IN (SELECT record FROM f)"""
+
+# ---------------------------------------------------------------- the relational model
+
+_TYPES = {
+    "A": "Cabinet_Aggregate", "B": "Sensor", "C": "PLC_Module", "E": "Heater", "F": "Fuse", "G": "Power_Supply", "H": "Indicator_Lamp", "K": "Contactor", "M": "Motor",
+    "P": "Indicator_Lamp", "Q": "Switch", "R": "Sensor", "S": "Switch", "T": "Power_Supply", "U": "PLC_Module", "V": "PLC_Module", "W": "Power_Supply", "X": "Terminal", "Y": "Valve_Actuator",
+}
+_MODEL = f"""WITH d0 AS (SELECT * FROM document_data WHERE document_id IS NOT NULL AND attribute_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_data_id ORDER BY row_index, document_id, attribute_name, attribute_value) = 1),
+res AS (SELECT document_id || '#' || attribute_name AS record, attribute_name AS field, attribute_value AS value, {sql_clean('attribute_value')} AS c, row_index AS ord, document_id AS document FROM d0),
+rec AS (SELECT record, document, min(ord) AS ord FROM res GROUP BY ALL),
+agg AS (SELECT record, arg_max(c, (ord, c)) FILTER (field = 'Order_Number') AS known, arg_min(c, (ord, c)) FILTER (regexp_full_match(c, '[=+\\-][A-Za-z0-9.=+\\-:/_]+|[A-Z]{{1,3}}[0-9]+[A-Za-z0-9.:/_\\-]*')) AS shaped,
+  bool_and(lower(c) = lower(replace(field, '_', ' '))) AS echo FROM res WHERE c <> '' GROUP BY record),
+j AS (SELECT rec.*, known, shaped, coalesce(echo, false) AS echo FROM rec LEFT JOIN agg USING (record)),
+kept AS (SELECT *, coalesce(known, shaped, nullif({sql_clean('record')}, ''), record) AS base FROM j WHERE NOT echo OR document IN (SELECT document FROM j GROUP BY document HAVING bool_and(echo))),
+again AS (SELECT *, row_number() OVER (PARTITION BY document, base ORDER BY ord, record) AS n FROM kept),
+top AS (SELECT document, record, base || CASE WHEN n = 1 THEN '' ELSE CASE WHEN contains(base, ':') THEN '-' ELSE ':' END || CAST(n AS VARCHAR) END AS designation FROM again),
+m AS (SELECT rec.document, rec.record, rec.ord, coalesce(designation, '') AS designation, regexp_matches(coalesce(designation, ''), '[:/][0-9]+|[:/](L[123]|N|PE|U[0-9]+|V[0-9]+|W[0-9]+|p[0-9]+)') AS terminal FROM rec LEFT JOIN top USING (document, record)),
+el AS (SELECT *, document || '/E.' || CAST(row_number() OVER (PARTITION BY document ORDER BY ord, record) AS VARCHAR) AS element_id FROM m)
+"""
+registry.oracle["sheet_elements"] = (
+    _MODEL
+    + "SELECT element_id, document AS document_id, record AS cluster_id, designation, CASE WHEN terminal THEN 'Terminal' ELSE CASE regexp_extract(trim(designation, ' '), '^-?([A-Z])', 1) "
+    + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in _TYPES.items())
+    + " ELSE 'Consumer' END END AS element_type FROM el"
+)
+_KINDS = " ".join(f"WHEN regexp_matches(x, '{_sql_quantity(p)}') THEN {i}" for i, (p, _) in enumerate(v.QUANTITIES))
+_FOUND = " ".join(f"WHEN {i} THEN regexp_extract(x, '{_sql_quantity(p)}', 1)" for i, (p, _) in enumerate(v.QUANTITIES))
+_STATED = " ".join(f"WHEN {i} THEN " + (f"'{u}'" if u else f"regexp_extract(x, '{_sql_quantity(p)}', 2)") for i, (p, u) in enumerate(v.QUANTITIES))
+registry.oracle["sheet_values"] = (
+    _MODEL
+    + f""", own AS (SELECT record, field, c, ord FROM res WHERE NOT regexp_matches(coalesce(field, ''), '{_DERIVED_FIELD}') AND c <> '' AND NOT regexp_full_match(c, '{_BOX}')
+  AND NOT (length(c) > 400 AND length(c) - length(replace(c, ',', '')) > length(c) - length(replace(c, ' ', '')))),
+one AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY record, field ORDER BY ord, c) = 1),
+q AS (SELECT *, trim(c, ' ') AS x FROM one), k AS (SELECT *, CASE {_KINDS} END AS i FROM q), n AS (SELECT *, CASE i {_FOUND} ELSE '' END AS num, CASE i {_STATED} ELSE '' END AS raw_unit FROM k),
+z AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(num, ',', '.'), '^0+([0-9])', '\\1'), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS normal, CASE lower(raw_unit) """
+    + " ".join(f"WHEN '{w}' THEN '{u}'" for w, u in v.UNIT_WORDS.items())
+    + f""" ELSE raw_unit END AS unit, CASE WHEN regexp_matches(regexp_replace(x, '{WORD}', 'q', 'g'), '(?i)\\b(DC|AC|3~|3-phase|1~|1-phase)\\b') THEN regexp_extract(regexp_replace(x, '{WORD}', 'q', 'g'), '(?i)\\b(DC|AC|3~|3-phase|1~|1-phase)\\b') ELSE regexp_extract(regexp_replace(x, '{WORD}', 'q', 'g'), '(?i)\\b([0-9]+)\\s*Ph(?:ase)?\\b') END AS qualifier FROM n)
+SELECT document || '/ED.' || CAST(row_number() OVER (PARTITION BY document ORDER BY element_id, field) AS VARCHAR) AS value_id, element_id, field AS attribute, c AS value, coalesce(nullif(normal, ''), c) AS normalized, unit, qualifier FROM z JOIN el USING (record)"""
+)
