@@ -328,8 +328,6 @@ def _makers(spark, d):
 
 # ---------------------------------------------------------------- sources
 
-_STEP = "(?s)^\\s*#([0-9]+)\\s*=\\s*(\\w+)\\s*\\((.*)\\)\\s*$"
-_GLOBAL = "=\\s*(IFC\\w+)\\s*\\(\\s*''([0-9A-Za-z_$]{22})''\\s*,[^,]*,\\s*(?:''((?:[^'']|'''')*)''|\\$)"
 
 
 def _step_text(spark, d):
@@ -364,14 +362,6 @@ def _global_ids(spark, d):
     return step.global_ids(_step_text(spark, d))
 
 
-@registry.add("text_global_ids", f"""SELECT CAST(doc_id AS VARCHAR) AS path, regexp_extract(s, '{_GLOBAL}', 1) AS class_name, regexp_extract(s, '{_GLOBAL}', 2) AS global_id, regexp_extract(s, '{_GLOBAL}', 3) AS name, count(*) AS n
-    FROM (SELECT doc_id, unnest(regexp_split_to_array(text, ';\\s*(?:\\r?\\n|\\z)')) AS s FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(s, '{_GLOBAL}') GROUP BY ALL""")
-def _text_global_ids(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("value"))
-    found = step.global_ids(rows)
-    return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _models(spark, d):
     """A plant model for each region: nations as pumps with a place, loops that include them, flows between them."""
     rows = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
