@@ -40,12 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     while left:
         ends = alive.select(F.col("a").alias("node"), "a", "b").unionByName(alive.select(F.col("b").alias("node"), "a", "b"))
         smallest = ends.groupBy("node").agg(F.min(F.struct("a", "b")).alias("edge"))
-        hook = scratch.save(
-            smallest.select("node", F.when(F.col("node") == F.col("edge.a"), F.col("edge.b")).otherwise(F.col("edge.a")).alias("parent"))
-        )
-        tree = scratch.save(_break_pairs(hook))
+        tree = scratch.save(_hooked(smallest))
         pointer = _collapse(tree, scratch)
-        scratch.drop(hook, tree)
+        scratch.drop(tree)
         rounds.append(pointer)
         to = pointer.select(F.col("node").alias("x"), F.col("parent").alias("y"))
         moved = alive.join(to, alive["a"] == to["x"]).select(F.col("y").alias("p"), "b")
@@ -68,12 +65,16 @@ def components(edges: DataFrame) -> DataFrame:
     return label.join(lowest, "root").select("group_key", F.col("node").alias("record_key"))
 
 
-def _break_pairs(hook: DataFrame) -> DataFrame:
-    """Of two components that hook onto each other, the smaller becomes the root."""
-    back = hook.select(F.col("node").alias("n"), F.col("parent").alias("back"))
-    return hook.join(back, hook["parent"] == back["n"], "left").select(
-        "node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node")).otherwise(F.col("parent")).alias("parent")
-    )
+def _hooked(smallest: DataFrame) -> DataFrame:
+    """node, parent: every node hooks onto the other end of its edge; where both ends chose an edge, the smaller is the root.
+
+    Only its two ends can choose an edge, so an aggregate over edges sees which were chosen twice.
+    """
+    chosen = smallest.groupBy("edge").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    one, two = F.col("edge.a"), F.col("edge.b")
+    both = F.array(F.struct(one.alias("node"), one.alias("parent")), F.struct(two.alias("node"), one.alias("parent")))
+    single = F.array(F.struct(F.col("node"), F.when(F.col("node") == one, two).otherwise(one).alias("parent")))
+    return chosen.select(F.explode(F.when(F.col("n") == 2, both).otherwise(single)).alias("h")).select("h.node", "h.parent")
 
 
 def _collapse(pointer: DataFrame, scratch: Scratch) -> DataFrame:
