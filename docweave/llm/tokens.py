@@ -9,6 +9,7 @@ put into the gaps left for them.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -101,7 +102,7 @@ def encode(
     least = _hot_from(table, hot_bytes)
     hot = table.where(_step() >= least)
     bounded = hot.select("word", "ids").toArrow().combine_chunks()  # at most hot_bytes
-    held = spark.sparkContext.broadcast(_ipc(bounded))
+    held = spark.sparkContext.broadcast((uuid.uuid4().hex, _ipc(bounded)))
     words = slim.select(*kept, split_words("_text").alias("words"))
     plain = words.select(*kept).schema.add("ids", INTS)
 
@@ -170,8 +171,8 @@ def _spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-#: The hot table of this Python worker: (broadcast id, words, offsets, ids).
-_HELD: dict[int, tuple] = {}
+#: The hot table of this Python worker by its name, which no other table has: words, offsets, ids.
+_HELD: dict[str, tuple] = {}
 
 
 #: Rows of texts that a worker handles at once, so that a batch of long texts stays small.
@@ -193,10 +194,10 @@ class _Lookup:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
 
-        token = id(self.held.value)
+        token, stream = self.held.value
         if token not in _HELD:
             _HELD.clear()
-            table = pa.ipc.open_stream(io.BytesIO(self.held.value)).read_all().combine_chunks()
+            table = pa.ipc.open_stream(io.BytesIO(stream)).read_all().combine_chunks()
             ids = _one(table["ids"])
             offsets = ids.offsets.to_numpy().astype(np.int64)
             # one more entry, the gap

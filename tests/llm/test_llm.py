@@ -342,3 +342,10 @@ def test_linking_nothing(spark):
     none = entities(spark, "record_key", []), entities(spark, "device_id", [])
     assert match_devices(*none).count() == 0
     assert features(none[0], "record_key").where(F.col("key").isNull()).count() == 0
+
+
+def test_one_worker_serves_many_corpora(spark, library):
+    for i in range(8):
+        values = [f"corpus {i} {'abcdefgh'[i] * 9} {i * 7919}", "shared words", f"x{i}"]
+        got = {r.doc_id: list(r.ids) for r in tokens.encode(texts(spark, values)).collect()}
+        assert got == {n: library(x) for n, x in enumerate(values)}
