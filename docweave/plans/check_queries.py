@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import designations as ds
@@ -136,7 +139,7 @@ def _sheets(spark, d):
     )
     links = results.where("field = 'Replaces'").select(F.col("record").alias("link"), "ord", F.col("document_id").alias("document"), F.col("record").alias("from_designation"), F.col("value").alias("to_designation"))
     names = table(spark, d, "attribute_lookup").select(F.col("attribute_name").alias("field"), F.col("attribute_name").alias("attribute"))
-    return sheets.build(records, results.drop("document_id"), evidence, links, names, ["Order_Number"])
+    return sheets.build(records, results.drop("document_id"), evidence, links, names, ["Order_Number"], ["Project_Name", "Plant", "Manufacturer"], ["Version", "Last_Update"])
 
 
 @registry.add("sheet_elements")
@@ -151,6 +154,22 @@ def _sheet_values(spark, d):
     return _sheets(spark, d)["Element_Data"]
 
 
+for _sheet in (
+    "Document_Data", "Revision_Data", "Elements_TopDown", "Elements_from_Cluster", "Element_Classification", "Document_RepresentedItem",
+    "Element_RepresentedItem_Mapping", "RepresentedItem_Data", "Layer_ID", "Match_Result", "Connection_Data",
+):
+    registry.add(f"sheet_{_sheet.lower()}")(lambda spark, d, name=_sheet: _sheets(spark, d)[name])
+
+
+@registry.add("sheet_sources")
+def _sheet_sources(spark, d):
+    """How many sources the values of each sheet have."""
+    made = _sheets(spark, d)
+    names = ("Element_Data_Source", "Document_Data_Source", "Revision_Data_Source", "RepresentedItem_Data_Source", "Element_Classification_Source")
+    parts = [made[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("sheet"), "n") for n in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _broken(spark, d):
     """A model whose sheets come straight from the tables, with the broken references and repeated ids those hold."""
     data, master, lookup = (table(spark, d, n) for n in ("document_data", "document_master", "attribute_lookup"))

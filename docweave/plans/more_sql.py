@@ -240,7 +240,7 @@ registry.oracle["sheet_elements"] = (
 _KINDS = " ".join(f"WHEN regexp_matches(x, '{_sql_quantity(p)}') THEN {i}" for i, (p, _) in enumerate(v.QUANTITIES))
 _FOUND = " ".join(f"WHEN {i} THEN regexp_extract(x, '{_sql_quantity(p)}', 1)" for i, (p, _) in enumerate(v.QUANTITIES))
 _STATED = " ".join(f"WHEN {i} THEN " + (f"'{u}'" if u else f"regexp_extract(x, '{_sql_quantity(p)}', 2)") for i, (p, u) in enumerate(v.QUANTITIES))
-registry.oracle["sheet_values"] = (
+_VALUES = (
     _MODEL
     + f""", own AS (SELECT record, field, c, ord FROM res WHERE NOT regexp_matches(coalesce(field, ''), '{_DERIVED_FIELD}') AND c <> '' AND NOT regexp_full_match(c, '{_BOX}')
   AND NOT (length(c) > 400 AND length(c) - length(replace(c, ',', '')) > length(c) - length(replace(c, ' ', '')))),
@@ -248,6 +248,49 @@ one AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY record, field
 q AS (SELECT *, trim(c, ' ') AS x FROM one), k AS (SELECT *, CASE {_KINDS} END AS i FROM q), n AS (SELECT *, CASE i {_FOUND} ELSE '' END AS num, CASE i {_STATED} ELSE '' END AS raw_unit FROM k),
 z AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(num, ',', '.'), '^0+([0-9])', '\\1'), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS normal, CASE lower(raw_unit) """
     + " ".join(f"WHEN '{w}' THEN '{u}'" for w, u in v.UNIT_WORDS.items())
-    + f""" ELSE raw_unit END AS unit, CASE WHEN regexp_matches(regexp_replace(x, '{WORD}', 'q', 'g'), '(?i)\\b(DC|AC|3~|3-phase|1~|1-phase)\\b') THEN regexp_extract(regexp_replace(x, '{WORD}', 'q', 'g'), '(?i)\\b(DC|AC|3~|3-phase|1~|1-phase)\\b') ELSE regexp_extract(regexp_replace(x, '{WORD}', 'q', 'g'), '(?i)\\b([0-9]+)\\s*Ph(?:ase)?\\b') END AS qualifier FROM n)
-SELECT document || '/ED.' || CAST(row_number() OVER (PARTITION BY document ORDER BY element_id, field) AS VARCHAR) AS value_id, element_id, field AS attribute, c AS value, coalesce(nullif(normal, ''), c) AS normalized, unit, qualifier FROM z JOIN el USING (record)"""
+    + f""" ELSE raw_unit END AS unit, CASE WHEN regexp_matches(regexp_replace(x, '{WORD}', 'q', 'g'), '(?i)\\b(DC|AC|3~|3-phase|1~|1-phase)\\b') THEN regexp_extract(regexp_replace(x, '{WORD}', 'q', 'g'), '(?i)\\b(DC|AC|3~|3-phase|1~|1-phase)\\b') ELSE regexp_extract(regexp_replace(x, '{WORD}', 'q', 'g'), '(?i)\\b([0-9]+)\\s*Ph(?:ase)?\\b') END AS qualifier FROM n),
+ed AS (SELECT document, record, element_id, designation, field AS attribute, c AS value, coalesce(nullif(normal, ''), c) AS normalized, unit, qualifier FROM z JOIN el USING (record))
+"""
+)
+
+
+def _no(prefix: str, order: str, within: str = "document") -> str:
+    return f"document || '/{prefix}.' || CAST(row_number() OVER (PARTITION BY {within} ORDER BY {order}) AS VARCHAR)"
+
+
+registry.oracle["sheet_values"] = _VALUES + f"SELECT {_no('ED', 'element_id, attribute')} AS value_id, element_id, attribute, value, normalized, unit, qualifier FROM ed"
+_ABOUT = {"document_data": ("DD", "'Project_Name', 'Plant', 'Manufacturer'"), "revision_data": ("R", "'Version', 'Last_Update'")}
+for _sheet, (_prefix, _fields) in _ABOUT.items():
+    registry.oracle[f"sheet_{_sheet}"] = _VALUES + f"SELECT {_no(_prefix, 'attribute')} AS data_id, document AS document_id, attribute, value, normalized, unit, qualifier FROM ed WHERE attribute IN ({_fields})"
+registry.oracle["sheet_elements_topdown"] = (
+    _MODEL
+    + f"SELECT {_no('ETD', 'ord, record')} AS topdown_id, document AS document_id, designation, CASE WHEN regexp_matches(designation, '[:/][0-9]+|[:/](L[123]|N|PE|U[0-9]+|V[0-9]+|W[0-9]+|p[0-9]+)') THEN 'Terminal' ELSE 'Consumer' END AS element_type "
+    "FROM (SELECT a.document, a.record, a.ord, t.designation FROM again a JOIN top t USING (document, record))"
+)
+registry.oracle["sheet_elements_from_cluster"] = _MODEL + f"SELECT {_no('EFC', 'ord, record')} AS from_cluster_id, document AS document_id, record AS cluster_id FROM rec"
+registry.oracle["sheet_match_result"] = _MODEL + "SELECT rec.record AS cluster_id, CASE WHEN top.record IS NULL THEN 'Only_Cluster' ELSE 'Matched' END AS status FROM rec LEFT JOIN top USING (document, record)"
+registry.oracle["sheet_layer_id"] = _MODEL + "SELECT DISTINCT document || '/LYR.1' AS layer_id, document AS document_id, 'Default' AS label FROM rec"
+_CLASSES = "k AS (SELECT *, regexp_extract(trim(designation, ' '), '^-?([A-Z])', 1) AS letter FROM el), ec AS (SELECT * FROM k WHERE letter IN (" + ", ".join(f"'{x}'" for x in _TYPES) + "))"
+registry.oracle["sheet_element_classification"] = (
+    _MODEL
+    + f", {_CLASSES} SELECT {_no('EC', 'element_id')} AS classification_id, element_id, 'IEC 81346-2' AS standard, letter AS class_code, CASE letter "
+    + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in _TYPES.items())
+    + " END AS element_type, CASE WHEN letter IN ('C', 'G', 'S', 'T', 'V', 'W') THEN 0.8 ELSE 0.55 END::DOUBLE AS confidence FROM ec"
+)
+_ITEMS = f""", it AS (SELECT *, regexp_replace(designation, '(?s)[:/].*', '') AS item FROM el), ri AS (SELECT *, {_no('RI', 'item')} AS item_id FROM (SELECT DISTINCT document, item FROM it WHERE item <> '')),
+mp AS (SELECT it.document, it.element_id, ri.item_id FROM it JOIN ri ON ri.document = it.document AND ri.item = it.item)"""
+registry.oracle["sheet_document_representeditem"] = _MODEL + _ITEMS + " SELECT item_id, document AS document_id, item FROM ri"
+registry.oracle["sheet_element_representeditem_mapping"] = _MODEL + _ITEMS + f" SELECT {_no('MAP', 'element_id')} AS mapping_id, element_id, item_id FROM mp"
+_FACTS = _VALUES + _ITEMS + ", rd AS (SELECT ed.*, item_id FROM ed JOIN mp USING (element_id) QUALIFY row_number() OVER (PARTITION BY item_id, attribute ORDER BY element_id) = 1)"
+registry.oracle["sheet_representeditem_data"] = (
+    _FACTS.replace("SELECT ed.*, item_id", "SELECT ed.document, ed.record, element_id, attribute, value, normalized, unit, qualifier, item_id")
+    + f" SELECT {_no('RID', 'item_id, attribute')} AS data_id, item_id, attribute, value, normalized, unit, qualifier FROM rd"
+)
+registry.oracle["sheet_sources"] = (
+    _FACTS.replace("SELECT ed.*, item_id", "SELECT ed.document, ed.record, element_id, attribute, item_id")
+    + f""", {_CLASSES.replace("k AS (", "kk AS (").replace("FROM k ", "FROM kk ")}, src AS (SELECT record, count(DISTINCT c) AS n FROM res WHERE NOT regexp_matches(coalesce(field, ''), '{_DERIVED_FIELD}') AND c <> '' AND NOT regexp_full_match(c, '{_BOX}') GROUP BY record),
+per AS (SELECT rec.record, coalesce(n, 1) AS n FROM rec LEFT JOIN src USING (record))
+SELECT 'Element_Data_Source' AS sheet, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM ed JOIN per USING (record) UNION ALL SELECT 'Document_Data_Source', CAST(coalesce(sum(n), 0) AS BIGINT) FROM ed JOIN per USING (record) WHERE attribute IN ({_ABOUT['document_data'][1]})
+UNION ALL SELECT 'Revision_Data_Source', CAST(coalesce(sum(n), 0) AS BIGINT) FROM ed JOIN per USING (record) WHERE attribute IN ({_ABOUT['revision_data'][1]}) UNION ALL SELECT 'RepresentedItem_Data_Source', CAST(coalesce(sum(n), 0) AS BIGINT) FROM rd JOIN per USING (record)
+UNION ALL SELECT 'Element_Classification_Source', CAST(coalesce(sum(n), 0) AS BIGINT) FROM ec JOIN per USING (record)"""
 )
