@@ -183,6 +183,24 @@ def undeclared_values(nodes: DataFrame, declared: DataFrame) -> DataFrame:
     return cells.join(listed, "name").where(~F.array_contains("enumeration", F.col("value"))).select("node_id", "name", "value")
 
 
+def extract_families(inputs: dict[str, DataFrame], extractors: dict) -> DataFrame:
+    """family, record, field, value, confidence, status of all families: each extractor gets the inputs it names.
+
+    ``extractors``: family to (names of its inputs, function of those that returns record, field, value, confidence).  A
+    family whose inputs are not all there gives nothing.  Values are filled, need review below 0.6, or are blank.
+    """
+    parts = []
+    for family, (wanted, extract) in sorted(extractors.items()):
+        if all(name in inputs for name in wanted):
+            found = extract(*[inputs[name] for name in wanted])
+            parts.append(found.select(F.lit(family).alias("family"), F.col("record").cast("string").alias("record"), "field", clean_cell("value").alias("value"), F.col("confidence").cast("double").alias("confidence")))
+    if not parts:
+        raise ValueError("no family has its inputs")
+    rows = reduce(DataFrame.unionByName, parts)
+    status = F.when(F.col("value") == "", "blank_no_evidence").when(F.col("confidence") < 0.6, "needs_review").otherwise("filled")
+    return rows.withColumn("status", status)
+
+
 #: Letters a scanner takes for others.
 SCANNED = ("0O1IL5S8B", "O0IL1S5B8")
 

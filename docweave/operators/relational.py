@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import clean_cell, or_null, rounded, shared_key, text_or_empty
-from docweave.functions.values import parse_box, parse_quantity
+from docweave.functions.values import parse_box, parse_quantity, review_status
 from docweave.operators.matching import resolve_designations
 from docweave.operators.ordered import assign_ids, distinct_undirected, first_per_key, number_rows, ordered_values
 
@@ -212,6 +214,23 @@ def field_sources(fields: DataFrame, found: DataFrame) -> DataFrame:
     return best.select("record", "field", "artifact_id", F.lit("exact_text").alias("method"))
 
 
+def source_ladder(fields: DataFrame, native: DataFrame, exact: DataFrame, verified: DataFrame, fallback: DataFrame) -> DataFrame:
+    """record, field, artifact_id, method, confidence, status: the source of each field by the first tier that has one.
+
+    ``fields``: record, field.  ``native``, ``exact`` and ``verified``: record, field, artifact_id, confidence.
+    ``fallback``: record, artifact_id, confidence, for all fields of a record.  Within a tier the surest source counts,
+    then the smaller id; a field without any keeps a null source and asks for review.
+    """
+    parts = [df.select("record", "field", F.lit(i).alias("tier"), (-F.col("confidence")).alias("doubt"), "artifact_id") for i, df in enumerate((native, exact, verified))]
+    last = fields.select("record", "field").join(fallback, "record").select("record", "field", F.lit(3).alias("tier"), (-F.col("confidence")).alias("doubt"), "artifact_id")
+    best = first_per_key(reduce(DataFrame.unionByName, [*parts, last]).where("artifact_id is not null"), ["record", "field"], ["tier", "doubt", "artifact_id"])
+    joined = fields.select("record", "field").distinct().join(best, ["record", "field"], "left").withColumn("confidence", -F.col("doubt"))
+    method = F.get(F.array(*[F.lit(m) for m in ("Native_Source", "Exact_Source_Match", "Verified_Match", "Fallback_Object")]), F.col("tier"))
+    return joined.select(
+        "record", "field", "artifact_id", F.coalesce(method, F.lit("Unspecifiable")).alias("method"), "confidence", review_status(F.col("confidence"), F.col("artifact_id").isNotNull()).alias("status")
+    )
+
+
 def cell_sources(cells: DataFrame, results: DataFrame) -> DataFrame:
     """Cells of an exported sheet with the first result of equal field and value: sheet, row, col, record."""
     fold = lambda c: F.lower(clean_cell(c))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.operators import families
+from docweave.operators import chunks, datasheet, extract, families, relational
 from docweave.operators.families import CIRCUIT_FIELDS
-from docweave.plans.page_queries import _PAGES, _blocks, _models, _page_values
+from docweave.plans.more_sql import _PARAMETERS
+from docweave.plans.page_queries import _PAGES, _blocks, _headers, _models, _page_values, _step_text
 from docweave.plans.registry import Registry
-from docweave.plans.text_queries import sql_akz, sql_clean, sql_identifier, sql_label
+from docweave.plans.text_queries import component_sql, sql_akz, sql_clean, sql_identifier, sql_label
 from docweave.session import table
-from docweave.sources import plant_xml
+from docweave.sources import plant_xml, step
 
 registry = Registry()
 
@@ -177,3 +178,90 @@ def _scan_errors(spark, d):
 
     tags = table(spark, d, "target_entity").select(normalize_akz("canonical_tag").alias("tag")).where("tag <> ''").distinct()
     return tags.select("tag", F.explode(families.scan_errors("tag", F.lit(7))).alias("e")).select("tag", "e.*")
+
+
+@registry.add(
+    "source_ladder",
+    """WITH f AS (SELECT DISTINCT document_id AS record, attribute_name AS field FROM document_data WHERE document_id IS NOT NULL AND attribute_name IS NOT NULL), d AS (SELECT document_id AS record, attribute_name AS field, document_data_id AS a, unit, attribute_value, raw_value, normalized_value FROM document_data),
+    c AS (SELECT record, field, 0 AS tier, 0.95 AS confidence, a FROM d WHERE unit IS NOT NULL UNION ALL SELECT record, field, 1, 0.9, a FROM d WHERE raw_value = attribute_value UNION ALL SELECT record, field, 2, 0.7, a FROM d WHERE normalized_value IS NOT NULL
+      UNION ALL SELECT f.record, f.field, 3, 0.5, m.a FROM f JOIN (SELECT DISTINCT document_id AS record, document_filename AS a FROM document_master) m ON m.record = f.record),
+    b AS (SELECT * FROM c WHERE a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record, field ORDER BY tier, -confidence, a) = 1)
+    SELECT f.record, f.field, a AS artifact_id, coalesce(['Native_Source', 'Exact_Source_Match', 'Verified_Match', 'Fallback_Object'][tier + 1], 'Unspecifiable') AS method, confidence::DOUBLE AS confidence,
+    CASE WHEN a IS NULL THEN 'Requires_Review' WHEN confidence >= 0.8 THEN 'Auto_Approved' ELSE 'Requires_Review' END AS status FROM f LEFT JOIN b ON b.record = f.record AND b.field = f.field""",
+)
+def _source_ladder(spark, d):
+    data = table(spark, d, "document_data").where("document_id is not null and attribute_name is not null").select(F.col("document_id").alias("record"), F.col("attribute_name").alias("field"), F.col("document_data_id").alias("artifact_id"), "unit", "attribute_value", "raw_value", "normalized_value")
+    tier = lambda test, c: data.where(test).select("record", "field", "artifact_id", F.lit(c).alias("confidence"))
+    fallback = table(spark, d, "document_master").select(F.col("document_id").alias("record"), F.col("document_filename").alias("artifact_id"), F.lit(0.5).alias("confidence")).distinct()
+    return relational.source_ladder(data.select("record", "field").distinct(), tier("unit is not null", 0.95), tier("raw_value = attribute_value", 0.9), tier("normalized_value is not null", 0.7), fallback)
+
+
+@registry.add(
+    "connection_rows",
+    """WITH el AS (SELECT device_id, min(canonical_tag) AS tag FROM target_entity WHERE trim(canonical_tag, ' ') <> '' GROUP BY 1), l AS (SELECT device_id, tag, lead(tag) OVER (ORDER BY device_id) AS nx FROM el),
+    can AS (SELECT device_id, CASE WHEN regexp_matches(u, '^[A-Z][0-9]') THEN '-' || u ELSE u END AS c FROM (SELECT device_id, upper(regexp_replace(tag, '[\\s\\x{A0}]+', '', 'g')) AS u FROM el)),
+    sp AS (SELECT device_id, lower(x) AS k FROM (SELECT device_id, unnest([c, replace(c, '.', ''), replace(c, '_', '')]) AS x FROM can) UNION SELECT device_id, lower(substr(x, 2)) FROM (SELECT device_id, unnest([c, replace(c, '.', ''), replace(c, '_', '')]) AS x FROM can) WHERE x LIKE '-%'),
+    exact AS (SELECT k, min(device_id) AS e FROM sp WHERE k <> '' GROUP BY k), own AS (SELECT tag, e FROM (SELECT DISTINCT tag, lower(CASE WHEN regexp_matches(u, '^[A-Z][0-9]') THEN '-' || u ELSE u END) AS k FROM (SELECT tag, upper(regexp_replace(tag, '[\\s\\x{A0}]+', '', 'g')) AS u FROM el)) JOIN exact USING (k)),
+    p AS (SELECT l.device_id AS link, a.e AS from_element, b.e AS to_element FROM l JOIN own a ON a.tag = l.tag JOIN own b ON b.tag = l.nx WHERE a.e <> b.e)
+    SELECT link, from_element, to_element FROM p QUALIFY row_number() OVER (PARTITION BY least(from_element, to_element), greatest(from_element, to_element) ORDER BY link) = 1""",
+)
+def _connection_rows(spark, d):
+    from docweave.operators.ordered import consecutive_pairs
+
+    elements = table(spark, d, "target_entity").where("trim(canonical_tag) <> ''").groupBy(F.col("device_id").alias("element_id")).agg(F.min("canonical_tag").alias("designation"))
+    pairs = consecutive_pairs(elements.withColumn("g", F.lit(0)), "element_id", ["g"], ["element_id"])
+    named = lambda c, to: elements.select(F.col("element_id").alias(c), F.col("designation").alias(to))
+    links = pairs.join(named("from_id", "from_designation"), "from_id").join(named("to_id", "to_designation"), "to_id")
+    return relational.connection_rows(links.select(F.col("from_id").alias("link"), F.col("from_id").alias("ord"), "from_designation", "to_designation"), elements.withColumn("ord", F.lit(0)))
+
+
+_FAMILIES_SQL = (
+    _PARAMETERS
+    + f""", n AS (SELECT 'r' || CAST(n_regionkey AS VARCHAR) || '.xml::E' || CAST(n_nationkey AS VARCHAR) AS record, n_name, CAST(n_nationkey AS VARCHAR) AS k FROM nation),
+x AS (SELECT 'KLEMMENPLAN_ROW' AS family, p_type || '!' || CAST(p_partkey + 3 AS VARCHAR) AS record, f AS field, CASE f WHEN 'part' THEN CAST(p_partkey AS VARCHAR) ELSE p_brand END AS value, 0.9 AS confidence FROM part, (VALUES ('part'), ('maker')) AS v(f)
+UNION ALL SELECT 'VERSCHALTUNGSLISTE_ROW', CAST(p_partkey + 3 AS VARCHAR), 'BRAND', p_brand, 0.8 FROM part WHERE p_type = 'ECONOMY'
+UNION ALL SELECT 'RI_EQUIPMENT_ROW', record, f, CASE f WHEN 'tag_name' THEN n_name WHEN 'design_pressure' THEN k || ' bar' ELSE '' END, CASE f WHEN 'tag_name' THEN 1.0 WHEN 'design_pressure' THEN 0.92 ELSE 0.0 END FROM n, (VALUES ('tag_name'), ('design_pressure'), ('none')) AS v(f)
+UNION ALL SELECT 'IFC_PIPING_ITEM_ROW', lpad(CAST(p_partkey AS VARCHAR), 22, '0'), f, CASE f WHEN 'name' THEN p_name ELSE p_type END, 1.0 FROM part, (VALUES ('name'), ('tag')) AS v(f)
+UNION ALL SELECT 'STELLEN_TU_DATASHEET', CAST(doc_id AS VARCHAR), name, value, 0.7 FROM b
+UNION ALL SELECT 'STELLEN_OVERVIEW_RECORD', document_data_id, attribute_name, attribute_value, 0.5 FROM (SELECT DISTINCT document_data_id, attribute_name, attribute_value FROM document_data WHERE document_data_id IS NOT NULL AND attribute_name IS NOT NULL))
+SELECT family, record, field, {sql_clean('value')} AS value, confidence::DOUBLE AS confidence, CASE WHEN {sql_clean('value')} = '' THEN 'blank_no_evidence' WHEN confidence < 0.6 THEN 'needs_review' ELSE 'filled' END AS status FROM x"""
+)
+
+
+@registry.add("extracted_families", _FAMILIES_SQL)
+def _extracted_families(spark, d):
+    """Six families from their own kinds of sources: sheets, a named sheet, a plant model, a building model, texts, rows."""
+    cells, headers = _headers(spark, d)
+    rows = table(spark, d, "document_data").where("document_data_id is not null and attribute_name is not null").select("document_data_id", "attribute_name", "attribute_value").distinct()
+    inputs = {
+        "cells": cells, "headers": headers, "plant": plant_xml.plant_nodes(_models(spark, d)).withColumnRenamed("path", "document"),
+        "building": step.step_nodes(step.step_entities(_step_text(spark, d))), "texts": table(spark, d, "documents"), "rows": rows,
+    }
+    fields = spark.createDataFrame([("part", "part key", False), ("maker", "Brand", False)], "field string, alias string, repeatable boolean")
+    brand = spark.createDataFrame([("BRAND",)], "field string")
+    sure = lambda df, c: df.withColumn("confidence", F.lit(c))
+    place = F.concat_ws("!", "sheet", F.col("row").cast("string")).alias("record")
+    named = F.explode(F.array(F.struct(F.lit("name").alias("field"), F.col("name").alias("value")), F.struct(F.lit("tag").alias("field"), F.col("tag").alias("value"))))
+    extractors = {
+        "KLEMMENPLAN_ROW": (("cells", "headers"), lambda c, h: sure(extract.extract_tabular(c, h, fields).select(place, "field", "value"), 0.9)),
+        "VERSCHALTUNGSLISTE_ROW": (("cells", "headers"), lambda c, h: sure(extract.extract_named_sheet(c, h, brand, "ECONOMY").select(F.col("row").alias("record"), "field", "value"), 0.8)),
+        "RI_EQUIPMENT_ROW": (("plant",), lambda n: families.node_records(n, "equipment", ["tag_name", "design_pressure", "none"], {"tag_name": "tag"})),
+        "IFC_PIPING_ITEM_ROW": (("building",), lambda n: sure(n.select(F.col("node_id").alias("record"), named.alias("x")).select("record", "x.field", "x.value"), 1.0)),
+        "STELLEN_TU_DATASHEET": (("texts",), lambda x: sure(datasheet.parameters(x, "doc_id", "text").select(F.col("doc_id").alias("record"), F.col("name").alias("field"), "value"), 0.7)),
+        "STELLEN_OVERVIEW_RECORD": (("rows",), lambda x: sure(x.select(F.col("document_data_id").alias("record"), F.col("attribute_name").alias("field"), F.col("attribute_value").alias("value")), 0.5)),
+        "CABINET_REFERENCE_ROW": (("absent",), lambda x: x),
+    }
+    return families.extract_families(inputs, extractors)
+
+
+#: Chunks with the designations in their latest text, each once.
+@registry.add(
+    "identifier_members",
+    f"""SELECT id AS c_id, tag AS identifier FROM (SELECT DISTINCT id, {sql_identifier('unnest(' + component_sql('text') + ')')} AS tag FROM (SELECT id, max(text) AS text FROM chunks GROUP BY id)) WHERE tag <> ''""",
+)
+def _identifier_members(spark, d):
+    """Which chunk names which designation: the linear form of the edges between chunks that share one."""
+    from docweave.operators.retrieval import identifiers
+
+    rows = chunks.latest_copies(table(spark, d, "chunks").select("id", "text"), ["id"], ["text"])
+    return rows.select(F.col("id").alias("c_id"), F.explode(identifiers("text", short=None)).alias("identifier")).distinct()
