@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from docweave.llm import canonical, tokens
 from docweave.llm.components import components, linking_edges
 from docweave.llm.devices import match_devices
-from docweave.llm.sql import P2_FOUND, P2_SIZES, P8_DECODED, P10_REBUILT
+from docweave.llm.sql import P2_FOUND, P2_SIZES, P8_AGREEMENT, P8_DECODED, P9_SHARES, P10_REBUILT
 from docweave.llm.mixture import mixture
 from docweave.llm.split import split_oversized
 from docweave.operators.wide import attribute_key, attribute_key_text
@@ -143,6 +143,13 @@ def _p8_cold_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), hot_bytes=64 << 10)
 
 
+@registry.add("p8_agreement", P8_AGREEMENT)
+def _p8_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents there are, and how many have the same ids whether rare words are joined in the scan or by shuffle."""
+    scan, shuffled = _p8_ids(spark, d), _p8_cold_ids(spark, d).select("doc_id", F.col("ids").alias("cold"))
+    return scan.join(shuffled, "doc_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("ids") == F.col("cold")).alias("equal"))
+
+
 @registry.add("p8_decoded", P8_DECODED)
 def _p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     """Texts restored from their ids."""
@@ -168,6 +175,14 @@ def _p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+@registry.add("p9_shares", P9_SHARES)
+def _p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source has its share to one part in ten thousand and stays within its budget."""
+    report = _mixed(spark, d)[1]
+    near = F.abs(F.col("share") - F.col("target_share")) < 1e-4
+    return report.select("source", "target_share", near.alias("on_target"), (F.col("taken_tokens") <= F.col("budget_tokens")).alias("in_budget"))
+
+
 # ---------------------------------------------------------------- p10
 
 

