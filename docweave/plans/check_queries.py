@@ -156,7 +156,7 @@ def _sheet_values(spark, d):
 
 for _sheet in (
     "Document_Data", "Revision_Data", "Elements_TopDown", "Elements_from_Cluster", "Element_Classification", "Document_RepresentedItem",
-    "Element_RepresentedItem_Mapping", "RepresentedItem_Data", "Layer_ID", "Match_Result", "Connection_Data",
+    "Element_RepresentedItem_Mapping", "RepresentedItem_Data", "Layer_ID", "Match_Result",
 ):
     registry.add(f"sheet_{_sheet.lower()}")(lambda spark, d, name=_sheet: _sheets(spark, d)[name])
 

@@ -141,6 +141,20 @@ def test_document_model(spark):
     assert {(r.designation, r.element_type) for r in made["Element_ID"].collect()} == {("K1", "Contactor"), ("K2:1", "Terminal"), ("r3", "Consumer")}
     assert {(r.attribute, r.normalized, r.unit) for r in made["Element_Data"].collect()} >= {("Power", "5", "kW")}
     assert made["Connection_ID"].count() == 1
+    assert {(r.attribute, r.value) for r in made["Connection_Data"].collect()} == {("Connection_Point_From", "K1"), ("Connection_Point_To", "K2:1")}
+    assert made["Connection_Data_Source"].count() == 0  # no record is named l1
+    assert {(r.item, r.document_id) for r in made["Document_RepresentedItem"].collect()} == {("K1", "d"), ("K2", "d"), ("r3", "e")}
+    assert made["Element_RepresentedItem_Mapping"].count() == 3 and made["RepresentedItem_Data"].count() == 4
+    assert {(r.class_code, r.element_type) for r in made["Element_Classification"].collect()} == {("K", "Contactor")}
+    about = sheets.build(records, results, evidence, links, names, ["tag"], ["Power"], ["name"])
+    assert [(r.data_id, r.value) for r in about["Document_Data"].collect()] == [("d/DD.1", "5 kW")] and about["Document_Data_Source"].count() == 2
+    assert [(r.document_id, r.value) for r in about["Revision_Data"].collect()] == [("e", "frei")] and about["Revision_Data_Source"].count() == 1
+    given = {name: names for name in sheets.GIVEN}
+    assert list(sheets.workbook(about, given)) == list(sheets.SHEETS)
+    with pytest.raises(ValueError, match="missing sheets"):
+        sheets.workbook(about, {})
+    empty = sheets.build(*(x.limit(0) for x in (records, results, evidence, links)), names, ["tag"], ["Power"])
+    assert all(empty[name].count() == 0 for name in empty)
 
 
 def test_field_values_and_named_sheets(spark):
