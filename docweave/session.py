@@ -52,6 +52,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Rows of a scan of fewer splits than there are cores, spread over all of them, for work that is heavy per row."""
+    """Rows of a scan of fewer splits than there are cores, spread over all of them, for work that is heavy per row.
+
+    A plan that already exchanges rows stays as it is; asking for its partitions would run it.
+    """
+    if "Exchange" in scan._jdf.queryExecution().executedPlan().toString():
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
