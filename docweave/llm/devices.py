@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.text import or_null
 from docweave.llm.linkage import Comparison, link
 
 #: Default kinds of context tokens by their format.
@@ -18,12 +19,14 @@ CONTEXT = {
     "plant": r"^[A-Z][0-9]{4}$",
     "cabinet": r"^SK[0-9]+$",
 }
-#: Default words of names in the language of the devices.
+#: Default words of names in the language of the devices, and in full.
 WORDS = {
     "inlet": "eintritt", "outlet": "austritt", "supply": "vorlauf", "return": "ruecklauf", "top": "kopf", "bottom": "sumpf",
     "jacket": "mantel", "sampling": "probenahme", "suction": "saugseite", "discharge": "druckseite", "analysis": "analysenmessung",
     "drive": "antrieb", "speed": "drehzahlmessung", "pressure": "druckmessung", "flow": "durchflussmessung",
     "level": "fuellstandsmessung", "valve": "regelventil", "temperature": "temperaturmessung",
+    "anal": "analysenmessung", "antr": "antrieb", "drehz": "drehzahlmessung", "druckmess": "druckmessung", "durchfl": "durchflussmessung",
+    "fuellst": "fuellstandsmessung", "reg": "regelventil", "temp": "temperaturmessung",
 }
 #: Default words for where a device sits.
 POSITIONS = "eintritt austritt vorlauf ruecklauf kopf sumpf mantel probenahme saugseite druckseite bypass".split()
@@ -38,7 +41,7 @@ class Vocabulary:
     context: dict[str, str] = field(default_factory=lambda: dict(CONTEXT))
     words: dict[str, str] = field(default_factory=lambda: dict(WORDS))
     positions: tuple[str, ...] = tuple(POSITIONS)
-    filler: tuple[str, ...] = ("measurement", "control", "side")
+    filler: tuple[str, ...] = ("measurement", "control", "side", "mess", "v")
 
 
 def core_tag(column: Column | str) -> Column:
@@ -53,6 +56,12 @@ def core_tag(column: Column | str) -> Column:
     return F.when(text.rlike(part), core)
 
 
+def function_letter(column: Column | str) -> Column:
+    """The function letter of a tag, also of one that only counts within its plant (``71-P-2403``); null without one."""
+    text = F.regexp_replace(F.upper(column), "[^A-Z0-9]", "")
+    return F.coalesce(F.substring(core_tag(column), 5, 1), or_null(F.regexp_extract(text, r"^[0-9OISBZ]{2}([A-Z])[0-9OISBZ]{3,5}$", 1)))
+
+
 def folded(column: Column | str) -> Column:
     """Lower case, umlauts spelled out, mis-decoded umlauts repaired, other characters as spaces."""
     text = F.lower(F.coalesce(column, F.lit("")))
@@ -81,9 +90,14 @@ def features(rows: DataFrame, key: str, vocabulary: Vocabulary = Vocabulary()) -
     tokens = F.array_distinct(F.transform(F.array_compact(F.coalesce("context_tokens", none)), lambda x: F.upper(F.trim(x))))
     words = F.split(folded("display_name"), " ")
     known = F.create_map(*[F.lit(x) for pair in vocabulary.words.items() for x in pair])
+    whole = F.filter(F.transform(F.coalesce("normalized_tags", none), core_tag), lambda x: x.isNotNull())
+    letters = F.filter(F.transform(F.coalesce("normalized_tags", none), function_letter), lambda x: x.isNotNull())
     base = latest.select(
         "key",
-        F.coalesce(core_tag("canonical_tag"), F.get(tags, F.lit(0))).alias("tag"),
+        core_tag("canonical_tag").alias("own"),
+        F.coalesce(core_tag("canonical_tag"), F.get(whole, F.lit(0))).alias("tag"),
+        function_letter("canonical_tag").alias("own_function"),
+        F.coalesce(function_letter("canonical_tag"), F.get(letters, F.lit(0))).alias("function"),
         tags.alias("tags"),
         tokens.alias("tokens"),
         F.array_distinct(
@@ -96,9 +110,11 @@ def features(rows: DataFrame, key: str, vocabulary: Vocabulary = Vocabulary()) -
     rest = F.filter("tokens", lambda x: ~x.rlike("[0-9]") & (F.length(x) > 5))
     return base.select(
         "key",
+        "own",
         "tag",
         _or_null(F.col("tags")).alias("tags"),
-        F.substring("tag", 5, 1).alias("function"),
+        "own_function",
+        "function",
         *kinds,
         _or_null(plant).alias("plant"),
         _or_null(rest).alias("medium"),
@@ -108,8 +124,15 @@ def features(rows: DataFrame, key: str, vocabulary: Vocabulary = Vocabulary()) -
 
 
 def _plain(x: Column) -> Column:
-    text = F.translate(F.regexp_replace(F.upper(x), "[^A-Za-z0-9]", ""), *LIKE_DIGITS)
-    return F.when(F.length(text) > 3, text)
+    """A tag of another form; a word without digits stands for a missing one."""
+    text = F.regexp_replace(F.upper(x), "[^A-Za-z0-9]", "")
+    return F.when((F.length(text) > 3) & text.rlike("[0-9]"), F.translate(text, *LIKE_DIGITS))
+
+
+def _one_less(tag: Column) -> Column:
+    """A tag and all texts of one character less: tags within one edit share one."""
+    at = lambda i: F.concat(F.substring(tag, F.lit(1), i - 1), F.substring(tag, i + 1, F.length(tag)))
+    return F.array_distinct(F.concat(F.array(tag), F.transform(F.sequence(F.lit(1), F.length(tag)), at)))
 
 
 def _like(array: str, pattern: str) -> Column:
@@ -120,6 +143,11 @@ def _or_null(array: Column) -> Column:
     return F.when(F.size(array) > 0, F.sort_array(array))
 
 
+def _begins(a: Column, b: Column) -> Column:
+    """Whether two words are equal or one is the beginning of the other."""
+    return (a == b) | ((F.least(F.length(a), F.length(b)) > 2) & (F.startswith(a, b) | F.startswith(b, a)))
+
+
 def _overlap(name: str) -> Column:
     return F.arrays_overlap(f"l_{name}", f"r_{name}").cast("int")
 
@@ -138,6 +166,7 @@ def _product(left: Column, right: Column) -> Column:
 
 def passes() -> dict[str, Column]:
     """Blocking keys: a pair is compared if it shares one of any pass."""
+    near = F.flatten(F.transform("tags", _one_less))
     return {
         "tag": F.col("tags"),
         "loop-place": _key("loop", "place"),
@@ -147,21 +176,29 @@ def passes() -> dict[str, Column]:
         "plant-place": _key("plant", "place"),
         "plant-rack": _key("plant", "rack"),
         "plant-position": _key("plant", "position"),
+        "loop-project": _key("loop", "project"),
+        "place-project": _key("place", "project"),
+        "rack-project": _key("rack", "project"),
+        "near-project": _product(near, F.col("project")),
+        "near-plant": _product(near, F.col("plant")),
     }
 
 
 def comparisons() -> list[Comparison]:
-    """Agreement levels of the features, strongest last."""
+    """Agreement levels of the features, strongest last.
+
+    Tags and functions only speak against a pair if the left row's own tag has them: its further tags may name others.
+    """
     same = F.col("l_tag") == F.col("r_tag")
     near = F.levenshtein("l_tag", "r_tag", 1) >= 0
-    tag = F.when(same, 3).when(F.arrays_overlap("l_tags", "r_tags"), 2).when(near, 1).when(F.col("l_tag").isNotNull() & F.col("r_tag").isNotNull(), 0)
-    both = F.size(F.array_intersect("l_words", "r_words"))
-    all_words = F.size(F.array_union("l_words", "r_words"))
+    tag = F.when(same, 3).when(F.arrays_overlap("l_tags", "r_tags"), 2).when(near, 1).when(F.col("l_own").isNotNull() & F.col("r_tag").isNotNull(), 0)
+    both = F.size(F.filter("l_words", lambda a: F.exists("r_words", lambda b: _begins(a, b))))  # names may be cut off
+    all_words = F.size("l_words") + F.size("r_words") - both
     share = F.when(F.col("l_words").isNotNull() & F.col("r_words").isNotNull(), both / all_words)
     name = F.when(share >= 0.7, 3).when(share >= 0.45, 2).when(share >= 0.2, 1).when(share >= 0, 0)
     return [
         Comparison("tag", tag, 4),
-        Comparison("function", (F.col("l_function") == F.col("r_function")).cast("int"), 2),
+        Comparison("function", (F.col("l_own_function") == F.col("r_function")).cast("int"), 2),
         Comparison("name", name, 4),
         *[Comparison(f, _overlap(f), 2) for f in ("place", "rack", "loop", "project", "plant", "cabinet", "medium", "position")],
     ]
@@ -174,5 +211,6 @@ def match_devices(
 
     A record goes to its likeliest device, so few others compete with a low confidence; the default asks for 0.2.
     """
-    found = link(features(records, "record_key", vocabulary), features(devices, "device_id", vocabulary), passes(), comparisons(), threshold)
+    left, right = features(records, "record_key", vocabulary), features(devices, "device_id", vocabulary)
+    found = link(left, right, passes(), comparisons(), threshold)
     return found.select(F.col("l_key").alias("record_key"), F.col("r_key").alias("device_id"), "confidence")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docweave.llm import canonical, components, linkage, mixture, split, tokens
-from docweave.llm.devices import core_tag, features, match_devices, passes
+from docweave.llm.devices import comparisons, core_tag, features, match_devices, passes
 from docweave.scratch import Scratch
 
 NASTY = [
@@ -338,6 +338,33 @@ def test_tiles_of_a_large_block(spark):
     assert len(spread) == 8 and max(r["count"] for r in spread) < 45 and sum(r["count"] for r in spread) == 180
 
 
+def test_sparse_and_noisy_records_are_proposed(spark):
+    context = ["P0000001", "E1X1", "R1F1", "TX1000", "W1000", "KONDENSAT"]
+    records = [
+        ("rack", "ohne", None, None, ["P0000001", "R1F1"], "2020"),
+        ("place", None, None, [], ["E1X1", "P0000001"], "2020"),
+        ("loop", "ohne", None, None, ["TX1000", "P0000001"], "2020"),
+        ("more", "GR10.T1009", None, None, ["P0000001"], "2020"),
+        ("less", "GR10.T10", None, None, ["W1000"], "2020"),
+        ("other", "GR10.T109", None, None, ["P0000009"], "2020"),
+    ]
+    left = features(entities(spark, "record_key", records), "record_key").withColumn("sig", F.col("key"))
+    right = features(entities(spark, "device_id", [("DEV", "GR10.T100", "Temperaturmessung Kondensat W1000", ["GR10T100"], context, "2020")]), "device_id").withColumn("sig", F.col("key"))
+    got = linkage.candidates(left, right, passes(), Scratch(spark, "blocks")).collect()
+    assert {r.l_sig for r in got} == {"rack", "place", "loop", "more", "less"}
+
+
+def test_placeholders_and_foreign_tags_speak_against_nothing(spark):
+    records = [("word", "ohne", "Reg.-V. Konden", None, [], "2020"), ("further", None, "Drehz.", ["GR11F300"], [], "2020"), ("plant", "71-P-2403", "Druckmess. Kondensat", None, [], "2020")]
+    found = features(entities(spark, "record_key", records), "record_key")
+    left = found.select(*[F.col(c).alias(f"l_{c}") for c in found.columns])
+    device = features(entities(spark, "device_id", [("DEV", "GR10.Y100", "Regelventil Kondensat", ["GR10Y100"], [], "2020")]), "device_id")
+    pairs = left.crossJoin(device.select(*[F.col(c).alias(f"r_{c}") for c in device.columns]))
+    levels = {c.name: c.level for c in comparisons()}
+    got = {r.l_key: (r.tag, r.function, r.name) for r in pairs.select("l_key", *[levels[n].alias(n) for n in ("tag", "function", "name")]).collect()}
+    assert got == {"word": (None, None, 3), "further": (None, None, 0), "plant": (None, 0, 1)}
+
+
 def test_linking_nothing(spark):
     none = entities(spark, "record_key", []), entities(spark, "device_id", [])
     assert match_devices(*none).count() == 0
