@@ -123,6 +123,17 @@ def test_whole_words_and_scopes(spark):
     assert rows(relational.scoped_texts(asked, texts, ["page"]), "id", "text_id") == [(1, 10), (1, 11), (2, 10), (2, 11), (2, 12)]
 
 
+def test_scopes_are_counted_without_pairs(spark):
+    asked = spark.createDataFrame([(1, "d", "p"), (1, "d", "r"), (2, "d", "q"), (3, "e", "p"), (None, "d", "q"), (4, "d", "p")], "id int, document string, page string")
+    texts = spark.createDataFrame([("d", "p", 10), ("d", "p", 11), ("d", "r", 12), ("d", None, 13), (None, "p", 14)], "document string, page string, text_id int")
+    pairs = relational.scoped_texts(asked, texts, ["page"]).groupBy("id").count().collect()
+    counted = relational.scoped_counts(asked, texts, ["page"])
+    assert {(r.id, r.n) for r in counted.collect()} == {(r[0], r[1]) for r in pairs} == {(1, 3), (2, 4), (None, 4), (4, 2)}
+    many = spark.range(60_000).selectExpr("cast(id as int) id", "'d' document", "'p' page")
+    counts = relational.scoped_counts(many, many.withColumnRenamed("id", "text_id"), ["page"])  # 3.6 billion pairs
+    assert [tuple(r) for r in counts.agg(F.count("id"), F.min("n"), F.max("n")).collect()] == [(60_000, 60_000, 60_000)]
+
+
 def test_labels_meet_by_pieces(spark):
     random.seed(2)
     words = ["".join(random.choice("ab c") for _ in range(random.randint(0, 7))) for _ in range(60)]
