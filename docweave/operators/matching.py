@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,10 @@ from docweave.functions.values import designation_base, designation_keys
 from docweave.operators.ordered import first_per_key
 
 
+#: Forms of a text with fewer characters that are listed at most; longer texts are looked up by their parts.
+MAX_FORMS = 400
+
+
 def exact_or_stripped(keys: DataFrame, targets: DataFrame, key: str = "key", target: str = "key") -> DataFrame:
     """key, matched, method of each distinct designation: ``exact``, ``stripped`` (function prefix removed) or null.
 
@@ -43,18 +48,45 @@ def _grams(text: Column, edits: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("part"), F.substring(text, i * width + 1, width).alias("piece")))
 
 
-def within_edits(left: DataFrame, right: DataFrame, key: str, edits: int) -> DataFrame:
-    """left_key, right_key, distance of all distinct pairs within ``edits`` Levenshtein edits.
+def _listed(deletions: int) -> int:
+    """The longest text whose shorter forms are listed."""
+    return max(n for n in range(1, 64) if sum(comb(n, k) for k in range(deletions + 1)) <= MAX_FORMS)
+
+
+def _shorter(text: Column, deletions: int) -> Column:
+    """A text and all distinct forms of it with up to ``deletions`` characters less."""
+    at = lambda x, i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))
+    none = F.array().cast("array<string>")
+    less = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: at(x, i))).otherwise(none)
+    forms = level = F.array(text)
+    for _ in range(deletions):
+        level = F.array_distinct(F.flatten(F.transform(level, less)))
+        forms = F.concat(forms, level)
+    return forms
+
+
+def _sharing(left: DataFrame, right: DataFrame, deletions: int, size: Column, condition: Column) -> DataFrame:
+    """left_key with the right rows (right_key and others) that meet ``condition`` and share a form of ``size`` characters.
+
+    A pair comes out once for every such form they share.  Only texts of listed lengths are met.
+    """
+    longest = _listed(deletions)
+    forms = lambda df, k: df.where(F.length(k) <= longest).withColumn("form", F.explode(_shorter(F.col(k), deletions)))
+    met = forms(left, "left_key").join(forms(right, "right_key"), "form")
+    return met.where((F.length("form") == size) & condition).drop("form")
+
+
+def _by_parts(left: DataFrame, right: DataFrame, edits: int, beyond: int) -> DataFrame:
+    """Pairs within ``edits`` edits, of which the longer text has more than ``beyond`` characters; several times at most.
 
     Of a text cut into ``edits + 1`` parts at least one survives any ``edits`` edits, shifted by no more than that.  So
     every part of the right text is looked up among all places of the left text it can have: an equality join on
     (length, part, piece) instead of a comparison of all pairs, and it loses none.
     """
-    l_side = left.select(F.col(key).alias("left_key")).where(F.col("left_key") != "").distinct()
-    r_side = right.select(F.col(key).alias("right_key")).where(F.col("right_key") != "").distinct()
     n = edits + 1
-    parts = r_side.select("right_key", F.length("right_key").alias("size"), F.explode(_grams(F.col("right_key"), edits)).alias("g"))
-    parts = parts.select("right_key", "size", F.col("g.part").alias("part"), F.col("g.piece").alias("piece"))
+    l_side, r_side = left.where(F.length("left_key") > beyond - edits), right.where(F.length("right_key") > beyond - edits)
+    parts = r_side.withColumns({"size": F.length("right_key"), "g": F.explode(_grams(F.col("right_key"), edits))})
+    parts = parts.withColumns({"part": F.col("g.part"), "piece": F.col("g.piece")}).drop("g")
     sized = l_side.select(
         "left_key",
         F.explode(F.sequence(F.greatest(F.lit(1), F.length("left_key") - edits), F.length("left_key") + edits)).alias("size"),
@@ -65,15 +97,47 @@ def within_edits(left: DataFrame, right: DataFrame, key: str, edits: int) -> Dat
     start = F.col("part") * F.col("width") + 1 + F.col("shift")
     own = F.least(F.col("width"), F.greatest(F.lit(0), F.col("size") - F.col("part") * F.col("width")))
     pieces = places.where(start >= 1).select("left_key", "size", "part", F.substring("left_key", start, own).alias("piece")).distinct()
-    pairs = pieces.join(parts, ["size", "part", "piece"]).select("left_key", "right_key").distinct()
-    return pairs.withColumn("distance", F.levenshtein("left_key", "right_key", edits)).where("distance >= 0")
+    met = pieces.join(parts, ["size", "part", "piece"]).drop("size", "part", "piece")
+    longer = F.greatest(F.length("left_key"), F.length("right_key")) > beyond
+    return met.where(longer & (F.levenshtein("left_key", "right_key", edits) >= 0))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, edits: int) -> DataFrame:
+    """left_key with the right rows (right_key and others) within ``edits`` edits and their distance; pairs may repeat.
+
+    Two texts within that many edits share a form of the longer one's length less the edits, so short texts meet by an
+    equality join on such forms; longer ones, which have too many forms, meet by parts.
+    """
+    size = F.greatest(F.lit(0), F.greatest(F.length("left_key"), F.length("right_key")) - edits)
+    met = _sharing(left, right, edits, size, F.levenshtein("left_key", "right_key", edits) >= 0)
+    pairs = met.unionByName(_by_parts(left, right, edits, _listed(edits)))
+    return pairs.withColumn("distance", F.levenshtein("left_key", "right_key"))
+
+
+def _keyed(df: DataFrame, key: str, name: str) -> DataFrame:
+    return df.select(F.col(key).alias(name)).where(F.col(name) != "").distinct()
+
+
+def within_edits(left: DataFrame, right: DataFrame, key: str, edits: int) -> DataFrame:
+    """left_key, right_key, distance of all distinct pairs within ``edits`` Levenshtein edits."""
+    return near_pairs(_keyed(left, key, "left_key"), _keyed(right, key, "right_key"), edits).distinct()
 
 
 def nearest_within(left: DataFrame, right: DataFrame, key: str, edits: int) -> DataFrame:
-    """left_key, right_key, distance of the nearest right text of each left one, the smaller text among equals."""
-    return first_per_key(within_edits(left, right, key, edits), ["left_key"], ["distance", "right_key"]).select(
-        "left_key", "right_key", "distance"
-    )
+    """left_key, right_key, distance of the nearest right text of each left one, the smaller text among equals.
+
+    Only texts without any partner within fewer edits are compared with those within more.
+    """
+    from docweave.scratch import Scratch
+
+    scratch = Scratch(left.sparkSession, "nearest")
+    r_side = scratch.save(_keyed(right, key, "right_key"))
+    rest, found = scratch.save(_keyed(left, key, "left_key")), []
+    for n in range(edits + 1):
+        found.append(scratch.save(near_pairs(rest, r_side, n).groupBy("left_key").agg(F.min("right_key").alias("right_key"), F.min("distance").alias("distance"))))
+        if n < edits:
+            rest = scratch.save(rest.join(found[-1], "left_key", "left_anti"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def similarity_ratio(left: str, right: str) -> float:

@@ -51,6 +51,21 @@ def test_ratio_matches_against_all_pairs(spark):
     assert {r.left_key: (r.right_key, round(r.ratio, 9)) for r in whole.collect()} == got
 
 
+def test_nearest_among_short_and_long_texts(spark):
+    left, right = noisy(7, 20), noisy(8, 20)
+    long = [x * 9 + "T" * 8 for x in noisy(9, 12) if x]
+    left, right = left + long, right + [x[:-1] + "U" for x in long] + [x[1:-2] for x in long[::3]]
+    got = {r.left_key: (r.distance, r.right_key) for r in matching.nearest_within(keys(spark, left), keys(spark, right), "key", 2).collect()}
+    best = {a: min((levenshtein(a, b), b) for b in right if b) for a in left if a}
+    assert got == {a: (n, b) for a, (n, b) in best.items() if n <= 2}
+
+
+def test_dense_designations_meet_few_others(spark):
+    tags = keys(spark, [f"TD{i // 1000}T{i % 1000:03}" for i in range(10_000, 14_000)])
+    one = matching.near_pairs(tags.withColumnRenamed("key", "left_key"), tags.withColumnRenamed("key", "right_key"), 1)
+    assert one.count() < 200_000  # of 16 million; few more than are within one edit
+
+
 def test_exact_or_stripped(spark, collect):
     got = collect(matching.exact_or_stripped(keys(spark, ["TI TU1.A", "TU1A", "zz", "", None]), keys(spark, ["TU1-A", None])))
     assert got == [("TITU1A", "TU1A", "stripped"), ("TU1A", "TU1A", "exact"), ("ZZ", None, None)]
