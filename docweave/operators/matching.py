@@ -184,24 +184,48 @@ def ratio_matches(pairs: DataFrame, edits: int = 2) -> DataFrame:
 def best_by_ratio(left: DataFrame, right: DataFrame, key: str, edits: int = 2) -> DataFrame:
     """left_key, right_key, edits, ratio: the text itself where the right side has it, else the best partner by ratio.
 
-    Only texts without an equal partner are compared, since nothing can be nearer than an equal text.
+    Only texts without an equal partner are compared, since nothing can be nearer than an equal text; and of those only
+    texts whose best partner with two characters outside matching blocks is no better than one with three could be are
+    compared with all.
     """
-    l_side, r_side = (x.select(F.col(key)).where(F.col(key) != "").distinct() for x in (left, right))
-    exact = l_side.join(r_side, key, "left_semi").select(
-        F.col(key).alias("left_key"), F.col(key).alias("right_key"), F.lit(0).cast("bigint").alias("edits"), F.lit(1.0).alias("ratio")
+    from docweave.scratch import Scratch
+
+    scratch = Scratch(left.sparkSession, "ratio")
+    l_side, r_side = scratch.save(_keyed(left, key, "left_key")), scratch.save(_keyed(right, key, "right_key"))
+    same = F.col("left_key") == F.col("right_key")
+    exact = l_side.join(r_side, same, "left_semi").select(
+        "left_key", F.col("left_key").alias("right_key"), F.lit(0).cast("bigint").alias("edits"), F.lit(1.0).alias("ratio")
     )
-    rest = l_side.join(r_side, key, "left_anti")
-    return exact.unionByName(ratio_matches(ratio_candidates(rest, r_side, key, edits), edits))
+    rest = scratch.save(l_side.join(r_side, same, "left_anti"))
+    both, close = F.length("left_key") + F.length("right_key"), F.abs(F.length("left_key") - F.length("right_key")) <= edits
+    alike = _sharing(rest, r_side, 2, F.greatest(F.lit(0), F.ceil(both / 2) - 1), close)
+    first = scratch.save(ratio_matches(_spread_pairs(alike), edits))
+    bound = 1 - 3 / (2 * F.length("left_key") + edits)  # of any pair with three characters outside matching blocks
+    settled = first.where((F.col("ratio") > bound + 1e-9) & (F.length("left_key") + edits <= _listed(2)))
+    others = scratch.save(rest.join(settled, "left_key", "left_anti"))
+    further = ratio_matches(ratio_candidates(others, r_side.withColumnRenamed("right_key", "left_key"), "left_key", edits), edits)
+    return exact.unionByName(settled).unionByName(further)
+
+
+def _spread_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct left_key, right_key over all cores; comparing them costs much more than moving them."""
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    return pairs.select("left_key", "right_key").repartition(4 * cores, "left_key").distinct()
 
 
 def ratio_candidates(left: DataFrame, right: DataFrame, key: str, edits: int = 2) -> DataFrame:
     """Pairs that can have at most ``edits`` by ratio, and whose lengths differ by no more.
 
-    (1 - ratio) * longest <= edits + 1/2 leaves at most 2 * edits + 1 characters of both texts outside matching blocks, so
-    that many insertions and deletions turn one into the other.
+    (1 - ratio) * longest <= edits + 1/2 says how many characters must lie in matching blocks, which are a common
+    subsequence; it leaves at most 2 * edits characters of both texts outside, so that many insertions and deletions
+    turn one into the other.
     """
-    pairs = within_edits(left, right, key, 2 * edits + 1)
-    return pairs.where(F.abs(F.length("left_key") - F.length("right_key")) <= edits).select("left_key", "right_key")
+    l_side, r_side = _keyed(left, key, "left_key"), _keyed(right, key, "right_key")
+    n, m = F.length("left_key"), F.length("right_key")
+    longest, close, deletions = F.greatest(n, m), F.abs(n - m) <= edits, (3 * edits + 1) // 2
+    size = F.greatest(F.lit(0), F.ceil((n + m) * (2 * longest - 2 * edits - 1) / (4 * longest)))
+    met = _sharing(l_side, r_side, deletions, size, close).unionByName(_by_parts(l_side, r_side, 2 * edits, _listed(deletions)).where(close))
+    return _spread_pairs(met)
 
 
 def canonical_map(occurrences: DataFrame) -> DataFrame:

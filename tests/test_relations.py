@@ -66,6 +66,25 @@ def test_dense_designations_meet_few_others(spark):
     assert one.count() < 200_000  # of 16 million; few more than are within one edit
 
 
+def test_ratio_among_short_and_long_texts(spark):
+    left, right = sorted({x for x in noisy(10, 30) if x}), sorted({x for x in noisy(11, 30) if x})
+    left, right = left + [x * 3 + "T1X0" * 4 for x in left[:8]], right + [x * 3 + "T1X0" * 4 + "U" for x in left[:8]] + [x * 3 + "T1X0" * 3 + "1T0X" for x in left[:4]]
+    got = {r.left_key: (r.right_key, round(r.ratio, 9)) for r in matching.best_by_ratio(keys(spark, left), keys(spark, right), "key").collect()}
+    want = {}
+    for a in left:
+        for b in right:
+            r = 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+            if abs(len(a) - len(b)) <= 2 and round((1 - r) * max(len(a), len(b))) <= 2 and (a not in want or (-r, b) < (-want[a][1], want[a][0])):
+                want[a] = (b, r)
+    assert got == {a: (b, round(r, 9)) for a, (b, r) in want.items()}
+
+
+def test_dense_designations_have_few_candidates_by_ratio(spark):
+    tags = keys(spark, [f"TD{i // 1000}T{i % 1000:03}" for i in range(10_000, 14_000, 7)])
+    pairs = matching.ratio_candidates(tags, tags, "key").withColumn("distance", F.levenshtein("left_key", "right_key"))
+    assert pairs.where("distance > 4").isEmpty() and pairs.count() < 572 * 250
+
+
 def test_exact_or_stripped(spark, collect):
     got = collect(matching.exact_or_stripped(keys(spark, ["TI TU1.A", "TU1A", "zz", "", None]), keys(spark, ["TU1-A", None])))
     assert got == [("TITU1A", "TU1A", "stripped"), ("TU1A", "TU1A", "exact"), ("ZZ", None, None)]
