@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import clean_cell, normalize_identifier, or_null, rounded, strip_function_prefix, text_or_empty
-from docweave.operators.matching import nearest_within
+from docweave.operators.matching import near_pairs, nearest_within
 from docweave.operators.ordered import first_per_key
+from docweave.scratch import Scratch
 
 
 def presence(strict: Column, top_score: Column, supports: Column) -> Column:
@@ -65,14 +66,20 @@ def cardinality(source: DataFrame, targets: DataFrame, rules: DataFrame) -> Data
     """
     keys = source.select("key").where("key <> ''").distinct()
     rule = rules.groupBy("target_doc").agg(F.max("min_count").alias("min_count"), F.min("severity").alias("severity"))
-    has = targets.where("key <> ''").select("doc_type", "key").distinct()
-    forms = keys.select("key", F.explode(F.array_distinct(F.array("key", strip_function_prefix("key")))).alias("form"))
-    exact = forms.join(has.select(F.col("doc_type"), F.col("key").alias("form")), "form").select("key", "doc_type", F.lit(0).alias("distance"))
-    known = exact.select("key", "doc_type").distinct()
-    # near forms of keys that are missing somewhere; distances are found once per form, for all targets
-    near = nearest_by_target(forms.select(F.col("form").alias("key")).distinct(), has)
-    fuzzy = forms.join(near.withColumnRenamed("left_key", "form"), "form").join(known, ["key", "doc_type"], "left_anti").select("key", "doc_type", "distance")
-    best = exact.unionByName(fuzzy).groupBy("key", "doc_type").agg(F.min("distance").alias("distance"))
+    scratch = Scratch(source.sparkSession, "cardinality")
+    named = rule.select(F.col("target_doc").alias("doc_type"))
+    has = scratch.save(targets.where("key <> ''").select("doc_type", "key").distinct().join(F.broadcast(named), "doc_type", "left_semi"))
+    forms = scratch.save(keys.select("key", F.explode(F.array_distinct(F.array("key", strip_function_prefix("key")))).alias("form")))
+
+    def near(of: DataFrame, edits: int) -> DataFrame:
+        found = nearest_by_target(of.select(F.col("form").alias("key")), has, edits)
+        return of.join(found.withColumnRenamed("left_key", "form"), "form").groupBy("key", "doc_type").agg(F.min("distance").alias("distance"))
+
+    close = scratch.save(near(forms, 1))
+    # only keys that miss an obligatory target come out, so only those are looked for within two edits
+    asked_for = rule.where("min_count > 0").select(F.col("target_doc").alias("doc_type"))
+    short = keys.crossJoin(F.broadcast(asked_for)).join(close, ["key", "doc_type"], "left_anti").select("key").distinct()
+    best = close.unionByName(near(forms.join(short, "key", "left_semi"), 2).join(close, ["key", "doc_type"], "left_anti"))
     # rules are a short list, so every key carries all of them
     every = rule.agg(F.collect_list(F.struct("target_doc", "min_count", "severity"))).scalar()
     asked_of = keys.withColumn("rule", F.explode(every)).select("key", "rule.*")
@@ -97,11 +104,10 @@ def cardinality(source: DataFrame, targets: DataFrame, rules: DataFrame) -> Data
 
 def nearest_by_target(keys: DataFrame, targets: DataFrame, edits: int = 2) -> DataFrame:
     """left_key, doc_type, distance: how near each target type comes to each key, within ``edits``."""
-    near = targets.select("key").distinct()
-    from docweave.operators.matching import within_edits
-
-    pairs = within_edits(keys, near, "key", edits)
-    return pairs.join(targets.select("doc_type", F.col("key").alias("right_key")), "right_key").groupBy("left_key", "doc_type").agg(F.min("distance").alias("distance"))
+    left = keys.select(F.col("key").alias("left_key")).where("left_key <> ''").distinct()
+    right = targets.where("key <> ''").groupBy(F.col("key").alias("right_key")).agg(F.collect_set("doc_type").alias("types"))
+    pairs = near_pairs(left, right, edits).select("left_key", F.explode("types").alias("doc_type"), "distance")
+    return pairs.groupBy("left_key", "doc_type").agg(F.min("distance").alias("distance"))
 
 
 def near_misses(missing: DataFrame, targets: DataFrame, edits: int = 2) -> DataFrame:

@@ -85,6 +85,16 @@ def test_dense_designations_have_few_candidates_by_ratio(spark):
     assert pairs.where("distance > 4").isEmpty() and pairs.count() < 572 * 250
 
 
+def test_cardinality_asks_only_of_keys_that_miss_a_target(spark, monkeypatch):
+    asked, whole = [], decide.nearest_by_target
+    monkeypatch.setattr(decide, "nearest_by_target", lambda k, t, n=2: asked.append((n, {r.key for r in k.collect()}, {r.doc_type for r in t.collect()})) or whole(k, t, n))
+    has = spark.createDataFrame([("A", "TU10T41"), ("B", "TU10T4"), ("C", "TU10T421"), ("Z", "TU77T77"), ("A", "TU77T77")], "doc_type string, key string")
+    rules = spark.createDataFrame([("A", 1, "critical"), ("B", 1, "warning"), ("C", 0, "warning")], "target_doc string, min_count int, severity string")
+    got = decide.cardinality(keys(spark, ["TU10T41", "TU77T77"]), has, rules).collect()
+    assert [(r.key, r.missing_in, r.present_in, r.review_status) for r in got] == [("TU77T77", ["B"], ["A"], "auto")]
+    assert asked == [(1, {"TU10T41", "TU77T77"}, {"A", "B", "C"}), (2, {"TU77T77"}, {"A", "B", "C"})]
+
+
 def test_exact_or_stripped(spark, collect):
     got = collect(matching.exact_or_stripped(keys(spark, ["TI TU1.A", "TU1A", "zz", "", None]), keys(spark, ["TU1-A", None])))
     assert got == [("TITU1A", "TU1A", "stripped"), ("TU1A", "TU1A", "exact"), ("ZZ", None, None)]
