@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docweave.functions.text import clean_cell, jaccard, normalize_akz, normalize_identifier, normalize_label, or_null, rounded, strip_function_prefix
 from docweave.functions.values import designation_base, designation_keys
 from docweave.operators.ordered import first_per_key
+from docweave.operators.orphans import bloom_filter, might_contain
 
 
 #: Forms of a text with fewer characters that are listed at most; longer texts are looked up by their parts.
 MAX_FORMS = 400
+#: Forms of one size that a side must have at least to be filtered by those of the other side.
+WORTH_A_FILTER = 200_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def exact_or_stripped(keys: DataFrame, targets: DataFrame, key: str = "key", target: str = "key") -> DataFrame:
@@ -53,27 +61,75 @@ def _listed(deletions: int) -> int:
     return max(n for n in range(1, 64) if sum(comb(n, k) for k in range(deletions + 1)) <= MAX_FORMS)
 
 
-def _shorter(text: Column, deletions: int) -> Column:
-    """A text and all distinct forms of it with up to ``deletions`` characters less."""
-    at = lambda x, i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))
-    none = F.array().cast("array<string>")
-    less = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: at(x, i))).otherwise(none)
-    forms = level = F.array(text)
-    for _ in range(deletions):
-        level = F.array_distinct(F.flatten(F.transform(level, less)))
-        forms = F.concat(forms, level)
-    return forms
+def _with_forms(df: DataFrame, key: str, sizes: dict[int, list[int]]) -> DataFrame:
+    """The rows of ``df`` once for each distinct form of ``key`` that has as many of its characters as ``sizes`` lists for its length.
 
+    ``form`` is a hash of such a form; its last six bits are the size.
+    """
 
-def _sharing(left: DataFrame, right: DataFrame, deletions: int, size: Column, condition: Column) -> DataFrame:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(key).to_pylist()
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            for n, of_n in sizes.items():
+                at = np.flatnonzero(lengths == n)
+                codes = np.frombuffer("".join(texts[i] for i in at).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(len(at), n)
+                for size in of_n:
+                    kept = np.array(list(combinations(range(n), size)), np.int64).reshape(comb(n, size), size)
+                    step = 1 + 200_000 // len(kept)
+                    for first in range(0, len(at), step):
+                        part = codes[first : first + step]
+                        form = np.zeros((len(part), len(kept)), np.uint64)
+                        for j in range(size):
+                            form = form * _FACTOR + part[:, kept[:, j]]
+                        form = np.sort((form << np.uint64(6)) | np.uint64(size), axis=1)
+                        new = np.ones(form.shape, bool)
+                        new[:, 1:] = form[:, 1:] != form[:, :-1]
+                        rows = batch.take(pa.array(np.repeat(at[first : first + step], new.sum(axis=1))))
+                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(form[new].view(np.int64))], names=[*batch.schema.names, "form"])
+
+    return df.mapInArrow(listed, StructType([*df.schema.fields, StructField("form", LongType())]))
+
+
+def _sharing(left: DataFrame, right: DataFrame, deletions: int, size: Column, apart: int, condition: Column) -> DataFrame:
     """left_key with the right rows (right_key and others) that meet ``condition`` and share a form of ``size`` characters.
 
-    A pair comes out once for every such form they share.  Only texts of listed lengths are met.
+    ``size`` depends on the lengths of both, which differ by ``apart`` at most.  A pair comes out once for every such form
+    they share.  Only texts of listed lengths are met, and a text lists no other sizes than those asked for by lengths that
+    the other side has.  Where one side has much fewer forms of a size, a Bloom filter of them (8 MB at most) keeps most
+    forms of the other side from being moved.  Tables of forms are many times larger than the keys they come from, by
+    which their size is estimated, so they are never broadcast.
     """
     longest = _listed(deletions)
-    forms = lambda df, k: df.where(F.length(k) <= longest).withColumn("form", F.explode(_shorter(F.col(k), deletions)))
-    met = forms(left, "left_key").join(forms(right, "right_key"), "form")
-    return met.where((F.length("form") == size) & condition).drop("form")
+    l_side, r_side = left.where(F.length("left_key") <= longest), right.where(F.length("right_key") <= longest)
+    of = lambda df, k, n, rows: df.groupBy(F.length(k).alias(n)).agg(F.min(k).alias(k), F.count(F.lit(1)).alias(rows))
+    lengths = of(l_side, "left_key", "n", "l_rows").crossJoin(of(r_side, "right_key", "m", "r_rows")).where(F.abs(F.col("n") - F.col("m")) <= apart)
+    l_sizes, r_sizes, l_rows, r_rows = defaultdict(set), defaultdict(set), {}, {}
+    asked = lengths.select("n", "m", "l_rows", "r_rows", size.cast("int").alias("size")).where("size <= least(n, m)")
+    for r in asked.collect():  # at most 63 x 63
+        l_sizes[r.n].add(r.size)
+        r_sizes[r.m].add(r.size)
+        l_rows[r.n], r_rows[r.m] = r.l_rows, r.r_rows
+
+    def of_size(sizes: dict[int, set[int]], rows: dict[int, int]) -> Counter:
+        return sum((Counter({k: rows[n] * comb(n, k) for k in of_n}) for n, of_n in sizes.items()), Counter())
+
+    l_forms, r_forms = of_size(l_sizes, l_rows), of_size(r_sizes, r_rows)
+
+    def forms(df: DataFrame, k: str, sizes: dict, own: Counter, other_df: DataFrame, other_k: str, other_sizes: dict, other: Counter) -> DataFrame:
+        listed = _with_forms(df, k, {n: sorted(x) for n, x in sizes.items()})
+        many = {x for x in own if own[x] > 4 * other[x] and own[x] > WORTH_A_FILTER}
+        if not many:
+            return listed
+        few = {n: sorted(x & many) for n, x in other_sizes.items() if x & many}
+        held = _with_forms(other_df.select(other_k), other_k, few)
+        bloom = bloom_filter(held, "form", sum(other[x] for x in many), max_parts=1)
+        return listed.where(~F.col("form").bitwiseAND(63).isin(sorted(many)) | might_contain(listed, *bloom, "form"))
+
+    l_listed = forms(l_side, "left_key", l_sizes, l_forms, r_side, "right_key", r_sizes, r_forms)
+    r_listed = forms(r_side, "right_key", r_sizes, r_forms, l_side, "left_key", l_sizes, l_forms)
+    met = l_listed.hint("merge").join(r_listed.hint("merge"), "form")
+    return met.where((F.col("form").bitwiseAND(63) == size) & condition).drop("form")
 
 
 def _by_parts(left: DataFrame, right: DataFrame, edits: int, beyond: int) -> DataFrame:
@@ -90,14 +146,16 @@ def _by_parts(left: DataFrame, right: DataFrame, edits: int, beyond: int) -> Dat
     sized = l_side.select(
         "left_key",
         F.explode(F.sequence(F.greatest(F.lit(1), F.length("left_key") - edits), F.length("left_key") + edits)).alias("size"),
-    ).withColumn("width", F.greatest(F.lit(1), F.ceil(F.col("size") / n).cast("int")))
+    )
+    there = r_side.select(F.length("right_key").alias("size")).distinct()
+    sized = sized.where(F.greatest(F.length("left_key"), "size") > beyond).join(F.broadcast(there), "size", "left_semi").withColumn("width", F.greatest(F.lit(1), F.ceil(F.col("size") / n).cast("int")))
     places = sized.select("left_key", "size", "width", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part")).select(
         "left_key", "size", "part", "width", F.explode(F.sequence(F.lit(-edits), F.lit(edits))).alias("shift")
     )
     start = F.col("part") * F.col("width") + 1 + F.col("shift")
     own = F.least(F.col("width"), F.greatest(F.lit(0), F.col("size") - F.col("part") * F.col("width")))
     pieces = places.where(start >= 1).select("left_key", "size", "part", F.substring("left_key", start, own).alias("piece")).distinct()
-    met = pieces.join(parts, ["size", "part", "piece"]).drop("size", "part", "piece")
+    met = pieces.hint("merge").join(parts.hint("merge"), ["size", "part", "piece"]).drop("size", "part", "piece")  # much larger than the keys
     longer = F.greatest(F.length("left_key"), F.length("right_key")) > beyond
     return met.where(longer & (F.levenshtein("left_key", "right_key", edits) >= 0))
 
@@ -109,7 +167,7 @@ def near_pairs(left: DataFrame, right: DataFrame, edits: int) -> DataFrame:
     equality join on such forms; longer ones, which have too many forms, meet by parts.
     """
     size = F.greatest(F.lit(0), F.greatest(F.length("left_key"), F.length("right_key")) - edits)
-    met = _sharing(left, right, edits, size, F.levenshtein("left_key", "right_key", edits) >= 0)
+    met = _sharing(left, right, edits, size, edits, F.levenshtein("left_key", "right_key", edits) >= 0)
     pairs = met.unionByName(_by_parts(left, right, edits, _listed(edits)))
     return pairs.withColumn("distance", F.levenshtein("left_key", "right_key"))
 
@@ -193,16 +251,16 @@ def best_by_ratio(left: DataFrame, right: DataFrame, key: str, edits: int = 2) -
     scratch = Scratch(left.sparkSession, "ratio")
     l_side, r_side = scratch.save(_keyed(left, key, "left_key")), scratch.save(_keyed(right, key, "right_key"))
     same = F.col("left_key") == F.col("right_key")
-    exact = l_side.join(r_side, same, "left_semi").select(
+    exact = l_side.join(r_side.hint("merge"), same, "left_semi").select(
         "left_key", F.col("left_key").alias("right_key"), F.lit(0).cast("bigint").alias("edits"), F.lit(1.0).alias("ratio")
     )
-    rest = scratch.save(l_side.join(r_side, same, "left_anti"))
+    rest = scratch.save(l_side.join(r_side.hint("merge"), same, "left_anti"))
     both, close = F.length("left_key") + F.length("right_key"), F.abs(F.length("left_key") - F.length("right_key")) <= edits
-    alike = _sharing(rest, r_side, 2, F.greatest(F.lit(0), F.ceil(both / 2) - 1), close)
+    alike = _sharing(rest, r_side, 2, F.greatest(F.lit(0), F.ceil(both / 2) - 1), edits, close)
     first = scratch.save(ratio_matches(_spread_pairs(alike), edits))
     bound = 1 - 3 / (2 * F.length("left_key") + edits)  # of any pair with three characters outside matching blocks
     settled = first.where((F.col("ratio") > bound + 1e-9) & (F.length("left_key") + edits <= _listed(2)))
-    others = scratch.save(rest.join(settled, "left_key", "left_anti"))
+    others = scratch.save(rest.join(settled.hint("merge"), "left_key", "left_anti"))
     further = ratio_matches(ratio_candidates(others, r_side.withColumnRenamed("right_key", "left_key"), "left_key", edits), edits)
     return exact.unionByName(settled).unionByName(further)
 
@@ -224,7 +282,7 @@ def ratio_candidates(left: DataFrame, right: DataFrame, key: str, edits: int = 2
     n, m = F.length("left_key"), F.length("right_key")
     longest, close, deletions = F.greatest(n, m), F.abs(n - m) <= edits, (3 * edits + 1) // 2
     size = F.greatest(F.lit(0), F.ceil((n + m) * (2 * longest - 2 * edits - 1) / (4 * longest)))
-    met = _sharing(l_side, r_side, deletions, size, close).unionByName(_by_parts(l_side, r_side, 2 * edits, _listed(deletions)).where(close))
+    met = _sharing(l_side, r_side, deletions, size, edits, close).unionByName(_by_parts(l_side, r_side, 2 * edits, _listed(deletions)).where(close))
     return _spread_pairs(met)
 
 

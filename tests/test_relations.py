@@ -1,6 +1,7 @@
 """Ordered winners, matching, decisions, graphs, audits and store: plain versions and edge cases."""
 
 import random
+import re
 from difflib import SequenceMatcher
 from itertools import permutations
 
@@ -85,6 +86,30 @@ def test_dense_designations_have_few_candidates_by_ratio(spark):
     assert pairs.where("distance > 4").isEmpty() and pairs.count() < 572 * 250
 
 
+def test_forms_and_parts_are_never_broadcast(spark):
+    tags = spark.range(50).select(F.concat(F.lit("TD10T"), "id").alias("key"))  # few bytes, by which tables are sent to the driver
+    left, right = tags.withColumnRenamed("key", "left_key"), tags.withColumnRenamed("key", "right_key")
+    for pairs in (matching.near_pairs(left, right, 2), matching.ratio_candidates(tags, tags, "key")):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin .*Inner", plan) and not re.search(r"Broadcast\w*Join .*Inner", plan)
+
+
+def test_filtered_forms_lose_no_partner(spark, monkeypatch):
+    monkeypatch.setattr(matching, "WORTH_A_FILTER", 0)
+    left, right = sorted({x for x in noisy(12, 40) if x}), sorted({x for x in noisy(13, 40) if x})
+    for few, many in ((left[::9], right), (left, right[::9])):
+        got = {r.left_key: (r.right_key, round(r.ratio, 9)) for r in matching.best_by_ratio(keys(spark, few), keys(spark, many), "key").collect()}
+        want = {}
+        for a in few:
+            for b in many:
+                r = SequenceMatcher(None, a, b).ratio()
+                if abs(len(a) - len(b)) <= 2 and round((1 - r) * max(len(a), len(b))) <= 2 and (a not in want or (-r, b) < (-want[a][1], want[a][0])):
+                    want[a] = (b, r)
+        assert got == {a: (b, round(r, 9)) for a, (b, r) in want.items()}
+        near = {(r.left_key, r.right_key) for r in matching.within_edits(keys(spark, few), keys(spark, many), "key", 2).collect()}
+        assert near == {(a, b) for a in few for b in many if levenshtein(a, b) <= 2}
+
+
 def test_cardinality_asks_only_of_keys_that_miss_a_target(spark, monkeypatch):
     asked, whole = [], decide.nearest_by_target
     monkeypatch.setattr(decide, "nearest_by_target", lambda k, t, n=2: asked.append((n, {r.key for r in k.collect()}, {r.doc_type for r in t.collect()})) or whole(k, t, n))
