@@ -62,24 +62,27 @@ def cardinality(source: DataFrame, targets: DataFrame, rules: DataFrame) -> Data
     ``source``: key (normalised designations).  ``targets``: doc_type, key.  ``rules``: target_doc, min_count, severity.
     A key is present in a target if it or its form without function prefix occurs there, or something within one edit of
     either; two edits leave an obligatory target missing and ask for review.  An obligatory target without any keys is
-    missing outright.  Only keys that miss an obligatory target come out.
+    missing outright.  Only keys that miss an obligatory target come out.  Tables that grow with the keys are merged by
+    sorting, never broadcast.
     """
-    keys = source.select("key").where("key <> ''").distinct()
     rule = rules.groupBy("target_doc").agg(F.max("min_count").alias("min_count"), F.min("severity").alias("severity"))
     scratch = Scratch(source.sparkSession, "cardinality")
+    keys = scratch.save(source.select("key").where("key <> ''").distinct())
     named = rule.select(F.col("target_doc").alias("doc_type"))
     has = scratch.save(targets.where("key <> ''").select("doc_type", "key").distinct().join(F.broadcast(named), "doc_type", "left_semi"))
     forms = scratch.save(keys.select("key", F.explode(F.array_distinct(F.array("key", strip_function_prefix("key")))).alias("form")))
 
     def near(of: DataFrame, edits: int) -> DataFrame:
         found = nearest_by_target(of.select(F.col("form").alias("key")), has, edits)
-        return of.join(found.withColumnRenamed("left_key", "form"), "form").groupBy("key", "doc_type").agg(F.min("distance").alias("distance"))
+        return of.join(found.withColumnRenamed("left_key", "form").hint("merge"), "form").groupBy("key", "doc_type").agg(F.min("distance").alias("distance"))
 
     close = scratch.save(near(forms, 1))
     # only keys that miss an obligatory target come out, so only those are looked for within two edits
     asked_for = rule.where("min_count > 0").select(F.col("target_doc").alias("doc_type"))
-    short = keys.crossJoin(F.broadcast(asked_for)).join(close, ["key", "doc_type"], "left_anti").select("key").distinct()
-    best = close.unionByName(near(forms.join(short, "key", "left_semi"), 2).join(close, ["key", "doc_type"], "left_anti"))
+    known = close.hint("merge")
+    short = keys.crossJoin(F.broadcast(asked_for)).join(known, ["key", "doc_type"], "left_anti").select("key").distinct()
+    asking = scratch.save(forms.join(short.hint("merge"), "key", "left_semi"))
+    best = close.unionByName(near(asking, 2).join(known, ["key", "doc_type"], "left_anti")).hint("merge")
     # rules are a short list, so every key carries all of them
     every = rule.agg(F.collect_list(F.struct("target_doc", "min_count", "severity"))).scalar()
     asked_of = keys.withColumn("rule", F.explode(every)).select("key", "rule.*")

@@ -145,6 +145,17 @@ def test_cardinality(spark, key, targets, missing):
         assert got[0].review_status == "needs_review" and got[0].confidence == 0.75 and got[0].severity == "critical"
 
 
+def test_cardinality_broadcasts_rules_only(spark):
+    tags = spark.range(50).select(F.concat(F.lit("TD10T"), "id").alias("key"))  # few bytes, by which tables are sent to the driver
+    rules = spark.range(1).select(F.lit("A").alias("target_doc"), F.lit(1).alias("min_count"), F.lit("critical").alias("severity"))
+    found = decide.cardinality(tags, tags.where("key > 'TD10T4'").select(F.lit("A").alias("doc_type"), "key"), rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin .*(Inner|Outer|Anti)", plan)
+    at = {f"TD10T{i}" for i in range(50)}
+    has = {x for x in at if x > "TD10T4"}
+    assert {r.key for r in found.collect()} == {x for x in at if min(levenshtein(x, y) for y in has) > 1}
+
+
 def test_cardinality_with_an_empty_target(spark):
     none = spark.createDataFrame([], "doc_type string, key string")
     got = decide.cardinality(keys(spark, ["A1"]), none, spark.createDataFrame([("X", 1, "critical")], "target_doc string, min_count int, severity string")).collect()
